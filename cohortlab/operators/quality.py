@@ -137,6 +137,11 @@ def clean(df: DataFrame, roles: Roles) -> tuple[DataFrame, dict[str, float], dic
     """
     base = filtered(df, roles)
     medians, modes = impute_values(base, roles)
+    return fill(base, roles, medians, modes), medians, modes
+
+
+def fill(base: DataFrame, roles: Roles, medians: dict, modes: dict) -> DataFrame:
+    """Replace NULLs by the per-column fill values (literals in the projection)."""
     out = base
     for c in roles.numeric:
         if medians.get(c) is not None:
@@ -144,7 +149,7 @@ def clean(df: DataFrame, roles: Roles) -> tuple[DataFrame, dict[str, float], dic
     for c in roles.categorical:
         if modes.get(c) is not None:
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(modes[c])))
-    return out, medians, modes
+    return out
 
 
 def imputation_report(raw: DataFrame, clean_df: DataFrame, roles: Roles, medians: dict, modes: dict) -> DataFrame:

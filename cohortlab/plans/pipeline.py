@@ -58,8 +58,11 @@ class Pipeline:
 
     @cached_property
     def _clean(self):
-        out, med, modes = quality.clean(self.raw, self.roles)
-        return materialize(out, "clean"), med, modes
+        # the filtered frame is written once; the statistics pass and every
+        # report then read it instead of recomputing the entity view
+        base = materialize(quality.filtered(self.raw, self.roles), "filtered")
+        med, modes = quality.impute_values(base, self.roles)
+        return quality.fill(base, self.roles, med, modes), med, modes
 
     @property
     def clean(self) -> DataFrame:
