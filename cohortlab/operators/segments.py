@@ -10,9 +10,9 @@ rounds.  These linkages are *reducible*, so merging every pair of clusters
 that are each other's nearest neighbour in the same round yields exactly the
 sequential dendrogram.  A round is:
 
-1. candidate distances per active cluster pair (edges for average/complete —
-   kept as Σd, max d and pair counts so relabelled edges just re-aggregate;
-   for ward, recomputed from sizes and centroids);
+1. candidate distances per active cluster pair from the edge table — kept
+   as Σd (Σd² for ward), max d and pair counts, so relabelled edges simply
+   re-aggregate;
 2. each cluster's nearest neighbour by ``min(struct(d, lo, hi, other))`` —
    a total order, so ties cannot form cycles;
 3. mutual pairs (a self-join of the nearest-neighbour table) are the merges;
@@ -20,8 +20,12 @@ sequential dendrogram.  A round is:
    of merges, collected) and re-aggregate.
 
 All five (linkage, metric) combinations run in the same rounds, keyed by a
-``combo`` column.  The edge / cluster tables are written to the shared
-checkpoint folder each round to cut lineage.
+``combo`` column.  Ward is edge-based too: with Q_AB the sum of squared
+cross distances (sum-aggregable like average linkage) and S_A the scatter of
+cluster A, ‖c_A − c_B‖² = (Q_AB − n_B·S_A − n_A·S_B)/(n_A·n_B); the scatters
+(one number per cluster, ≤ m) are tracked on the driver.  The edge table is
+persisted between rounds and written to the shared checkpoint folder every
+``cut_every`` rounds to cut lineage.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,87 +80,116 @@ class Linkage:
 
 
 def _cut(df: DataFrame, kind: str) -> DataFrame:
+    """Write to the shared checkpoint folder and read back (lineage cut)."""
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]]) -> Linkage:
+def _keep(df: DataFrame, kind: str, rnd: int, cut_every: int) -> DataFrame:
+    """Persist between rounds; every ``cut_every`` rounds cut lineage to Parquet."""
+    if rnd % cut_every == cut_every - 1:
+        return _cut(df, kind)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
+def _nearest_mutual(cand: DataFrame, edges: DataFrame) -> DataFrame:
+    """Mutual nearest-neighbour pairs ``(combo, a, b, d, s)`` with a < b (``s``: the edge's Σ)."""
+    sym = cand.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "d").unionByName(
+        cand.select("combo", F.col("j").alias("a"), F.col("i").alias("b"), "d"))
+    nn = sym.groupBy("combo", "a").agg(
+        F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("b").alias("b"))).alias("m")
+    ).select("combo", "a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
+    n2 = nn.select(F.col("combo").alias("combo2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    mutual = nn.join(n2, (nn.combo == n2.combo2) & (nn.a == n2.b2) & (nn.b == n2.a2) & (nn.a < nn.b)).select("combo", "a", "b", "d")
+    return mutual.join(edges.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "s"), ["combo", "a", "b"])
+
+
+def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]], cut_every: int = 2) -> Linkage:
     """Linkage for every (method, metric) combo over the bounded points ``(id, vec)``."""
     spark = points.sparkSession
     combos = list(combos)
-    pairs = pairwise(points)
+    m = points.count()
+    if m > SAMPLE_CAP:
+        raise ValueError(f"linkage needs a bounded sample: {m} > {SAMPLE_CAP} points")
+    # the working set is bounded by m²·combos rows: size the shuffles for it
+    prev = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(2, min(400, m * m * len(combos) // 2_000_000 + 2))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _agglomerate(points, combos, cut_every)
+    finally:
+        for k, v in prev.items():
+            spark.conf.set(k, v)
+
+
+def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2) -> Linkage:
+    spark = points.sparkSession
+    pairs = pairwise(points).withColumn("sq", F.col("euclidean") * F.col("euclidean"))
     ids = sorted(r["id"] for r in points.select("id").collect())
-    edge_parts, ward_combos = [], []
+    parts = []
     for k, (method, metric) in enumerate(combos):
-        if method == "ward":
-            if metric != "euclidean":
-                raise ValueError("ward linkage requires euclidean distance")
-            ward_combos.append(k)
-            continue
-        d = F.col(metric)
-        edge_parts.append(pairs.select(F.lit(k).alias("combo"), "i", "j", d.alias("s"), d.alias("mx"), F.lit(1).cast("bigint").alias("c")))
-    average = F.create_map(*[x for k, (m, _) in enumerate(combos) for x in (F.lit(k), F.lit(m == "average"))])
-    edges = None
-    if edge_parts:
-        e0 = edge_parts[0]
-        for p in edge_parts[1:]:
-            e0 = e0.unionByName(p)
-        edges = _cut(e0, "edges")
-    clusters = None
-    if ward_combos:
-        c0 = None
-        for k in ward_combos:
-            part = points.select(F.lit(k).alias("combo"), F.col("id").alias("cid"), F.lit(1).cast("bigint").alias("size"), F.col("vec").alias("centroid"))
-            c0 = part if c0 is None else c0.unionByName(part)
-        clusters = _cut(c0, "clusters")
+        if method == "ward" and metric != "euclidean":
+            raise ValueError("ward linkage requires euclidean distance")
+        d = F.col("sq") if method == "ward" else F.col(metric)
+        parts.append(pairs.select(F.lit(k).alias("combo"), "i", "j", d.alias("s"), d.alias("mx"), F.lit(1).cast("bigint").alias("c")))
+    e0 = parts[0]
+    for p in parts[1:]:
+        e0 = e0.unionByName(p)
+    edges = _cut(e0, "edges")
+    kind = {k: m for k, (m, _) in enumerate(combos)}
+    ward = [k for k, m in kind.items() if m == "ward"]
+    # driver-side cluster statistics (≤ m per combo): size and, for ward, the
+    # within-cluster sum of squared pair distances
+    size = {(k, v): 1 for k in kind for v in ids}
+    within = {(k, v): 0.0 for k in ward for v in ids}
+    is_avg = F.create_map(*[x for k, m in kind.items() for x in (F.lit(k), F.lit(m == "average"))])
 
     found: list[tuple] = []
     rnd = 0
     while True:
-        cands = []
-        if edges is not None:
-            dist = F.when(average[F.col("combo")], F.col("s") / F.col("c")).otherwise(F.col("mx"))
-            cands.append(edges.select("combo", "i", "j", dist.alias("d")))
-        if clusters is not None:
-            c1 = clusters.select("combo", F.col("cid").alias("i"), F.col("size").alias("ni"), F.col("centroid").alias("ci"))
-            c2 = clusters.select("combo", F.col("cid").alias("j"), F.col("size").alias("nj"), F.col("centroid").alias("cj"))
-            ward_d = F.sqrt(2.0 * F.col("ni") * F.col("nj") / (F.col("ni") + F.col("nj"))) * euclidean("ci", "cj")
-            cands.append(c1.join(c2, (c1.combo == c2.combo) & (F.col("i") < F.col("j"))).select(c1.combo, "i", "j", ward_d.alias("d")))
-        cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1])
-        sym = cand.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "d").unionByName(
-            cand.select("combo", F.col("j").alias("a"), F.col("i").alias("b"), "d"))
-        nn = sym.groupBy("combo", "a").agg(
-            F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("b").alias("b"))).alias("m")
-        ).select("combo", "a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
-        n2 = nn.select(F.col("combo").alias("combo2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        mutual = nn.join(n2, (nn.combo == n2.combo2) & (nn.a == n2.b2) & (nn.b == n2.a2) & (nn.a < nn.b)).select("combo", "a", "b", "d").collect()
+        dist = F.when(is_avg[F.col("combo")], F.col("s") / F.col("c")).otherwise(F.col("mx"))
+        cand = edges.select("combo", "i", "j", dist.alias("d"), "s")
+        if ward:
+            # ward: d² = 2·na·nb/(na+nb)·‖ca−cb‖², ‖ca−cb‖² = (Q − nb·Sa − na·Sb)/(na·nb), S = W/n
+            st = spark.createDataFrame(
+                [(k, v, float(size[(k, v)]), within[(k, v)] / size[(k, v)]) for (k, v) in within if size[(k, v)] > 0],
+                "combo int, cid long, n double, sc double")
+            st = F.broadcast(st)  # ≤ m rows per ward combo, built on the driver
+            a = st.select("combo", F.col("cid").alias("i"), F.col("n").alias("na"), F.col("sc").alias("sa"))
+            b = st.select("combo", F.col("cid").alias("j"), F.col("n").alias("nb"), F.col("sc").alias("sb"))
+            w = cand.where(F.col("combo").isin(ward)).join(a, ["combo", "i"]).join(b, ["combo", "j"])
+            c2 = (F.col("s") - F.col("nb") * F.col("sa") - F.col("na") * F.col("sb")) / (F.col("na") * F.col("nb"))
+            wd = F.sqrt(F.greatest(F.lit(0.0), 2.0 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * c2))
+            cand = cand.where(~F.col("combo").isin(ward)).select("combo", "i", "j", "d").unionByName(
+                w.select("combo", "i", "j", wd.alias("d")))
+        else:
+            cand = cand.select("combo", "i", "j", "d")
+        mutual = _nearest_mutual(cand, edges).collect()
         if not mutual:
             break
-        found.extend((r["combo"], r["a"], r["b"], r["d"], rnd) for r in mutual)
-        relabel = spark.createDataFrame([(r["combo"], r["b"], r["a"]) for r in mutual], "combo int, src long, dst long")
-        relabel = F.broadcast(relabel)  # one row per merge of this round (collected)
-        if edges is not None:
-            e = edges
-            for side in ("i", "j"):
-                m = relabel.select("combo", F.col("src").alias(side), F.col("dst").alias("_to"))
-                e = e.join(m, ["combo", side], "left").withColumn(side, F.coalesce(F.col("_to"), F.col(side))).drop("_to")
-            e = e.where(F.col("i") != F.col("j")).groupBy(
-                "combo", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
-            ).agg(F.sum("s").alias("s"), F.max("mx").alias("mx"), F.sum("c").alias("c"))
-            edges = _cut(e, "edges")
-        if clusters is not None:
-            merged = relabel.select("combo", F.col("dst").alias("a"), F.col("src").alias("b"))
-            ca = clusters.select("combo", F.col("cid").alias("a"), F.col("size").alias("na"), F.col("centroid").alias("va"))
-            cb = clusters.select("combo", F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("centroid").alias("vb"))
-            tot = F.col("na") + F.col("nb")
-            new = merged.join(ca, ["combo", "a"]).join(cb, ["combo", "b"]).select(
-                "combo", F.col("a").alias("cid"), tot.alias("size"),
-                F.zip_with("va", "vb", lambda x, y: (x * F.col("na") + y * F.col("nb")) / tot).alias("centroid"),
-            )
-            gone = merged.select("combo", F.col("a").alias("cid")).unionByName(merged.select("combo", F.col("b").alias("cid")))
-            keep = clusters.join(gone, ["combo", "cid"], "left_anti")
-            clusters = _cut(keep.unionByName(new), "clusters")
+        for r in mutual:
+            k, a_, b_ = r["combo"], r["a"], r["b"]
+            found.append((k, a_, b_, r["d"], rnd))
+            if k in ward:
+                within[(k, a_)] = within[(k, a_)] + within[(k, b_)] + r["s"]
+                within[(k, b_)] = 0.0
+            size[(k, a_)] += size[(k, b_)]
+            size[(k, b_)] = 0
+        # one row per merge of this round (collected above, so its size is known)
+        relabel = F.broadcast(spark.createDataFrame([(r["combo"], r["b"], r["a"]) for r in mutual], "combo int, src long, dst long"))
+        e = edges
+        for side in ("i", "j"):
+            mp = relabel.select("combo", F.col("src").alias(side), F.col("dst").alias("_to"))
+            e = e.join(mp, ["combo", side], "left").withColumn(side, F.coalesce(F.col("_to"), F.col(side))).drop("_to")
+        e = e.where(F.col("i") != F.col("j")).groupBy(
+            "combo", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
+        ).agg(F.sum("s").alias("s"), F.max("mx").alias("mx"), F.sum("c").alias("c"))
+        old = edges
+        edges = _keep(e, "edges", rnd, cut_every)
+        old.unpersist()
         rnd += 1
 
     pos = {v: i for i, v in enumerate(ids)}
@@ -164,13 +198,13 @@ def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]]) -> Linkage
     for k in range(len(combos)):
         rows = sorted((x for x in found if x[0] == k), key=lambda x: (x[3], x[4], x[1], x[2]))
         label = {v: pos[v] for v in ids}
-        size = {v: 1 for v in ids}
+        sz = {v: 1 for v in ids}
         steps = []
         for step, (_, a, b, d, _r) in enumerate(rows):
             la, lb = label[a], label[b]
-            size[a] += size[b]
+            sz[a] += sz[b]
             label[a] = m + step
-            steps.append((step, min(la, lb), max(la, lb), float(d), size[a], a, b))
+            steps.append((step, min(la, lb), max(la, lb), float(d), sz[a], a, b))
         out[k] = steps
     return Linkage(combos, ids, out)
 
