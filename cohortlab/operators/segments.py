@@ -43,6 +43,11 @@ from cohortlab.session import scratch_path
 SAMPLE_CAP = 5_000
 
 
+def valid_combinations(methods: Sequence[str], metrics: Sequence[str]) -> list[tuple[str, str]]:
+    """(linkage, metric) pairs in metric-major order; ward only with euclidean."""
+    return [(m, d) for d in metrics for m in methods if not (m == "ward" and d != "euclidean")]
+
+
 def _diff(a: str, b: str):
     return F.zip_with(F.col(a), F.col(b), lambda x, y: x - y)
 
@@ -87,7 +92,8 @@ def _cut(df: DataFrame, kind: str) -> DataFrame:
 
 
 def _keep(df: DataFrame, kind: str, rnd: int, cut_every: int) -> DataFrame:
-    """Persist between rounds; every ``cut_every`` rounds cut lineage to Parquet."""
+    """Persist between rounds (materialised now: the next round reads it twice);
+    every ``cut_every`` rounds cut lineage to Parquet instead."""
     if rnd % cut_every == cut_every - 1:
         return _cut(df, kind)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -148,6 +154,7 @@ def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2) -> Linkage
     is_avg = F.create_map(*[x for k, m in kind.items() for x in (F.lit(k), F.lit(m == "average"))])
 
     found: list[tuple] = []
+    stale: list[DataFrame] = []
     rnd = 0
     while True:
         dist = F.when(is_avg[F.col("combo")], F.col("s") / F.col("c")).otherwise(F.col("mx"))
@@ -168,6 +175,9 @@ def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2) -> Linkage
         else:
             cand = cand.select("combo", "i", "j", "d")
         mutual = _nearest_mutual(cand, edges).collect()
+        for x in stale:
+            x.unpersist()
+        stale = []
         if not mutual:
             break
         for r in mutual:
@@ -187,9 +197,8 @@ def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2) -> Linkage
         e = e.where(F.col("i") != F.col("j")).groupBy(
             "combo", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
         ).agg(F.sum("s").alias("s"), F.max("mx").alias("mx"), F.sum("c").alias("c"))
-        old = edges
+        stale.append(edges)
         edges = _keep(e, "edges", rnd, cut_every)
-        old.unpersist()
         rnd += 1
 
     pos = {v: i for i, v in enumerate(ids)}

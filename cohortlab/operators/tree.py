@@ -74,7 +74,7 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int
     est = DecisionTreeRegressor(
         featuresCol="features", labelCol="_label", maxDepth=min(max_depth, MAX_SPARK_DEPTH), maxBins=max_bins,
         minInstancesPerNode=1, minInfoGain=0.0, impurity="variance", seed=seed, leafCol="leaf",
-        cacheNodeIds=True, checkpointInterval=10,
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024,
     )
     model = est.fit(data)
     return TreeFit(model, list(features), read_nodes(df.sparkSession, model))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cohortlab.functions.columns import band, below_band, ratio_feature
 from cohortlab.operators import linear, moments, profile, rates, segments, tree
-from cohortlab.operators.joins import in_set, mark_membership
+from cohortlab.operators.joins import in_set, left_lookup, mark_membership
 from cohortlab.plans import oracle as O
 from cohortlab.plans.pipeline import pipeline
 from cohortlab.roles import (
@@ -35,7 +35,6 @@ from cohortlab.roles import (
     GAP_BANDS,
     L1_RATIO_GRID,
     LASSO_PATH_ALPHAS,
-    LINKAGE_COMBOS,
     NUM_CLUSTERS,
     P_SIGNIFICANT,
     PRUNED_DEPTH,
@@ -173,16 +172,29 @@ def q_lasso_path(spark, sf):
     return _rows(spark, rows, "log10_alpha double, alpha double, feature string, coef double")
 
 
+def _coef_frame(spark, fit, name):
+    return _rows(spark, [(f, float(c)) for f, c in zip(fit.features, fit.coef)], f"feature string, {name} double")
+
+
 def q_coef_compare(spark, sf):
+    """Coefficients of the four models side by side (full outer join on feature)."""
     m = pipeline(spark, sf).models()
-    feats = m["OLS"].features
-    rows = []
-    for i, f in enumerate(feats):
-        o, rd, la, en = (float(m[k].coef[i]) for k in ("OLS", "Ridge", "Lasso", "ElasticNet"))
-        rows.append((f, _r(o), _r(rd), _r(la), _r(en), _r(abs(o - rd)), la == 0.0, en == 0.0))
-    df = _rows(spark, rows, "feature string, ols double, ridge double, lasso double, elasticnet double, shrinkage double, "
-                            "lasso_zeroed boolean, enet_zeroed boolean")
-    return df.withColumn("shrinkage_band", band("shrinkage", BAND_SHRINKAGE))
+    df = None
+    for name, col in (("OLS", "ols"), ("Ridge", "ridge"), ("Lasso", "lasso"), ("ElasticNet", "elasticnet")):
+        f = _coef_frame(spark, m[name], col)
+        df = f if df is None else df.join(f, "feature", "full_outer")
+    out = df.select(
+        "feature", *[F.round(c, 6).alias(c) for c in ("ols", "ridge", "lasso", "elasticnet")],
+        F.round(F.abs(F.col("ols") - F.col("ridge")), 6).alias("shrinkage"),
+        (F.col("lasso") == 0).alias("lasso_zeroed"), (F.col("elasticnet") == 0).alias("enet_zeroed"),
+    )
+    return out.withColumn("shrinkage_band", band("shrinkage", BAND_SHRINKAGE))
+
+
+def q_coef_long(spark, sf):
+    """The coefficient comparison melted to (feature, model, coef)."""
+    wide = q_coef_compare(spark, sf)
+    return wide.unpivot(["feature"], ["ols", "ridge", "lasso", "elasticnet"], "model", "coef")
 
 
 def _model_rows(p, models):
@@ -411,7 +423,8 @@ def q_cluster_compare(spark, sf):
     out = sizes.join(sil, ["method", "metric"])
     best = out.agg(F.max_by(F.struct("method", "metric"), "silhouette").alias("b")).collect()[0]["b"]
     return out.withColumn("recommended", (F.col("method") == best["method"]) & (F.col("metric") == best["metric"])).withColumn(
-        "balance_band", below_band("max_over_min", [(2.0, "balanced"), (4.0, "moderate")], "unbalanced"))
+        "balance_band", below_band("max_over_min", [(2.0, "balanced"), (4.0, "moderate")], "unbalanced")).withColumn(
+        "suitability", F.when(F.col("chaining"), "not suitable, chaining detected").otherwise("suitable"))
 
 
 def _profile(p, method="complete"):
@@ -488,22 +501,33 @@ def q_high_risk(spark, sf):
 
 
 def q_contradictions(spark, sf):
+    """Predicted to stay but in the risk segment, with the actual outcome looked
+    up by a left join on id (duplicate ids would fan out, as a plain merge does)."""
     p = pipeline(spark, sf)
-    m = in_set(master(p).where(F.col("predicted_attrition") == 0), risk_ids(p), "id")
+    m = in_set(master(p).drop("target").where(F.col("predicted_attrition") == 0), risk_ids(p), "id")
+    m = left_lookup(m, p.clean.select(F.col(R.id).alias("id"), F.col(R.target).alias("target")), "id")
     return _m6(m.withColumn("gap_band", below_band("gap", GAP_BANDS, "fair")))
 
 
+def gap_summary(df: DataFrame, by: list[str]) -> DataFrame:
+    """n, underpaid n and %, mean actual / predicted / gap per group (empty-safe)."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") < 0).alias("underpaid"),
+        F.round(F.try_divide(F.count_if(F.col("gap") < 0) * 100.0, F.count(F.lit(1))), 4).alias("underpaid_pct"),
+        F.round(F.avg("gap"), 4).alias("mean_gap"), F.round(F.avg("actual"), 4).alias("mean_actual"),
+        F.round(F.avg("predicted"), 4).alias("mean_predicted"))
+
+
+def q_high_risk_summary(spark, sf):
+    return gap_summary(q_high_risk(spark, sf), [])
+
+
 def q_fairness(spark, sf):
     p = pipeline(spark, sf)
     m = mark_membership(master(p), risk_ids(p), "id", "in_risk")
     allrows = m.select(F.lit("all").alias("cohort"), "gap", "actual", "predicted")
     risk = m.where("in_risk").select(F.lit("risk").alias("cohort"), "gap", "actual", "predicted")
-    u = allrows.unionByName(risk)
-    return u.groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") < 0).alias("underpaid"),
-        F.round(F.try_divide(F.count_if(F.col("gap") < 0) * 100.0, F.count(F.lit(1))), 4).alias("underpaid_pct"),
-        F.round(F.avg("gap"), 4).alias("mean_gap"), F.round(F.avg("actual"), 4).alias("mean_actual"),
-        F.round(F.avg("predicted"), 4).alias("mean_predicted"))
+    return gap_summary(allrows.unionByName(risk), ["cohort"])
 
 
 def q_performance(spark, sf):
@@ -536,7 +560,7 @@ def q_report_facts(spark, sf):
 QUERIES = {
     "q_ols": q_ols, "q_reg_metrics": q_reg_metrics, "q_ols_inference": q_ols_inference, "q_vif": q_vif, "q_vif_2f": q_vif_2f,
     "q_remedy": q_remedy, "q_ridge_cv": q_ridge_cv, "q_lasso_cv": q_lasso_cv, "q_enet_cv": q_enet_cv,
-    "q_ridge_cv_1f": q_ridge_cv_1f, "q_lasso_path": q_lasso_path, "q_coef_compare": q_coef_compare,
+    "q_ridge_cv_1f": q_ridge_cv_1f, "q_lasso_path": q_lasso_path, "q_coef_compare": q_coef_compare, "q_coef_long": q_coef_long,
     "q_model_compare": q_model_compare, "q_fe_regression": q_fe_regression,
     "q_stump": q_stump, "q_tree_struct": q_tree_struct, "q_tree_nodes": q_tree_nodes, "q_depth_curve": q_depth_curve,
     "q_depth_zones": q_depth_zones, "q_paths": q_paths, "q_importance": q_importance, "q_probability": q_probability,
@@ -544,7 +568,8 @@ QUERIES = {
     "q_pairwise": q_pairwise, "q_silhouette": q_silhouette, "q_linkage": q_linkage, "q_cut": q_cut,
     "q_last_merges": q_last_merges, "q_cluster_compare": q_cluster_compare, "q_profile": q_profile, "q_segments": q_segments,
     "q_cluster_box": q_cluster_box, "q_cluster_attrition": q_cluster_attrition,
-    "q_master": q_master, "q_high_risk": q_high_risk, "q_contradictions": q_contradictions, "q_fairness": q_fairness,
+    "q_master": q_master, "q_high_risk": q_high_risk, "q_high_risk_summary": q_high_risk_summary,
+    "q_contradictions": q_contradictions, "q_fairness": q_fairness,
     "q_performance": q_performance, "q_report_facts": q_report_facts,
 }
 

@@ -20,7 +20,8 @@ from cohortlab.roles import (
     ENTITY,
     ENTITY_CLUSTER_FEATURES,
     L1_RATIO_GRID,
-    LINKAGE_COMBOS,
+    DISTANCE_METRICS,
+    LINKAGE_METHODS,
     NUM_CLUSTERS,
     SAMPLE_SIZE,
     SPLIT_SEED,
@@ -196,7 +197,7 @@ class Pipeline:
 
     @cached_property
     def linkage(self) -> segments.Linkage:
-        return segments.agglomerate(self.points, LINKAGE_COMBOS)
+        return segments.agglomerate(self.points, segments.valid_combinations(LINKAGE_METHODS, DISTANCE_METRICS))
 
     @cached_property
     def labels(self) -> DataFrame:

@@ -98,8 +98,8 @@ SAMPLE_SIZE = 300
 NUM_CLUSTERS = 3
 PRUNED_DEPTH = 4
 TOP_N = 10
-LINKAGE_COMBOS = (("average", "euclidean"), ("complete", "euclidean"), ("ward", "euclidean"),
-                  ("average", "manhattan"), ("complete", "manhattan"))
+LINKAGE_METHODS = ("average", "complete", "ward")
+DISTANCE_METRICS = ("euclidean", "manhattan")
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — configuration of the entity view over the TPC-H-like tables.

@@ -43,3 +43,20 @@ def test_flags_and_dropped_reasons(spark):
     assert dropped == {2: "age < 15 or > 80", 3: "pay_low <= 0"}
     miss = {r["column"]: r["missing_count"] for r in quality.missing_report(raw).collect()}
     assert miss == {"age": 1, "pay": 1, "tenure": 1, "score": 1, "dept": 1, "kind": 1}
+
+
+def test_read_entities_csv_na_tokens_and_bad_cells(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from cohortlab.sources.tables import read_entities, shape_report
+
+    p = tmp_path / "raw.csv"
+    p.write_text("id,age,dept\n1,30,OPS\n2,NA,n/a\n3,abc,\n4,NaN,Sales\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("age", T.DoubleType()),
+                           T.StructField("dept", T.StringType())])
+    df = read_entities(spark, str(p), schema)
+    rows = {r["id"]: r for r in df.collect()}
+    assert rows[1]["age"] == 30.0 and rows[2]["age"] is None and rows[3]["age"] is None and rows[4]["age"] is None
+    assert rows[2]["dept"] is None and rows[3]["dept"] is None and rows[4]["dept"] == "Sales"
+    shape = shape_report(df, df.where("age IS NOT NULL")).collect()[0]
+    assert (shape["raw_rows"], shape["clean_rows"], shape["removed_rows"], shape["raw_cols"]) == (4, 1, 3, 3)

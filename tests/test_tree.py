@@ -48,3 +48,14 @@ def test_paths_value_at_threshold_goes_left(spark):
     assert path[0]["direction"] == "left" and path[-1]["type"] == "leaf"
     imp = dict(tree.importances(fit))
     assert abs(sum(imp.values()) - 1.0) < 1e-9
+
+
+def test_probe_row_is_scored_like_the_model(spark):
+    rows = [(float(i % 5), float(i % 3), 1 if (i % 5) >= 3 else 0, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, label int, id int")
+    fit = tree.fit_tree(df, ["a", "b"], "label", max_depth=3)
+    probe = spark.createDataFrame([(4.0, 0.0, 0, -1)], "a double, b double, label int, id int")
+    p = tree.with_leaf(fit, probe).collect()[0]
+    path = tree.trace_paths(fit, probe, "id").orderBy("step").collect()
+    leaf = fit.nodes[path[-1]["node"]]
+    assert p["p"] == leaf.prediction and path[-1]["prediction"] == (1 if leaf.prediction > 0.5 else 0)
