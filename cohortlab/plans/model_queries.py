@@ -522,6 +522,42 @@ def q_high_risk_summary(spark, sf):
     return gap_summary(q_high_risk(spark, sf), [])
 
 
+def q_contradiction_summary(spark, sf):
+    c = q_contradictions(spark, sf)
+    return c.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").alias("actually_left"),
+        F.round(F.try_divide(F.sum("target") * 100.0, F.count(F.lit(1))), 4).alias("left_pct"),
+        F.count_if(F.col("gap") < 0).alias("underpaid"), F.round(F.avg("attrition_probability"), 6).alias("mean_probability"))
+
+
+RULE_RISK_DISC = 5.0
+RULE_LEAVE_LINES = 5.0
+
+
+def q_rule_cohorts(spark, sf):
+    """The cohort operators on deterministic rule scores (SQL-checkable):
+    leave if n_lines ≥ 5, benchmark = department mean of gross, risk segment =
+    sampled entities with disc > 5."""
+    p = pipeline(spark, sf)
+    c = p.clean
+    bench_ = c.groupBy("department").agg(F.avg(Y).alias("predicted"))
+    scored = c.join(bench_, "department").select(
+        F.col(R.id).cast("string").alias("id"), F.col(Y).alias("actual"),
+        (F.col("n_lines") >= RULE_LEAVE_LINES).cast("int").alias("predicted_attrition"), "predicted",
+    ).withColumn("gap", F.col("actual") - F.col("predicted"))
+    risk = p.sample.where(F.col("disc") > RULE_RISK_DISC).select(F.col(R.id).alias("id"))
+    m = mark_membership(scored, risk, "id", "in_risk")
+    cohorts = (
+        m.select(F.lit("all").alias("cohort"), "gap", "actual", "predicted")
+        .unionByName(m.where("in_risk").select(F.lit("risk").alias("cohort"), "gap", "actual", "predicted"))
+        .unionByName(in_set(scored.where(F.col("predicted_attrition") == 1), risk, "id")
+                     .select(F.lit("high_risk").alias("cohort"), "gap", "actual", "predicted"))
+        .unionByName(in_set(scored.where(F.col("predicted_attrition") == 0), risk, "id")
+                     .select(F.lit("contradiction").alias("cohort"), "gap", "actual", "predicted"))
+    )
+    return gap_summary(cohorts, ["cohort"])
+
+
 def q_fairness(spark, sf):
     p = pipeline(spark, sf)
     m = mark_membership(master(p), risk_ids(p), "id", "in_risk")
@@ -569,7 +605,8 @@ QUERIES = {
     "q_last_merges": q_last_merges, "q_cluster_compare": q_cluster_compare, "q_profile": q_profile, "q_segments": q_segments,
     "q_cluster_box": q_cluster_box, "q_cluster_attrition": q_cluster_attrition,
     "q_master": q_master, "q_high_risk": q_high_risk, "q_high_risk_summary": q_high_risk_summary,
-    "q_contradictions": q_contradictions, "q_fairness": q_fairness,
+    "q_contradictions": q_contradictions, "q_contradiction_summary": q_contradiction_summary, "q_fairness": q_fairness,
+    "q_rule_cohorts": q_rule_cohorts,
     "q_performance": q_performance, "q_report_facts": q_report_facts,
 }
 
@@ -652,8 +689,26 @@ def _silhouette_sql() -> str:
     )
 
 
+def _rule_cohorts_sql() -> str:
+    return (
+        f"WITH {O.CLEAN_CTE}, {O.stratified_sample_sql('clean', 'id', 'target', SAMPLE_SIZE, SPLIT_SEED)}, "
+        f"b AS (SELECT department, avg({Y}) AS predicted FROM clean GROUP BY department), "
+        f"sc AS (SELECT CAST(c.id AS VARCHAR) AS id, c.{Y} AS actual, CAST(c.n_lines >= {RULE_LEAVE_LINES!r} AS INTEGER) AS pa, "
+        f"b.predicted, c.{Y} - b.predicted AS gap FROM clean c JOIN b USING (department)), "
+        f"risk AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id FROM smp WHERE disc > {RULE_RISK_DISC!r}), "
+        "co AS (SELECT 'all' AS cohort, gap, actual, predicted FROM sc "
+        "UNION ALL SELECT 'risk', gap, actual, predicted FROM sc WHERE id IN (SELECT id FROM risk) "
+        "UNION ALL SELECT 'high_risk', gap, actual, predicted FROM sc WHERE pa = 1 AND id IN (SELECT id FROM risk) "
+        "UNION ALL SELECT 'contradiction', gap, actual, predicted FROM sc WHERE pa = 0 AND id IN (SELECT id FROM risk)) "
+        "SELECT cohort, count(*) AS n, count(*) FILTER (WHERE gap < 0) AS underpaid, "
+        "round(count(*) FILTER (WHERE gap < 0) * 100.0 / count(*), 4) AS underpaid_pct, round(avg(gap), 4) AS mean_gap, "
+        "round(avg(actual), 4) AS mean_actual, round(avg(predicted), 4) AS mean_predicted FROM co GROUP BY cohort"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "q_rule_cohorts": _rule_cohorts_sql(),
         "q_vif_2f": _vif_2f_sql(),
         "q_ridge_cv_1f": _ridge_1f_sql(),
         "q_stump": _stump_sql(),
