@@ -39,33 +39,49 @@ def value_histogram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     return long_values(df, cols, by, dtype).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+SMALL_KEY = 200_000  # distinct values a single window partition may sort
+
+
 def select_ranks(hist: DataFrame, keys: Sequence[str], ranks_for, buckets: int = 128) -> tuple[dict, list]:
     """Exact order statistics from a histogram ``(keys..., value, n)``.
 
     ``ranks_for(key_tuple, total) -> iterable of 0-based ranks``.  Returns
-    ``({(key_tuple, rank): value}, [(key_tuple, total), ...])``.  Three jobs;
-    the driver sees only per-key bucket bounds and counts and the picked values.
+    ``({(key_tuple, rank): value}, [(key_tuple, total), ...])``.  At most three
+    jobs; the driver sees only per-key bucket bounds and counts and the picked
+    values.  Keys with at most ``SMALL_KEY`` distinct values form one bucket,
+    and when every key is that small the bucket-count job is skipped.
     """
     spark = hist.sparkSession
     keys = list(keys)
     grid = [i / buckets for i in range(1, buckets)]
-    bounds_rows = (
+    raw_rows = (
         hist.groupBy(*keys)
-        .agg(F.percentile_approx("value", grid, max(10_000, 4 * buckets)).alias("bounds"), F.sum("n").alias("total"))
+        .agg(F.percentile_approx("value", grid, max(10_000, 4 * buckets)).alias("bounds"), F.sum("n").alias("total"),
+             F.count(F.lit(1)).alias("distinct"))
         .collect()
     )
-    if not bounds_rows:
+    if not raw_rows:
         return {}, []
-    bounds = spark.createDataFrame(bounds_rows, _schema(hist, keys, [("bounds", T.ArrayType(hist.schema["value"].dataType)), ("total", T.LongType())]))
+    bounds_rows = [
+        {**{k: r[k] for k in keys}, "bounds": [] if r["distinct"] <= SMALL_KEY else r["bounds"], "total": r["total"]}
+        for r in raw_rows
+    ]
+    all_small = all(r["distinct"] <= SMALL_KEY for r in raw_rows)
+    bounds = spark.createDataFrame(
+        [tuple(r[k] for k in keys) + (r["bounds"], r["total"]) for r in bounds_rows],
+        _schema(hist, keys, [("bounds", T.ArrayType(hist.schema["value"].dataType)), ("total", T.LongType())]))
     # bucket = number of bounds strictly below the value; bounds has one row
     # per key — collected above, so its size is known.
     bucketed = hist.join(F.broadcast(bounds.select(*keys, "bounds")), keys).select(
         *keys, "value", "n", F.size(F.filter("bounds", lambda b: b < F.col("value"))).alias("bucket")
     )
-    counts = bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn")).collect()
     per_key: dict[tuple, list[tuple[int, int]]] = {}
-    for r in counts:
-        per_key.setdefault(tuple(r[k] for k in keys), []).append((r["bucket"], r["bn"]))
+    if all_small:
+        for b in bounds_rows:
+            per_key[tuple(b[k] for k in keys)] = [(0, b["total"])]
+    else:
+        for r in bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn")).collect():
+            per_key.setdefault(tuple(r[k] for k in keys), []).append((r["bucket"], r["bn"]))
     totals, wanted = [], []
     for b in bounds_rows:
         k = tuple(b[c] for c in keys)

@@ -197,12 +197,28 @@ class Pipeline:
 
     @cached_property
     def linkage(self) -> segments.Linkage:
+        """All valid (linkage, metric) combinations, computed in shared rounds."""
         return segments.agglomerate(self.points, segments.valid_combinations(LINKAGE_METHODS, DISTANCE_METRICS))
 
+    def _labels_of(self, lk: segments.Linkage) -> DataFrame:
+        lab = segments.cut_labels(lk, NUM_CLUSTERS)
+        return segments.labels_frame(self.spark, lk, lab, self.clean.schema[self.roles.id].dataType)
+
     @cached_property
     def labels(self) -> DataFrame:
-        lab = segments.cut_labels(self.linkage, NUM_CLUSTERS)
-        return segments.labels_frame(self.spark, self.linkage, lab, self.clean.schema[self.roles.id].dataType)
+        return self._labels_of(self.linkage)
+
+    @cached_property
+    def _single(self) -> dict:
+        return {}
 
     def labels_for(self, method: str, metric: str = "euclidean") -> DataFrame:
-        return self.labels.where((F.col("method") == method) & (F.col("metric") == metric)).select("id", "cluster")
+        """One labelling; computes only that combination unless all are already known."""
+        if "linkage" in self.__dict__:
+            lab = self.labels
+        else:
+            key = (method, metric)
+            if key not in self._single:
+                self._single[key] = self._labels_of(segments.agglomerate(self.points, [key]))
+            lab = self._single[key]
+        return lab.where((F.col("method") == method) & (F.col("metric") == metric)).select("id", "cluster")

@@ -27,3 +27,15 @@ def test_mode_ties_pick_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), (None,), (None,)], "c string")
     r = exact_modes(df, ["c"]).collect()[0]
     assert r["value"] == "a" and r["n"] == 2  # NULL never wins, tie -> smallest
+
+
+def test_bucketed_path_matches_numpy(spark, monkeypatch):
+    import cohortlab.operators.quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL_KEY", 10)  # force the multi-bucket path
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=4000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = {r["prob"]: r["value"] for r in Q.exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], buckets=16).collect()}
+    for p, v in got.items():
+        assert abs(v - np.quantile(x, p)) < 1e-12
