@@ -1,8 +1,8 @@
 """Shared artifacts of the analysis, computed once per (session, data folder).
 
-The clean table is the fan-out point of every report: it is written once to
-the shared checkpoint folder (lineage cut; survives executor loss) and read
-back.  Model artifacts are small driver-side objects (coefficients, tree
+The raw entity table and the filtered table are the fan-out points of every
+report: each is written once to the shared checkpoint folder (lineage cut;
+survives executor loss) and read back.  Model artifacts are small driver-side objects (coefficients, tree
 nodes, merge lists) derived from single aggregation passes.
 """
 
@@ -55,7 +55,9 @@ class Pipeline:
     # ------------------------------------------------------------ cleaning
     @cached_property
     def raw(self) -> DataFrame:
-        return entity_view(self.spark, self.sf_dir)
+        """The raw entity table, written once (one row per order): the raw-side
+        reports and the cleaning chain read it instead of re-aggregating lines."""
+        return materialize(entity_view(self.spark, self.sf_dir), "raw")
 
     @cached_property
     def _clean(self):
