@@ -329,11 +329,16 @@ def q_paths(spark, sf):
 
 
 def q_importance(spark, sf):
-    imp = sorted(tree.importances(pipeline(spark, sf).tree), key=lambda t: (-t[1], t[0]))[:TOP_N]
-    top = max((v for _, v in imp), default=0.0) or 1.0
-    rows = [(i + 1, f, _r(v * 100, 2), _r(v / top, 6)) for i, (f, v) in enumerate(imp)]
-    df = _rows(spark, rows, "rank int, feature string, importance_pct double, share_of_max double")
-    return df.withColumn("band", band("importance_pct", BAND_IMPORTANCE, inclusive=True))
+    """Top-10 importances with rank (window over the small importance table),
+    percentage, band and the bar length as a share of the largest."""
+    from pyspark.sql import Window
+
+    imp = _rows(spark, tree.importances(pipeline(spark, sf).tree), "feature string, importance double")
+    ranked = imp.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+    top = ranked.where(F.col("rank") <= TOP_N).withColumn("importance_pct", F.round(F.col("importance") * 100, 2))
+    mx = F.max("importance_pct").over(Window.partitionBy())
+    return top.select("rank", "feature", "importance_pct", F.round(F.col("importance_pct") / mx, 6).alias("share_of_max"),
+                      band("importance_pct", BAND_IMPORTANCE, inclusive=True).alias("band"))
 
 
 def q_probability(spark, sf):
