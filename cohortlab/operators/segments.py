@@ -13,9 +13,9 @@ sequential dendrogram.  A round is:
 1. candidate distances per active cluster pair from the edge table — kept
    as Σd (Σd² for ward), max d and pair counts, so relabelled edges simply
    re-aggregate;
-2. each cluster's nearest neighbour by ``min(struct(d, lo, hi, other))`` —
-   a total order, so ties cannot form cycles;
-3. mutual pairs (a self-join of the nearest-neighbour table) are the merges;
+2. each cluster's nearest neighbour by ``min(struct(d, lo, hi))`` — a total
+   order on edges, so ties cannot form cycles;
+3. mutual pairs (edges proposed by both endpoints) are the merges;
 4. relabel the merged endpoints with a broadcast map (its size is the number
    of merges, collected) and re-aggregate.
 
@@ -102,14 +102,19 @@ def _keep(df: DataFrame, kind: str, rnd: int, cut_every: int) -> DataFrame:
 
 
 def _nearest_mutual(cand: DataFrame, edges: DataFrame) -> DataFrame:
-    """Mutual nearest-neighbour pairs ``(combo, a, b, d, s)`` with a < b (``s``: the edge's Σ)."""
+    """Mutual nearest-neighbour pairs ``(combo, a, b, d, s)`` with a < b (``s``: the edge's Σ).
+
+    Every cluster proposes the edge to its nearest neighbour; a pair proposed
+    by both endpoints is mutual (one aggregation, no self-join).
+    """
     sym = cand.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "d").unionByName(
         cand.select("combo", F.col("j").alias("a"), F.col("i").alias("b"), "d"))
     nn = sym.groupBy("combo", "a").agg(
-        F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("b").alias("b"))).alias("m")
-    ).select("combo", "a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
-    n2 = nn.select(F.col("combo").alias("combo2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    mutual = nn.join(n2, (nn.combo == n2.combo2) & (nn.a == n2.b2) & (nn.b == n2.a2) & (nn.a < nn.b)).select("combo", "a", "b", "d")
+        F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("m")
+    )
+    mutual = nn.groupBy("combo", F.col("m.lo").alias("a"), F.col("m.hi").alias("b")).agg(
+        F.count(F.lit(1)).alias("k"), F.min("m.d").alias("d")
+    ).where(F.col("k") == 2).select("combo", "a", "b", "d")
     return mutual.join(edges.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "s"), ["combo", "a", "b"])
 
 
