@@ -162,6 +162,31 @@ def q_ridge_cv_1f(spark, sf):
     return df.groupBy("alpha").agg(F.round(F.avg("rmse"), 4).alias("mean_rmse"))
 
 
+OLS_PAIR = ("n_lines", "qty")
+
+
+def q_ols_2f(spark, sf):
+    """Two-feature OLS on the training rows (Cramer's rule in the SQL oracle)."""
+    p = pipeline(spark, sf)
+    g = moments.gram(p.reg_data.where(~F.col("is_test")), list(OLS_PAIR), Y,
+                     shift={c: p.medians[c] for c in (*OLS_PAIR, Y)})[None]
+    fit = linear.ols(g)
+    rows = [("const", _r(fit.intercept, 4))] + [(f, _r(c, 4)) for f, c in zip(fit.features, fit.coef)]
+    return _rows(spark, rows, "feature string, coef double")
+
+
+def q_enet_cv_1f(spark, sf):
+    """One-feature lasso / elastic net over the α × l1_ratio grid with 5-fold CV
+    (closed form soft(Sxy/n, αρ)/(Sxx/n + α(1−ρ)) in the SQL oracle)."""
+    p = pipeline(spark, sf)
+    grams = moments.gram(p.reg_data.where(~F.col("is_test")), [RIDGE_1F], Y, group="fold",
+                         shift={RIDGE_1F: p.medians[RIDGE_1F], Y: p.medians[Y]})
+    grid = [(a, r) for a in ALPHA_GRID for r in (*L1_RATIO_GRID, 1.0)]
+    rows = linear.cv_grid(grams, grid, "enet")
+    df = _rows(spark, [(r["alpha"], r["l1_ratio"], r["fold"], r["rmse"]) for r in rows], "alpha double, l1_ratio double, fold int, rmse double")
+    return df.groupBy("alpha", "l1_ratio").agg(F.round(F.avg("rmse"), 4).alias("mean_rmse"))
+
+
 def q_lasso_path(spark, sf):
     g = pipeline(spark, sf).train_gram
     rows, warm = [], None
@@ -601,7 +626,7 @@ def q_report_facts(spark, sf):
 QUERIES = {
     "q_ols": q_ols, "q_reg_metrics": q_reg_metrics, "q_ols_inference": q_ols_inference, "q_vif": q_vif, "q_vif_2f": q_vif_2f,
     "q_remedy": q_remedy, "q_ridge_cv": q_ridge_cv, "q_lasso_cv": q_lasso_cv, "q_enet_cv": q_enet_cv,
-    "q_ridge_cv_1f": q_ridge_cv_1f, "q_lasso_path": q_lasso_path, "q_coef_compare": q_coef_compare, "q_coef_long": q_coef_long,
+    "q_ridge_cv_1f": q_ridge_cv_1f, "q_ols_2f": q_ols_2f, "q_enet_cv_1f": q_enet_cv_1f, "q_lasso_path": q_lasso_path, "q_coef_compare": q_coef_compare, "q_coef_long": q_coef_long,
     "q_model_compare": q_model_compare, "q_fe_regression": q_fe_regression,
     "q_stump": q_stump, "q_tree_struct": q_tree_struct, "q_tree_nodes": q_tree_nodes, "q_depth_curve": q_depth_curve,
     "q_depth_zones": q_depth_zones, "q_paths": q_paths, "q_importance": q_importance, "q_probability": q_probability,
@@ -648,6 +673,40 @@ def _ridge_1f_sql() -> str:
     ).replace("\n, reg", ",\nreg")
 
 
+def _ols_2f_sql() -> str:
+    a, b = OLS_PAIR
+    return O.with_enc(
+        f", {_train_reg()}, m AS (SELECT avg({a}) AS ma, avg({b}) AS mb, avg({Y}) AS my FROM reg), "
+        f"s AS (SELECT sum(({a} - ma) * ({a} - ma)) AS saa, sum(({b} - mb) * ({b} - mb)) AS sbb, "
+        f"sum(({a} - ma) * ({b} - mb)) AS sab, sum(({a} - ma) * ({Y} - my)) AS say, sum(({b} - mb) * ({Y} - my)) AS sby, "
+        f"any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my FROM reg, m), "
+        f"w AS (SELECT (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb, "
+        f"ma, mb, my FROM s) "
+        f"SELECT 'const' AS feature, round(my - wa * ma - wb * mb, 4) AS coef FROM w "
+        f"UNION ALL SELECT {O.q(a)}, round(wa, 4) FROM w UNION ALL SELECT {O.q(b)}, round(wb, 4) FROM w"
+    )
+
+
+def _enet_1f_sql() -> str:
+    x = RIDGE_1F
+    fold = f"CAST(('0x' || substr({O._md5('id', SPLIT_SEED + 1)}, 1, 8))::BIGINT % 5 AS INTEGER)"
+    grid = ", ".join(f"({a!r}, {r!r})" for a in ALPHA_GRID for r in (*L1_RATIO_GRID, 1.0))
+    return O.with_enc(
+        f", reg AS (SELECT {x} AS x, {Y} AS y, {fold} AS fold FROM enc WHERE NOT ({O._md5('id', SPLIT_SEED)} < '4ccccccc')), "
+        f"folds AS (SELECT DISTINCT fold FROM reg), "
+        f"m AS (SELECT f.fold, avg(r.x) AS mx, avg(r.y) AS my, count(*) AS n FROM folds f JOIN reg r ON r.fold <> f.fold GROUP BY f.fold), "
+        f"tr AS (SELECT m.fold, any_value(m.n) AS n, any_value(m.mx) AS mx, any_value(m.my) AS my, "
+        f"sum((r.x - m.mx) * (r.x - m.mx)) AS sxx, sum((r.x - m.mx) * (r.y - m.my)) AS sxy "
+        f"FROM m JOIN reg r ON r.fold <> m.fold GROUP BY m.fold), "
+        f"coef AS (SELECT tr.fold, g.alpha, g.l1, "
+        f"sign(tr.sxy) * greatest(abs(tr.sxy) / tr.n - g.alpha * g.l1, 0) / (tr.sxx / tr.n + g.alpha * (1 - g.l1)) AS w, tr.mx, tr.my "
+        f"FROM tr, (VALUES {grid}) g(alpha, l1)), "
+        f"val AS (SELECT c.alpha, c.l1, c.fold, sqrt(avg((r.y - (c.my - c.w * c.mx) - c.w * r.x) * (r.y - (c.my - c.w * c.mx) - c.w * r.x))) AS rmse "
+        f"FROM coef c JOIN reg r ON r.fold = c.fold GROUP BY c.alpha, c.l1, c.fold) "
+        f"SELECT alpha, l1 AS l1_ratio, round(avg(rmse), 4) AS mean_rmse FROM val GROUP BY alpha, l1"
+    )
+
+
 def _stump_sql() -> str:
     x = STUMP_FEATURE
     return O.with_enc(
@@ -715,6 +774,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q_rule_cohorts": _rule_cohorts_sql(),
         "q_vif_2f": _vif_2f_sql(),
+        "q_ols_2f": _ols_2f_sql(),
+        "q_enet_cv_1f": _enet_1f_sql(),
         "q_ridge_cv_1f": _ridge_1f_sql(),
         "q_stump": _stump_sql(),
         "q_pairwise": _pairwise_sql(),
