@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlab.functions.columns import band, below_band, ratio_feature
 from cohortlab.operators import linear, moments, profile, rates, segments, tree

@@ -11,17 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.functions.columns import band, ratio_feature
 from cohortlab.operators import encode, moments, profile, quality, rates, sampling
 from cohortlab.plans.pipeline import pipeline
 from cohortlab.roles import (
     BAND_CORR_PAIR,
     BAND_CORR_TARGET,
-    CV_FOLDS,
     ENTITY,
-    ENTITY_CLUSTER_FEATURES,
     ENTITY_CORR_COLUMNS,
-    SAMPLE_SIZE,
     SPLIT_SEED,
     TEST_FRACTION,
 )
