@@ -18,6 +18,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -149,29 +151,37 @@ def leaf_counts(fit: TreeFit, df: DataFrame, label: str, split_flag: str) -> lis
 
 
 def depth_curve(fit: TreeFit, counts: list, max_depth: int | None = None) -> list[dict]:
-    """Train / test accuracy of the depth-d tree for d = 1..D from leaf counts.
+    """Train / test accuracy and leaf count of the depth-d tree for d = 1..D,
+    from the leaf counts (``leaves × depths`` arithmetic on the driver).
 
     Class rule: P(class 1) > 0.5 → 1 (an exact 0.5 tie goes to class 0).
     """
-    leaves = {n.leaf_index: n for n in fit.leaves}
+    leaves = fit.leaves
     d_max = max_depth or fit.depth
-    tot = {True: 0, False: 0}
-    for r in counts:
-        tot[bool(r["is_test"])] += r["n"]
+    pos = {n.leaf_index: i for i, n in enumerate(leaves)}
+    pred = np.empty((len(leaves), d_max + 1))
+    for i, leaf in enumerate(leaves):
+        anc = [fit.nodes[a].prediction for a in leaf.ancestors[: d_max + 1]]
+        pred[i, : len(anc)] = anc
+        pred[i, len(anc):] = anc[-1]
+    cls = (pred > 0.5).astype(np.int64)
+    li = np.array([pos[r["leaf"]] for r in counts], dtype=np.int64)
+    lab = np.array([r["label"] for r in counts], dtype=np.int64)
+    n = np.array([r["n"] for r in counts], dtype=np.float64)
+    test = np.array([bool(r["is_test"]) for r in counts])
+    ok = (cls[li, :] == lab[:, None]) * n[:, None]
+    tot_tr, tot_te = n[~test].sum(), n[test].sum()
+    acc_tr = ok[~test].sum(axis=0) / tot_tr if tot_tr else np.full(d_max + 1, np.nan)
+    acc_te = ok[test].sum(axis=0) / tot_te if tot_te else np.full(d_max + 1, np.nan)
+    depth = np.array([x.depth for x in fit.nodes.values()])
+    is_leaf = np.array([x.feature < 0 for x in fit.nodes.values()])
     rows = []
     for d in range(1, d_max + 1):
-        ok = {True: 0, False: 0}
-        for r in counts:
-            node = fit.at_depth(leaves[r["leaf"]], d)
-            cls = 1 if node.prediction > 0.5 else 0
-            if cls == r["label"]:
-                ok[bool(r["is_test"])] += r["n"]
         rows.append({
             "depth": d,
-            "train_accuracy": ok[False] / tot[False] if tot[False] else None,
-            "test_accuracy": ok[True] / tot[True] if tot[True] else None,
-            "leaves": sum(1 for n in fit.nodes.values() if n.depth == d or (n.feature < 0 and n.depth < d)) if d < fit.depth
-            else len(fit.leaves),
+            "train_accuracy": float(acc_tr[d]) if tot_tr else None,
+            "test_accuracy": float(acc_te[d]) if tot_te else None,
+            "leaves": int((depth == d).sum() + (is_leaf & (depth < d)).sum()),
         })
     return rows
 

@@ -310,7 +310,7 @@ def q_tree_nodes(spark, sf):
 
 
 def _curve_df(spark, p):
-    rows = [(r["depth"], _r(r["train_accuracy"]), _r(r["test_accuracy"]), tree.leaves_at_depth(p.tree, r["depth"])) for r in p.curve]
+    rows = [(r["depth"], _r(r["train_accuracy"]), _r(r["test_accuracy"]), r["leaves"]) for r in p.curve]
     return _rows(spark, rows, "depth int, train_accuracy double, test_accuracy double, leaves int")
 
 
