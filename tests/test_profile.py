@@ -28,3 +28,17 @@ def test_box_and_histogram(spark):
     assert b["q1"] == 2.0 and b["q3"] == 4.0 and b["outliers"] == 1 and b["whisker_hi"] == 4.0
     h = histogram(df, "x", 4).collect()
     assert sum(r["n"] for r in h) == 5 and max(r["bin"] for r in h) == 3
+
+
+def test_approximate_describe_is_close(spark):
+    import numpy as np
+
+    from cohortlab.operators.profile import describe_numeric
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=3000)], "x double")
+    ex = describe_numeric(df, ["x"]).collect()[0]
+    ap = describe_numeric(df, ["x"], exact=False).collect()[0]
+    assert ex["count"] == ap["count"] == 3000
+    for c in ("p25", "p50", "p75"):
+        assert abs(ex[c] - ap[c]) < 0.01
