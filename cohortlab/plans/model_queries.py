@@ -358,7 +358,7 @@ def q_importance(spark, sf):
 
     imp = _rows(spark, tree.importances(pipeline(spark, sf).tree), "feature string, importance double")
     ranked = imp.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
-    top = ranked.where(F.col("rank") <= TOP_N).withColumn("importance_pct", F.round(F.col("importance") * 100, 2))
+    top = ranked.where(F.col("rank") <= TOP_N).withColumn("importance_pct", F.bround(F.col("importance") * 100, 2))
     mx = F.max("importance_pct").over(Window.partitionBy())
     return top.select("rank", "feature", "importance_pct", F.round(F.col("importance_pct") / mx, 6).alias("share_of_max"),
                       band("importance_pct", BAND_IMPORTANCE, inclusive=True).alias("band"))
