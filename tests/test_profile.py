@@ -42,3 +42,15 @@ def test_approximate_describe_is_close(spark):
     assert ex["count"] == ap["count"] == 3000
     for c in ("p25", "p50", "p75"):
         assert abs(ex[c] - ap[c]) < 0.01
+
+
+def test_binned_kde_close_to_exact(spark):
+    import numpy as np
+
+    from cohortlab.operators.profile import kde
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(v),) for v in rng.gamma(2.0, 1.0, 4000)], "v double")
+    ex = {r["point"]: r["density"] for r in kde(df, "v", 50).collect()}
+    ap = {r["point"]: r["density"] for r in kde(df, "v", 50, bins=2000).collect()}
+    assert max(abs(ex[k] - ap[k]) for k in ex) < 1e-3 * max(ex.values())
