@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +19,37 @@ from cohortlab.functions.columns import map_values, ratio_feature
 LITERAL_DICTIONARY_LIMIT = 100_000
 
 
-def label_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, value, code)``; NULL is encoded as the string ``"nan"``."""
+def label_dictionary(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``(column, value, code)``; NULL is encoded as the string ``"nan"``.
+
+    The distinct (column, value) pairs are range-partitioned, so each
+    partition holds a contiguous run of values; per-partition counts (a
+    ``partitions × columns`` table on the driver) give each run's starting
+    code, and values are ranked inside their own partition only.
+    """
     cols = list(cols)
+    spark = df.sparkSession
     vals = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
-    distinct = vals.unpivot([], cols, "column", "value").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = (
+        vals.unpivot([], cols, "column", "value").distinct()
+        .repartitionByRange(parts, "column", "value")
+        .withColumn("pid", F.spark_partition_id())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    counts = sorted((r["column"], r["pid"], r["n"]) for r in distinct.groupBy("column", "pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, acc, prev = [], 0, None
+    for col, pid, n in counts:
+        acc = 0 if col != prev else acc
+        offsets.append((col, pid, acc))
+        acc, prev = acc + n, col
+    off = spark.createDataFrame(offsets, "column string, pid int, start bigint")
+    w = Window.partitionBy("column", "pid").orderBy("value")
+    out = (
+        distinct.join(F.broadcast(off), ["column", "pid"])  # partitions × columns rows, collected above
+        .select("column", "value", (F.col("start") + F.row_number().over(w) - 1).cast("int").alias("code"))
+    )
+    return out
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -60,3 +60,15 @@ def test_read_entities_csv_na_tokens_and_bad_cells(spark, tmp_path):
     assert rows[2]["dept"] is None and rows[3]["dept"] is None and rows[4]["dept"] == "Sales"
     shape = shape_report(df, df.where("age IS NOT NULL")).collect()[0]
     assert (shape["raw_rows"], shape["clean_rows"], shape["removed_rows"], shape["raw_cols"]) == (4, 1, 3, 3)
+
+
+def test_label_dictionary_ranks_across_range_partitions(spark):
+    from cohortlab.operators.encode import label_dictionary
+
+    vals = [(f"v{i:04d}", f"w{(i * 7) % 50:03d}") for i in range(500)] + [(None, "w000")]
+    df = spark.createDataFrame(vals, "a string, b string")
+    d = {(r["column"], r["value"]): r["code"] for r in label_dictionary(df, ["a", "b"], partitions=7).collect()}
+    a_vals = sorted({v if v is not None else "nan" for v, _ in vals})
+    assert [d[("a", v)] for v in a_vals] == list(range(len(a_vals)))
+    b_vals = sorted({w for _, w in vals})
+    assert [d[("b", v)] for v in b_vals] == list(range(len(b_vals)))
