@@ -118,8 +118,10 @@ def _nearest_mutual(cand: DataFrame, edges: DataFrame) -> DataFrame:
     return mutual.join(edges.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "s"), ["combo", "a", "b"])
 
 
-def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]], cut_every: int = 2) -> Linkage:
-    """Linkage for every (method, metric) combo over the bounded points ``(id, vec)``."""
+def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]], cut_every: int = 2,
+                pairs: DataFrame | None = None) -> Linkage:
+    """Linkage for every (method, metric) combo over the bounded points ``(id, vec)``
+    (``pairs``: their precomputed :func:`pairwise` table, if available)."""
     spark = points.sparkSession
     combos = list(combos)
     m = points.count()
@@ -130,15 +132,15 @@ def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]], cut_every:
     spark.conf.set("spark.sql.shuffle.partitions", str(max(2, min(400, m * m * len(combos) // 2_000_000 + 2))))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return _agglomerate(points, combos, cut_every)
+        return _agglomerate(points, combos, cut_every, pairs)
     finally:
         for k, v in prev.items():
             spark.conf.set(k, v)
 
 
-def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2) -> Linkage:
+def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2, pairs: DataFrame | None = None) -> Linkage:
     spark = points.sparkSession
-    pairs = pairwise(points).withColumn("sq", F.col("euclidean") * F.col("euclidean"))
+    pairs = (pairs if pairs is not None else pairwise(points)).withColumn("sq", F.col("euclidean") * F.col("euclidean"))
     ids = sorted(r["id"] for r in points.select("id").collect())
     parts = []
     for k, (method, metric) in enumerate(combos):

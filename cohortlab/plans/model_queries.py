@@ -403,7 +403,7 @@ def q_fe_tree(spark, sf):
 # ============================================================ segmentation
 def q_pairwise(spark, sf):
     p = pipeline(spark, sf)
-    return segments.pairwise(p.points).select("i", "j", F.round("euclidean", 6).alias("euclidean"), F.round("manhattan", 6).alias("manhattan"))
+    return p.pairs.select("i", "j", F.round("euclidean", 6).alias("euclidean"), F.round("manhattan", 6).alias("manhattan"))
 
 
 def _embedding_sample(spark, sf):
@@ -440,8 +440,7 @@ def q_last_merges(spark, sf):
 
 
 def _silhouettes(p):
-    pairs = segments.pairwise(p.points)
-    return segments.silhouette(pairs, p.labels, keys=["method", "metric"])
+    return segments.silhouette(p.pairs, p.labels, keys=["method", "metric"])
 
 
 def q_cluster_compare(spark, sf):

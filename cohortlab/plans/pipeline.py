@@ -197,10 +197,16 @@ class Pipeline:
     def points(self) -> DataFrame:
         return segments.vectorize(self.sample, self.roles.id, [c + "_z" for c in ENTITY_CLUSTER_FEATURES])
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Pairwise distances of the sample (bounded: sample size² / 2 rows), written once."""
+        return materialize(segments.pairwise(self.points), "pairs")
+
     @cached_property
     def linkage(self) -> segments.Linkage:
         """All valid (linkage, metric) combinations, computed in shared rounds."""
-        return segments.agglomerate(self.points, segments.valid_combinations(LINKAGE_METHODS, DISTANCE_METRICS))
+        combos = segments.valid_combinations(LINKAGE_METHODS, DISTANCE_METRICS)
+        return segments.agglomerate(self.points, combos, pairs=self.pairs)
 
     def _labels_of(self, lk: segments.Linkage) -> DataFrame:
         lab = segments.cut_labels(lk, NUM_CLUSTERS)
@@ -221,6 +227,6 @@ class Pipeline:
         else:
             key = (method, metric)
             if key not in self._single:
-                self._single[key] = self._labels_of(segments.agglomerate(self.points, [key]))
+                self._single[key] = self._labels_of(segments.agglomerate(self.points, [key], pairs=self.pairs))
             lab = self._single[key]
         return lab.where((F.col("method") == method) & (F.col("metric") == metric)).select("id", "cluster")
