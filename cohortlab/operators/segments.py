@@ -80,7 +80,7 @@ def pairwise(points: DataFrame) -> DataFrame:
 @dataclass
 class Linkage:
     combos: list[tuple[str, str]]
-    ids: list  # point ids in position order (scipy leaf numbering)
+    ids: list  # point ids in position order (leaf numbering of the linkage matrix)
     merges: dict[int, list[tuple]]  # combo -> [(step, left, right, height, size, rep_a, rep_b)]
 
 
