@@ -195,7 +195,7 @@ def _sizes_fit(x: str, y: str, percent: int):
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
-    """Per input row: doc_id, n_shingles, component_id, kept.
+    """Per input row: doc_id, n_shingles, component_id, kept, text_key (a hash of the text).
 
     ``docs`` needs doc_id and text; other columns are ignored.  Words are lower-cased in A-Z only;
     null, empty and blank texts have an empty set and link with nothing.  component_id is the
@@ -265,10 +265,29 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     more = materialize(verify(docs, classes, rest, params), "links")
     labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
-    rows = feats.select("doc_id", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = feats.select("doc_id", "text_key", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("label", F.coalesce("label", "cls"))
     first = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     full = rows.where("n > 0").join(first, "label")
     alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
+    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key"]
     return full.select(*cols).unionByName(alone.select(*cols))
+
+
+def one_per_group(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged: one of each group of near duplicates.
+
+    Of rows that repeat a kept doc_id one stays.  Rows with a null doc_id stay if their whole
+    group has no id; texts without words are in no group and stay.
+    """
+    found = materialize(near_duplicates(docs, params).select("doc_id", "text_key", "kept"), "kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")).distinct()
+    gone = materialize(gone, "gone")
+    on = column("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & F.xxhash64(column("text")).eqNullSafe(F.col("gone_text"))
+    out = docs.join(maybe_broadcast(gone, gone.count()), on, "left_anti")
+    many = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("many_id")).count().where("count > 1").select("many_id")
+    many = materialize(many, "many")
+    if many.isEmpty():
+        return out
+    same = column("doc_id").cast("long") == F.col("many_id")
+    return out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id"]))

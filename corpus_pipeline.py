@@ -1,7 +1,14 @@
 """Corpus pipeline: documents through the training-data stages, in order.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's docs.
+as Parquet and read again as the next stage's docs.  All but the last return the
+columns of documents; each works on all rows its predecessor kept.
+
+1. quality: documents that the classifier rejects (low quality or toxic) go.
+2. near_duplicates: one document of each group of near duplicates stays.
+3. decontamination: documents that contain a benchmark item (in part, up to a few edits) go.
+4. secrets: secrets in texts are masked; no document goes.
+5. mixing: documents are sampled to the target mix and carry their weights and rates.
 """
 
 from __future__ import annotations
@@ -10,10 +17,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlab.llm import decontaminate, minhash, mixing, quality, secrets
 from cohortlab.llm.common import materialize, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_per_group(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+]
+
+# Fitted models, sketches and alignments aren't expressible in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
