@@ -10,15 +10,19 @@ t independent min-hashes, at a cost of O(n + t log t) instead of O(n t).
 
 Search.  Documents with equal shingle sets form one class.  Bands of
 ``rows`` coordinates put classes in buckets.  In a bucket, every class is
-compared with the bucket's smallest one only (linear in the bucket); verified
-links give components.  What is left are buckets that hold several components:
-there, two classes of different components that share at least two buckets
-are compared, after a filter on set sizes and on equal sketch bytes.  Pairs inside
-a component are never formed, so a group of thousands of copies costs as many
-comparisons as it has members.  All links are confirmed on the full sets.
-
-With similarity 0.75, 40 bands of 4 rows miss a pair of the first kind with
-probability (1 - 0.75**4)**40 = 3e-7, of the second kind (two shared buckets) 5e-6.
+compared with the bucket's smallest set, its pivot (linear in the bucket), and verified
+links give components.  A pivot whose members fall into several components leaves work:
+let x and y be linked, and x not linked to the pivot h.  As h is no larger than y, x and y
+share more than x and h do, so they share a shingle outside h - at least as many as
+the overlap that a link needs exceeds |x & h|, which bounds the prefix of x - h that
+has to be looked at.  So the members are dealt anew by (pivot, shingle outside it), and
+the step repeats until no group holds two components.  Nothing is dropped: a
+passage shared by many documents lies in the pivot and deals nobody together, pairs
+inside a component are never formed, and a group of thousands of copies costs
+as many comparisons as it has members.  All links are confirmed on the full sets.
+
+With similarity 0.75, 40 bands of 4 rows share no bucket with probability
+(1 - 0.75**4)**40 = 3e-7.
 """
 
 from __future__ import annotations
@@ -52,9 +56,6 @@ class MinHashParams:
     percent: int = 75
     bands: int = 40
     rows: int = 4
-    #: Equal sketch bytes that a compared pair needs at least, of bands * rows; 88 of
-    #: 160 is 5.8 standard deviations below the mean for similarity 0.75.
-    agree: int = 88
 
     @property
     def size(self) -> int:
@@ -112,58 +113,88 @@ def _features(params: MinHashParams):
         full = [i for i, s in enumerate(sets) if len(s)]
         sk = sketch([sets[i] for i in full], params.size)
         keys = band_keys(sk, params.bands, params.rows)
-        low = (mix64(sk) & np.uint64(0xFF)).astype(np.uint8)
-        bands, brief, same = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+        bands, same = [None] * len(sets), [None] * len(sets)
         for row, i in enumerate(full):
             bands[i] = keys[row]
-            brief[i] = low[row].tobytes()
             same[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
         return pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n": [len(s) for s in sets], "cls": same, "bands": bands, "brief": brief}
+            {"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n": [len(s) for s in sets], "cls": same, "bands": bands}
         )
 
     return run
 
 
 def features(docs: DataFrame, params: MinHashParams) -> DataFrame:
-    """Per row: doc_id, text_key, n (set size), cls (128-bit digest of the set), bands, brief."""
+    """Per row: doc_id, text_key, n (set size), cls (128-bit digest of the set), bands."""
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     return map_frames(
-        narrow, _features(params), "doc_id long, text_key long, n long, cls binary, bands array<long>, brief binary"
+        narrow, _features(params), "doc_id long, text_key long, n long, cls binary, bands array<long>"
     )
 
 
-def _verifier(params: MinHashParams):
-    cache = WordHashes()
-    hubs: dict[bytes, np.ndarray] = {}
+SET_CACHE = 4_000_000
+
+
+class _Sets(dict):
+    """Shingle sets by class, the oldest dropped beyond SET_CACHE elements."""
+
+    def __init__(self, k: int):
+        super().__init__()
+        self.k, self.words, self.held = k, WordHashes(), 0
 
-    def sets_of(key: bytes, text: str) -> np.ndarray:
-        if key not in hubs:
-            if len(hubs) >= 64:
-                hubs.pop(next(iter(hubs)))
-            hubs[key] = shingle_set(text, params.shingle, cache)
-        return hubs[key]
+    def of(self, key: bytes, text: str) -> np.ndarray:
+        found = self.get(key)
+        if found is None:
+            while self and self.held > SET_CACHE:
+                self.held -= len(self.pop(next(iter(self))))
+            found = self[key] = shingle_set(text, self.k, self.words)
+            self.held += len(found)
+        return found
+
+
+def _verifier(params: MinHashParams):
+    sets = _Sets(params.shingle)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = []
+        linked = []
         for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-            y = sets_of(bytes(a), ta)
-            x = sets_of(bytes(b), tb)
+            x, y = sets.of(bytes(a), ta), sets.of(bytes(b), tb)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= params.percent * (len(x) + len(y) - both))
-        return pdf.loc[keep, ["a", "b"]]
+            linked.append(100 * both >= params.percent * (len(x) + len(y) - both))
+        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": linked})
 
     return run
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, params: MinHashParams) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity.
+def outside(x: np.ndarray, pivot: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of ``x`` outside its pivot of which any set that ``x`` links with holds one.
 
-    Only the texts of one document of each class in question are read; the
-    larger-degree side ``a`` (a bucket's hub) is joined last.
+    The set y linked with x is no smaller than the pivot; x and y aren't both linked with it.
     """
+    extra = np.setdiff1d(x, pivot, assume_unique=True)
+    inside = len(x) - len(extra)
+    least = max(len(pivot), -(-percent * len(x) // 100))
+    overlap = -(-percent * (len(x) + least) // (100 + percent))
+    return extra[: max(0, len(extra) - max(1, overlap - inside) + 1)]
+
+
+def _dealer(params: MinHashParams):
+    sets = _Sets(params.shingle)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
+            extra = outside(sets.of(bytes(b), tb), sets.of(bytes(a), ta), params.percent)
+            found.append(mix64(extra ^ np.uint64(int.from_bytes(bytes(a)[:8], "little"))).view(np.int64))
+        return pd.DataFrame({"b": pdf["b"], "n": pdf["n"], "label": pdf["label"], "buckets": found})
+
+    return run
+
+
+def _with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the texts of one document of class a and of class b.  The pivot's side ``a`` is joined last."""
     involved = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    reps = classes.join(involved, "cls", "left_semi").select("cls", "rep")
+    reps = classes.join(involved, "cls", "left_semi")
     reps = materialize(reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")), "reps")
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     side = maybe_broadcast(reps, reps.count())
@@ -172,28 +203,26 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, params: MinHas
         .select("cls", "text")
         .dropDuplicates(["cls"])
     )
-    joined = (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+    return pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a"
     )
-    return map_frames(joined, _verifier(params), "a binary, b binary")
-
-
-def _alike(agree: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["brief_a"]), dtype=np.uint8).reshape(len(pdf), -1)
-        y = np.frombuffer(b"".join(pdf["brief_b"]), dtype=np.uint8).reshape(len(pdf), -1)
-        return pdf.loc[(x == y).sum(axis=1) >= agree, ["a", "b"]]
-
-    return run
 
 
 def _sizes_fit(x: str, y: str, percent: int):
     return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's smallest set; members are (bucket, b, n)."""
+    pivots = (
+        members.groupBy("bucket")
+        .agg(F.min(F.struct("n", "b")).alias("pivot"), F.count(F.lit(1)).alias("size"))
+        .where("size > 1")
+        .select("bucket", F.col("pivot.b").alias("a"), F.col("pivot.n").alias("n_a"))
+    )
+    return members.join(pivots, "bucket").where("b != a").groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n").alias("n"))
+
+
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept, text_key (a hash of the text).
 
@@ -213,57 +242,37 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
             F.min(F.struct("doc_id", "text_key")).alias("rep"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
-            F.first("brief").alias("brief"),
         ),
         "classes",
     )
-    members = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    hubs = (
-        members.groupBy("bucket")
-        .agg(F.min(F.struct("cls", "n")).alias("hub"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1")
-        .select("bucket", F.col("hub.cls").alias("a"), F.col("hub.n").alias("n_a"))
-    )
-    shared = materialize(members.join(hubs, "bucket"), "shared")
-    star = (
-        shared.where(F.col("cls") != F.col("a"))
-        .where(_sizes_fit("n", "n_a", params.percent))
-        .select("a", F.col("cls").alias("b"))
-        .distinct()
-    )
-    star = materialize(star, "star")
-    links = materialize(verify(docs, classes, star, params), "links")
-    labels = connected_components(links)
-
-    placed = shared.select("bucket", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.withColumn("label", F.coalesce("label", "cls"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    left = placed.join(mixed.select("bucket"), "bucket")
-    twos = left.groupBy("cls", "n", "label").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).where(F.size("buckets") > 1)
-    # every two of a class's buckets (at most bands * (bands - 1) / 2 of them)
-    twos = twos.select(
-        "cls", "n", "label", F.explode(
-            F.flatten(F.transform("buckets", lambda x, i: F.transform(
-                F.slice("buckets", i + F.lit(2), F.size("buckets")), lambda y: F.struct(x.alias("x"), y.alias("y"))
-            )))
-        ).alias("key"),
-    )
-    twos = materialize(twos.select("cls", "n", "label", F.xxhash64("key.x", "key.y").alias("key")), "twos")
-    hot = twos.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    twos = twos.join(hot, "key")
-    other = twos.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = (
-        twos.join(other, "key")
-        .where((F.col("cls") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit("n", "n_b", params.percent))
-        .select(F.col("cls").alias("a"), "b")
-        .distinct()
-    )
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    brief = classes.select(F.col("cls").alias("a"), F.col("brief").alias("brief_a"))
-    rest = rest.join(brief, "a").join(brief.select(F.col("a").alias("b"), F.col("brief_a").alias("brief_b")), "b")
-    rest = materialize(map_frames(rest, _alike(params.agree), "a binary, b binary"), "rest")
-    more = materialize(verify(docs, classes, rest, params), "links")
-    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    members = classes.select(F.col("cls").alias("b"), "n", F.explode("bands").alias("bucket"))
+    star = materialize(_pivots(members), "star")
+    labels = docs.sparkSession.createDataFrame([], "node binary, label binary")
+    seen = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    while True:
+        owner = labels.select(F.col("node").alias("b"), "label")
+        placed = star.join(owner, "b", "left").withColumn("label", F.coalesce("label", "b"))
+        placed = placed.join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
+        todo = placed.where(_sizes_fit("n_a", "n", params.percent) & (F.coalesce("label_a", "a") != F.col("label"))).select("a", "b")
+        todo = materialize(todo.join(seen, ["a", "b"], "left_anti"), "todo")
+        checked = materialize(map_frames(_with_texts(docs, classes, todo).select("a", "b", "text_a", "text_b"), _verifier(params), "a binary, b binary, linked boolean"), "checked")
+        seen = materialize(seen.union(todo), "seen")
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = connected_components(known.union(checked.where("linked").select("a", "b")))
+
+        placed = star.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+        mixed = placed.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("a")
+        left = materialize(placed.join(mixed, "a").select("a", "b", "n", "label"), "left")
+        if left.isEmpty():
+            break
+        dealt = map_frames(
+            _with_texts(docs, classes, left).select("a", "b", "n", "label", "text_a", "text_b"),
+            _dealer(params),
+            "b binary, n long, label binary, buckets array<long>",
+        )
+        dealt = materialize(dealt.select("b", "n", "label", F.explode("buckets").alias("bucket")), "dealt")
+        mixed = dealt.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+        star = materialize(_pivots(dealt.join(mixed, "bucket").select("bucket", "b", "n").distinct()), "star")
 
     rows = feats.select("doc_id", "text_key", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("label", F.coalesce("label", "cls"))
