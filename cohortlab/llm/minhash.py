@@ -10,16 +10,18 @@ t independent min-hashes, at a cost of O(n + t log t) instead of O(n t).
 
 Search.  Documents with equal shingle sets form one class.  Bands of
 ``rows`` coordinates put classes in buckets.  In a bucket, every class is
-compared with the bucket's smallest set, its pivot (linear in the bucket), and verified
-links give components.  A pivot whose members fall into several components leaves work:
-let x and y be linked, and x not linked to the pivot h.  As h is no larger than y, x and y
-share more than x and h do, so they share a shingle outside h - at least as many as
-the overlap that a link needs exceeds |x & h|, which bounds the prefix of x - h that
-has to be looked at.  So the members are dealt anew by (pivot, shingle outside it), and
-the step repeats until no group holds two components.  Nothing is dropped: a
-passage shared by many documents lies in the pivot and deals nobody together, pairs
-inside a component are never formed, and a group of thousands of copies costs
-as many comparisons as it has members.  All links are confirmed on the full sets.
+compared with one pivot (linear in the bucket) - the class whose buckets are the fullest, as
+the original of a family of edited copies has - and verified links give components.
+A pivot h whose members fall into several components leaves work.  For few members
+(``few``) that is their pairs.  Otherwise let x and y be linked, x not linked to h.  If the overlap that this
+link needs exceeds |x & h| or |y & h|, x and y share a shingle outside h, and as
+many of them as the excess, which bounds the prefix of x - h that has to be looked at:
+the members are dealt anew by (pivot, shingle outside it).  The excess can be missing only if one of the
+two is smaller than h and both are nearly linked to it; the smaller ones and those that aren't
+linked stay together and get a smaller pivot.  The step repeats until no group holds two components.  Nothing is dropped, yet a
+passage that many documents share lies in the pivot and brings nobody together, and a group of
+thousands of copies costs about as many comparisons as it has members.  All links are confirmed
+on the full sets.
 
 With similarity 0.75, 40 bands of 4 rows share no bucket with probability
 (1 - 0.75**4)**40 = 3e-7.
@@ -56,6 +58,8 @@ class MinHashParams:
     percent: int = 75
     bands: int = 40
     rows: int = 4
+    #: A pivot's members up to this number are compared with each other directly; the number doubles with every step.
+    few: int = 16
 
     @property
     def size(self) -> int:
@@ -166,27 +170,32 @@ def _verifier(params: MinHashParams):
     return run
 
 
-def outside(x: np.ndarray, pivot: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of ``x`` outside its pivot of which any set that ``x`` links with holds one.
+def outside(x: np.ndarray, pivot: np.ndarray, smallest: int, percent: int) -> tuple[np.ndarray, bool]:
+    """The shingles of ``x`` outside its pivot of which any set that ``x`` links with holds one, and whether
+    ``x`` may also be linked inside the pivot.
 
-    The set y linked with x is no smaller than the pivot; x and y aren't both linked with it.
+    ``smallest`` is the least size of a set in the group.  An overlap of percent / (100 + percent) of both sizes makes a link.
     """
     extra = np.setdiff1d(x, pivot, assume_unique=True)
     inside = len(x) - len(extra)
-    least = max(len(pivot), -(-percent * len(x) // 100))
-    overlap = -(-percent * (len(x) + least) // (100 + percent))
-    return extra[: max(0, len(extra) - max(1, overlap - inside) + 1)]
+    least = max(smallest, -(-percent * len(x) // 100))
+    excess = -(-percent * (len(x) + least) // (100 + percent)) - inside
+    return extra[: max(0, len(extra) - max(1, excess) + 1)], excess <= 0
 
 
 def _dealer(params: MinHashParams):
     sets = _Sets(params.shingle)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-            extra = outside(sets.of(bytes(b), tb), sets.of(bytes(a), ta), params.percent)
-            found.append(mix64(extra ^ np.uint64(int.from_bytes(bytes(a)[:8], "little"))).view(np.int64))
-        return pd.DataFrame({"b": pdf["b"], "n": pdf["n"], "label": pdf["label"], "buckets": found})
+        found, again = [], []
+        loose = pdf["apart"] | (pdf["n"] < pdf["n_a"])
+        for a, b, ta, tb, low, free in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], pdf["smallest"], loose, strict=True):
+            extra, inside = outside(sets.of(bytes(b), tb), sets.of(bytes(a), ta), low, params.percent)
+            group = np.uint64(int.from_bytes(bytes(a)[:8], "little"))
+            found.append(mix64(extra ^ group).view(np.int64))
+            again.append(int(group.view(np.int64)) if inside and free else None)
+        keep = pdf[["b", "n", "n_a", "score", "label"]]
+        return keep.assign(buckets=found, again=pd.array(again, dtype="Int64"))
 
     return run
 
@@ -212,15 +221,21 @@ def _sizes_fit(x: str, y: str, percent: int):
     return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's smallest set; members are (bucket, b, n)."""
-    pivots = (
-        members.groupBy("bucket")
-        .agg(F.min(F.struct("n", "b")).alias("pivot"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1")
-        .select("bucket", F.col("pivot.b").alias("a"), F.col("pivot.n").alias("n_a"))
-    )
-    return members.join(pivots, "bucket").where("b != a").groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n").alias("n"))
+def _star(members: DataFrame) -> DataFrame:
+    """(a, n_a, b, n, score): every member of a bucket with the bucket's pivot.
+
+    ``members`` are (bucket, b, n, score, fit); the pivot is the fit one with the highest score.
+    """
+    pivots = members.where("fit").groupBy("bucket").agg(F.max(F.struct("score", -F.col("n"), "b", "n")).alias("pivot"))
+    pivots = pivots.select("bucket", F.col("pivot.b").alias("a"), F.col("pivot.n").alias("n_a"))
+    star = members.join(pivots, "bucket").where("b != a").groupBy("a", "b")
+    return star.agg(F.first("n_a").alias("n_a"), F.first("n").alias("n"), F.first("score").alias("score"))
+
+
+def _mixed(placed: DataFrame, key: str) -> DataFrame:
+    """The groups that hold several labels: key, size, smallest."""
+    groups = placed.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("n").alias("smallest"))
+    return groups.where("lo != hi").select(key, "size", "smallest")
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
@@ -246,33 +261,57 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         "classes",
     )
     members = classes.select(F.col("cls").alias("b"), "n", F.explode("bands").alias("bucket"))
-    star = materialize(_pivots(members), "star")
-    labels = docs.sparkSession.createDataFrame([], "node binary, label binary")
-    seen = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(members.join(full, "bucket"), "members")
+    score = members.groupBy("b").agg(F.sum("size").alias("score"))
+    star = materialize(_star(members.join(score, "b").withColumn("fit", F.lit(True))), "star")
+    spark = docs.sparkSession
+    labels = spark.createDataFrame([], "node binary, label binary")
+    seen = spark.createDataFrame([], "a binary, b binary")
+    pairs = star.select("a", "b", "n_a", "n")
+    few = params.few
     while True:
         owner = labels.select(F.col("node").alias("b"), "label")
-        placed = star.join(owner, "b", "left").withColumn("label", F.coalesce("label", "b"))
-        placed = placed.join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
-        todo = placed.where(_sizes_fit("n_a", "n", params.percent) & (F.coalesce("label_a", "a") != F.col("label"))).select("a", "b")
+        todo = pairs.join(owner, "b", "left").join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
+        todo = todo.where(_sizes_fit("n_a", "n", params.percent) & (F.coalesce("label_a", "a") != F.coalesce("label", "b"))).select("a", "b").distinct()
         todo = materialize(todo.join(seen, ["a", "b"], "left_anti"), "todo")
-        checked = materialize(map_frames(_with_texts(docs, classes, todo).select("a", "b", "text_a", "text_b"), _verifier(params), "a binary, b binary, linked boolean"), "checked")
+        texts = _with_texts(docs, classes, todo).select("a", "b", "text_a", "text_b")
+        checked = materialize(map_frames(texts, _verifier(params), "a binary, b binary, linked boolean"), "checked")
         seen = materialize(seen.union(todo), "seen")
         known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = connected_components(known.union(checked.where("linked").select("a", "b")))
-
-        placed = star.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-        mixed = placed.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("a")
-        left = materialize(placed.join(mixed, "a").select("a", "b", "n", "label"), "left")
-        if left.isEmpty():
+        if star is None:
             break
+
+        owner = labels.select(F.col("node").alias("b"), "label")
+        placed = star.join(owner, "b", "left").withColumn("label", F.coalesce("label", "b"))
+        placed = placed.join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
+        placed = placed.withColumn("apart", F.coalesce("label_a", "a") != F.col("label")).drop("label_a")
+        left = materialize(placed.join(_mixed(placed, "a"), "a"), "left")
+        small = left.where(F.col("size") <= few)
+        other = small.select(F.col("a").alias("group"), F.col("b").alias("b_2"), F.col("n").alias("n_2"), F.col("label").alias("label_2"))
+        direct = small.join(other, (F.col("a") == F.col("group")) & (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")))
+        pairs = direct.select(F.col("b").alias("a"), F.col("b_2").alias("b"), F.col("n").alias("n_a"), F.col("n_2").alias("n"))
+        large = left.where(F.col("size") > few)
+        if large.isEmpty():
+            star = None
+            if left.isEmpty():
+                break
+            continue
         dealt = map_frames(
-            _with_texts(docs, classes, left).select("a", "b", "n", "label", "text_a", "text_b"),
+            _with_texts(docs, classes, large).select("a", "n_a", "b", "n", "score", "label", "apart", "smallest", "text_a", "text_b"),
             _dealer(params),
-            "b binary, n long, label binary, buckets array<long>",
+            "b binary, n long, n_a long, score long, label binary, buckets array<long>, again long",
+        )
+        dealt = materialize(dealt, "dealt")
+        cols = ["b", "n", "score", "label"]
+        dealt = dealt.select(*cols, F.explode("buckets").alias("bucket"), F.lit(True).alias("fit")).union(
+            dealt.where("again is not null").select(*cols, F.col("again").alias("bucket"), (F.col("n") < F.col("n_a")).alias("fit"))
         )
-        dealt = materialize(dealt.select("b", "n", "label", F.explode("buckets").alias("bucket")), "dealt")
-        mixed = dealt.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-        star = materialize(_pivots(dealt.join(mixed, "bucket").select("bucket", "b", "n").distinct()), "star")
+        dealt = dealt.join(_mixed(dealt, "bucket").select("bucket"), "bucket").drop("label")
+        star = materialize(_star(dealt), "star")
+        pairs = pairs.union(star.select("a", "b", "n_a", "n"))
+        few *= 2
 
     rows = feats.select("doc_id", "text_key", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("label", F.coalesce("label", "cls"))
