@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, minhash, mixing, quality, secrets
-from cohortlab.llm.common import table
+from cohortlab.llm import decontaminate, html_text, licenses, minhash, mixing, ngram_lm, quality, rollup, secrets, spotsigs
+from cohortlab.llm.common import materialize, table
+from cohortlab.session import scratch_path
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,39 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: words and estimated byte tokens, revised counts, deletes of blank documents, the revision sent again."""
+    t = rollup.Tokenizers()
+    counts = materialize(rollup.token_counts(table(spark, sf_dir, "documents"), t), "counts")
+    totals = rollup.TokenRollup(spark, scratch_path(spark, "llm-rollup"))
+    words, exact = F.col("tokens_words"), F.col("tokens_byte")
+    estimate = rollup.changes_of(counts, t.byte_version, F.ceil(F.col("n_chars") / 4), F.lit("insert"))
+    totals.commit("load", rollup.changes_of(counts, t.word_version, words, F.lit("insert")).unionByName(estimate))
+    revised = rollup.changes_of(counts, t.byte_version, exact, F.lit("revise"))
+    totals.commit("counted", revised)
+    blank = counts.where("tokens_words = 0")
+    gone = [rollup.changes_of(blank, v, words, F.lit("delete")) for v in (t.word_version, t.byte_version)]
+    totals.commit("blank", gone[0].unionByName(gone[1]))
+    totals.commit("counted", revised)
+    return totals.totals()
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -31,8 +66,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_licenses": op6_licenses,
+    "op7_ngram_scores": op7_ngram_scores,
     "op8_mixing": op8_mixing,
+    "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
 }
 
