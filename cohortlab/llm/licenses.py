@@ -2,7 +2,7 @@
 
 Templates are short notices.  For every template length T, a text is cut into windows of T + T/4 words at steps of T/4,
 so that any occurrence lies wholly in one window.  Windows that hold none of the templates' marker words can't
-hold a template shingle (the markers hit every shingle of every template) and aren't hashed.  A window's min-hashes
+reach the containment (the shingles without a marker are too few) and aren't hashed.  A window's min-hashes
 under ``hashes`` hash functions, one a band, retrieve the templates with an equal one; then the share of the
 template's shingles found in the window is computed exactly.
 
@@ -55,15 +55,21 @@ def _shingles(words: list[str], k: int) -> list[str]:
     return [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
 
 
-def markers(templates, k: int) -> list[str]:
-    """Words that hit every shingle of every template: long words first (short ones are common), then the most hits."""
-    left = [set(s.split()) for _, t in templates for s in _shingles(_words(t), k)]
+def markers(templates, k: int, containment: float) -> list[str]:
+    """Words of which any window with the least containment of a template holds one.
+
+    So many shingles of each template hold a marker that the others are fewer than a match needs.
+    Long words are taken first (short ones are common), of these the ones with the most hits.
+    """
     chosen: list[str] = []
-    while left:
-        words = sorted({w for s in left for w in s})
-        best = max(words, key=lambda w: (min(len(w), 7), sum(w in s for s in left), len(w), w))
-        chosen.append(best)
-        left = [s for s in left if best not in s]
+    for _, text in templates:
+        shingles = [set(s.split()) for s in dict.fromkeys(_shingles(_words(text), k))]
+        needed = -(-containment * len(shingles) // 1)
+        left = [s for s in shingles if not s & set(chosen)]
+        while len(left) >= needed:
+            best = max(sorted({w for s in left for w in s}), key=lambda w: (min(len(w), 7), sum(w in s for s in left), w))
+            chosen.append(best)
+            left = [s for s in left if best not in s]
     return chosen
 
 
@@ -87,7 +93,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, params: LicenseParams = LicensePa
     spark = docs.sparkSession
     lengths = {name: len(_words(t)) for name, t in templates if _words(t)}
     texts = [(n, t) for n, t in templates if n in lengths]
-    marks = markers(texts, params.shingle)
+    marks = markers(texts, params.shingle, params.containment)
     specs = sorted({(t, max(1, t // 4), min(params.shingle, t)) for t in lengths.values()})
     table = spark.createDataFrame([(n, t, lengths[n], min(params.shingle, lengths[n])) for n, t in texts], "license string, notice string, length int, k int")
     table = table.withColumn("shingles", _shingle_hashes(words_of(F.col("notice")), F.col("k")))
