@@ -43,7 +43,7 @@ def clip_lower(col: str | Column, lo: float) -> Column:
 def band(col: str | Column, bands: Iterable[tuple[float | None, str]], inclusive: bool = False) -> Column:
     """Label by the first lower bound the value exceeds (``>=`` when inclusive).
 
-    ``bands`` is ``((bound, label), ..., (None, default))``.
+    ``bands`` is ``((bound, label), ..., (None, default))``.  NULL has no band.
     """
     c = _c(col)
     expr = None
@@ -55,18 +55,18 @@ def band(col: str | Column, bands: Iterable[tuple[float | None, str]], inclusive
         cond = c >= F.lit(bound) if inclusive else c > F.lit(bound)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     if expr is None:
-        return F.lit(default)
-    return expr.otherwise(F.lit(default))
+        return F.when(c.isNotNull(), F.lit(default))
+    return F.when(c.isNotNull(), expr.otherwise(F.lit(default)))
 
 
 def below_band(col: str | Column, bands: Iterable[tuple[float, str]], default: str) -> Column:
-    """Label by the first upper bound the value is below."""
+    """Label by the first upper bound the value is below; NULL has no label."""
     c = _c(col)
     expr = None
     for bound, label in bands:
         cond = c < F.lit(bound)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(default))
+    return F.when(c.isNotNull(), expr.otherwise(F.lit(default)))
 
 
 def ratio_feature(num: str | Column, den: str | Column, offset: float = 0.0, floor: float | None = None) -> Column:

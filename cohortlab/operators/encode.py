@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import map_values, ratio_feature
 
-LITERAL_DICTIONARY_LIMIT = 100_000
+LITERAL_DICTIONARY_LIMIT = 64  # a literal map is searched entry by entry; beyond this a join
 
 
 def label_dictionary(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:

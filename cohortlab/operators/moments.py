@@ -83,8 +83,12 @@ class Gram:
 
 def gram(df: DataFrame, xcols: Sequence[str], y: str, group: str | None = None,
          shift: Mapping[str, float] | None = None) -> dict[object, Gram]:
-    """One aggregation → {group value: Gram}.  ``group=None`` → key ``None``."""
+    """One aggregation → {group value: Gram}.  ``group=None`` → key ``None``.
+
+    Rows with a NULL feature or target are left out (complete cases), so n and all sums cover the same rows.
+    """
     xcols = list(xcols)
+    df = df.dropna(subset=[*xcols, y])
     shift = shift or {}
     sx = [F.col(c).cast("double") - F.lit(float(shift.get(c, 0.0))) for c in xcols]
     sy = F.col(y).cast("double") - F.lit(float(shift.get(y, 0.0)))

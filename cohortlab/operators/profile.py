@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import band
-from cohortlab.operators.quantiles import exact_quantiles
+from cohortlab.operators.quantiles import exact_quantiles, join_null_safe
 
 
 def _wide_to_long(row_df: DataFrame, names: Sequence[str], var: str, val: str) -> DataFrame:
@@ -121,20 +121,20 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact:
     long = long.where(F.col("value").isNotNull())
     inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
     # quart has one row per (group, column): a small table
-    agg = long.join(F.broadcast(quart), keys).groupBy(*keys).agg(
+    agg = join_null_safe(long, F.broadcast(quart), keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
         F.count_if(~inside).alias("outliers"),
     )
-    return quart.join(agg, keys).select(
+    return join_null_safe(quart, agg, keys).select(
         *keys, F.col("n").cast("bigint").alias("n"), "q1", "median", "q3", "lo_fence", "hi_fence",
         "whisker_lo", "whisker_hi", F.col("outliers").cast("bigint").alias("outliers"),
     )
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """``(bin, lo, hi, n)`` equal-width bins over [min, max] (max falls in the last bin)."""
+    """``(bin, lo, hi, n)``: all equal-width bins over [min, max], empty ones too (max falls in the last bin)."""
     x = F.col(col).cast("double")
     st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).collect()[0]
     mn, mx = st["mn"], st["mx"]
@@ -143,11 +143,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     width = (mx - mn) / bins if mx > mn else 1.0
     b = F.least(F.floor((x - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counted = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").select(
         "bin",
         (F.lit(mn) + F.lit(width) * F.col("bin")).alias("lo"),
         (F.lit(mn) + F.lit(width) * (F.col("bin") + 1)).alias("hi"),
-        F.col("n").cast("bigint").alias("n"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
     )
 
 

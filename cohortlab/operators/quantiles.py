@@ -39,6 +39,17 @@ def value_histogram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     return long_values(df, cols, by, dtype).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named keys where NULL meets NULL; the left side's keys are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    out = left.join(renamed, cond, how)
+    return out if how == "left_semi" else out.drop(*(f"_right_{k}" for k in keys))
+
+
 SMALL_KEY = 200_000  # distinct values a single window partition may sort
 
 
@@ -72,7 +83,7 @@ def select_ranks(hist: DataFrame, keys: Sequence[str], ranks_for, buckets: int =
         _schema(hist, keys, [("bounds", T.ArrayType(hist.schema["value"].dataType)), ("total", T.LongType())]))
     # bucket = number of bounds strictly below the value; bounds has one row
     # per key — collected above, so its size is known.
-    bucketed = hist.join(F.broadcast(bounds.select(*keys, "bounds")), keys).select(
+    bucketed = join_null_safe(hist, F.broadcast(bounds.select(*keys, "bounds")), keys).select(
         *keys, "value", "n", F.size(F.filter("bounds", lambda b: b < F.col("value"))).alias("bucket")
     )
     per_key: dict[tuple, list[tuple[int, int]]] = {}
@@ -101,9 +112,13 @@ def select_ranks(hist: DataFrame, keys: Sequence[str], ranks_for, buckets: int =
     )
     wb = Window.partitionBy(*keys, "bucket").orderBy("value")
     picked = (
-        bucketed.join(F.broadcast(wanted_df.select(*keys, "bucket").distinct()), [*keys, "bucket"], "left_semi")
-        .withColumn("cum", F.sum("n").over(wb))
-        .join(F.broadcast(wanted_df), [*keys, "bucket"])
+        join_null_safe(
+            join_null_safe(bucketed, F.broadcast(wanted_df.select(*keys, "bucket").distinct()), [*keys, "bucket"], "left_semi").withColumn(
+                "cum", F.sum("n").over(wb)
+            ),
+            F.broadcast(wanted_df),
+            [*keys, "bucket"],
+        )
         .where((F.col("rank") >= F.col("start") + F.col("cum") - F.col("n")) & (F.col("rank") < F.col("start") + F.col("cum")))
         .select(*keys, "rank", "value")
         .collect()
@@ -158,8 +173,8 @@ def exact_modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     """``(by..., column, value, n)`` — most frequent value; ties -> smallest value."""
     keys = [*by, "column"]
     hist = value_histogram(df, cols, by, dtype="string")
-    top = hist.groupBy(*keys).agg(F.max("n").alias("n"))
-    return hist.join(top, [*keys, "n"]).groupBy(*keys, "n").agg(F.min("value").alias("value")).select(*keys, "value", "n")
+    top = hist.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("less"), "value", "n")).alias("top"))
+    return top.select(*keys, F.col("top.value").alias("value"), F.col("top.n").alias("n"))
 
 
 def quantile_map(quantiles: DataFrame) -> dict[tuple[str, float], float]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,13 +27,14 @@ def rate_by(df: DataFrame, by: str, target: str) -> DataFrame:
 
 
 def extremes(rates: DataFrame, value: str, label: str) -> DataFrame:
-    """Highest and lowest row of a small table; ties -> smallest label."""
-    hi = Window.orderBy(F.col(value).desc(), F.col(label))
-    lo = Window.orderBy(F.col(value).asc(), F.col(label))
-    ranked = rates.select(label, value, F.row_number().over(hi).alias("_h"), F.row_number().over(lo).alias("_l"))
-    return ranked.where((F.col("_h") == 1) | (F.col("_l") == 1)).select(
-        F.when(F.col("_h") == 1, "highest").otherwise("lowest").alias("which"), label, value
+    """A "highest" and a "lowest" row; ties -> smallest label.  One group gives both rows; NULL values are left out."""
+    row = F.struct(F.col(label).alias("l"), F.col(value).alias("v"))
+    ends = rates.where(F.col(value).isNotNull()).agg(
+        F.min_by(row, F.struct(-F.col(value), F.col(label))).alias("hi"), F.min_by(row, F.struct(F.col(value), F.col(label))).alias("lo")
     )
+    which = F.explode(F.array(F.struct(F.lit("highest").alias("which"), F.col("hi").alias("r")), F.struct(F.lit("lowest").alias("which"), F.col("lo").alias("r"))))
+    out = ends.where(F.col("hi").isNotNull()).select(which.alias("x"))
+    return out.select("x.which", F.col("x.r.l").alias(label), F.col("x.r.v").alias(value))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence, labels: Sequence[str] | None = None) -> DataFrame:

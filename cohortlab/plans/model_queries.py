@@ -231,10 +231,11 @@ def _model_rows(p, models):
 
 def q_model_compare(spark, sf):
     p = pipeline(spark, sf)
-    df = _rows(spark, _model_rows(p, p.models()), "model string, alpha double, l1_ratio double, train_r2 double, test_r2 double, "
+    rows = _model_rows(p, p.models())
+    df = _rows(spark, rows, "model string, alpha double, l1_ratio double, train_r2 double, test_r2 double, "
                                                    "train_rmse double, test_rmse double, nonzero int, r2_gap double")
-    best_r2 = df.agg(F.max_by("model", F.struct("test_r2", F.lit(0))).alias("m")).collect()[0]["m"]
-    best_rmse = df.agg(F.min_by("model", "test_rmse").alias("m")).collect()[0]["m"]
+    best_r2 = max(rows, key=lambda r: r[4])[0]  # ties: the first model
+    best_rmse = min(rows, key=lambda r: r[6])[0]
     return df.withColumn("best_r2", F.col("model") == best_r2).withColumn("best_rmse", F.col("model") == best_rmse)
 
 
@@ -445,7 +446,7 @@ def _silhouettes(p):
 
 def q_cluster_compare(spark, sf):
     p = pipeline(spark, sf)
-    sizes = segments.size_summary(p.labels, ["method", "metric"], SAMPLE_SIZE, CHAINING_SHARE)
+    sizes = segments.size_summary(p.labels, ["method", "metric"], p.sample.count(), CHAINING_SHARE)
     sil = _silhouettes(p).select("method", "metric", F.round("silhouette", 6).alias("silhouette"))
     out = sizes.join(sil, ["method", "metric"])
     best = out.agg(F.max_by(F.struct("method", "metric"), "silhouette").alias("b")).collect()[0]["b"]
@@ -564,7 +565,7 @@ RULE_LEAVE_LINES = 5.0
 def q_rule_cohorts(spark, sf):
     """The cohort operators on deterministic rule scores (SQL-checkable):
     leave if n_lines ≥ 5, benchmark = department mean of gross, risk segment =
-    sampled entities with disc > 5."""
+    entities with disc > 5 (all rows of the clean table)."""
     p = pipeline(spark, sf)
     c = p.clean
     bench_ = c.groupBy("department").agg(F.avg(Y).alias("predicted"))
@@ -572,7 +573,7 @@ def q_rule_cohorts(spark, sf):
         F.col(R.id).cast("string").alias("id"), F.col(Y).alias("actual"),
         (F.col("n_lines") >= RULE_LEAVE_LINES).cast("int").alias("predicted_attrition"), "predicted",
     ).withColumn("gap", F.col("actual") - F.col("predicted"))
-    risk = p.sample.where(F.col("disc") > RULE_RISK_DISC).select(F.col(R.id).alias("id"))
+    risk = c.where(F.col("disc") > RULE_RISK_DISC).select(F.col(R.id).alias("id"))
     m = mark_membership(scored, risk, "id", "in_risk")
     cohorts = (
         m.select(F.lit("all").alias("cohort"), "gap", "actual", "predicted")
@@ -752,11 +753,11 @@ def _silhouette_sql() -> str:
 
 def _rule_cohorts_sql() -> str:
     return (
-        f"WITH {O.CLEAN_CTE}, {O.stratified_sample_sql('clean', 'id', 'target', SAMPLE_SIZE, SPLIT_SEED)}, "
+        f"WITH {O.CLEAN_CTE}, "
         f"b AS (SELECT department, avg({Y}) AS predicted FROM clean GROUP BY department), "
         f"sc AS (SELECT CAST(c.id AS VARCHAR) AS id, c.{Y} AS actual, CAST(c.n_lines >= {RULE_LEAVE_LINES!r} AS INTEGER) AS pa, "
         f"b.predicted, c.{Y} - b.predicted AS gap FROM clean c JOIN b USING (department)), "
-        f"risk AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id FROM smp WHERE disc > {RULE_RISK_DISC!r}), "
+        f"risk AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id FROM clean WHERE disc > {RULE_RISK_DISC!r}), "
         "co AS (SELECT 'all' AS cohort, gap, actual, predicted FROM sc "
         "UNION ALL SELECT 'risk', gap, actual, predicted FROM sc WHERE id IN (SELECT id FROM risk) "
         "UNION ALL SELECT 'high_risk', gap, actual, predicted FROM sc WHERE pa = 1 AND id IN (SELECT id FROM risk) "

@@ -288,11 +288,11 @@ def _rate_by() -> str:
 
 def _rate_extremes() -> str:
     return with_clean(
-        "SELECT CASE WHEN h = 1 THEN 'highest' ELSE 'lowest' END AS which, \"group\", rate_pct FROM ("
+        "SELECT which, \"group\", rate_pct FROM ("
         "SELECT \"group\", rate_pct, row_number() OVER (ORDER BY rate_pct DESC, \"group\") AS h, "
         "row_number() OVER (ORDER BY rate_pct ASC, \"group\") AS l FROM ("
-        "SELECT department AS \"group\", round_even(avg(target) * 100, 2) AS rate_pct FROM clean GROUP BY department)) "
-        "WHERE h = 1 OR l = 1"
+        "SELECT department AS \"group\", round_even(avg(target) * 100, 2) AS rate_pct FROM clean GROUP BY department)), "
+        "(VALUES ('highest'), ('lowest')) e(which) WHERE (which = 'highest' AND h = 1) OR (which = 'lowest' AND l = 1)"
     )
 
 
@@ -340,9 +340,9 @@ def _hist() -> str:
     return (
         "WITH st AS (SELECT min(value) AS mn, max(value) AS mx FROM events), "
         "w AS (SELECT mn, mx, CASE WHEN mx > mn THEN (mx - mn) / 30 ELSE 1.0 END AS width FROM st) "
-        "SELECT bin, round(mn + width * bin, 6) AS lo, round(mn + width * (bin + 1), 6) AS hi, count(*) AS n FROM ("
-        "SELECT CAST(least(floor((value - mn) / width), 29) AS INTEGER) AS bin, mn, width FROM events, w WHERE value IS NOT NULL) "
-        "GROUP BY bin, mn, width"
+        "SELECT CAST(i AS INTEGER) AS bin, round(mn + width * i, 6) AS lo, round(mn + width * (i + 1), 6) AS hi, count(c.bin) AS n "
+        "FROM w, range(30) t(i) LEFT JOIN (SELECT CAST(least(floor((value - mn) / width), 29) AS INTEGER) AS bin FROM events, w "
+        "WHERE value IS NOT NULL) c ON c.bin = i GROUP BY i, mn, width"
     )
 
 

@@ -4,32 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.plans import oracle, queries
+from cohortlab.plans import model_queries, oracle, queries
 
 
 def all_queries() -> dict:
-    out = dict(queries.QUERIES)
-    try:
-        from cohortlab.plans import model_queries
-        out.update(model_queries.QUERIES)
-    except ImportError:
-        pass
-    return out
+    return {**queries.QUERIES, **model_queries.QUERIES}
 
 
 def all_oracles() -> dict:
-    out = oracle.oracle_sql()
-    try:
-        from cohortlab.plans import model_queries
-        out.update(model_queries.oracle_sql())
-    except ImportError:
-        pass
-    return out
+    return {**oracle.oracle_sql(), **model_queries.oracle_sql()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    try:
-        from cohortlab.plans.model_queries import q_high_risk
-        return q_high_risk(spark, sf_dir)
-    except ImportError:
-        return queries.q_rate_by(spark, sf_dir)
+    return model_queries.q_high_risk(spark, sf_dir)

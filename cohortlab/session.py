@@ -15,9 +15,11 @@ from pyspark.sql import SparkSession
 
 
 def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "cohortlab") -> SparkSession:
+    builder = SparkSession.builder.appName(app)
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit has set the master already
+        builder = builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
