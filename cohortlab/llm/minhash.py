@@ -58,8 +58,8 @@ class MinHashParams:
     percent: int = 75
     bands: int = 40
     rows: int = 4
-    #: A pivot's members up to this number are compared with each other directly; the number doubles with every step.
-    few: int = 16
+    #: A pivot's members up to this number are compared with each other directly; the number grows fourfold with every step.
+    few: int = 64
 
     @property
     def size(self) -> int:
@@ -222,14 +222,19 @@ def _sizes_fit(x: str, y: str, percent: int):
 
 
 def _star(members: DataFrame) -> DataFrame:
-    """(a, n_a, b, n, score): every member of a bucket with the bucket's pivot.
+    """(a, n_a, b, n, score, home): every member of a bucket with the bucket's pivot.
 
-    ``members`` are (bucket, b, n, score, fit); the pivot is the fit one with the highest score.
+    ``members`` are (bucket, b, n, score, fit); the pivot is the fit one with the highest score.  ``home`` is a
+    member's pivot with the highest score: two members with one home are looked at there only.
     """
     pivots = members.where("fit").groupBy("bucket").agg(F.max(F.struct("score", -F.col("n"), "b", "n")).alias("pivot"))
-    pivots = pivots.select("bucket", F.col("pivot.b").alias("a"), F.col("pivot.n").alias("n_a"))
-    star = members.join(pivots, "bucket").where("b != a").groupBy("a", "b")
-    return star.agg(F.first("n_a").alias("n_a"), F.first("n").alias("n"), F.first("score").alias("score"))
+    pivots = pivots.select("bucket", F.col("pivot.b").alias("a"), F.col("pivot.n").alias("n_a"), F.col("pivot.score").alias("score_a"))
+    star = members.join(pivots, "bucket").where("b != a").groupBy("a", "b").agg(
+        *(F.first(c).alias(c) for c in ("n_a", "score_a", "n", "score"))
+    )
+    star = materialize(star, "star")
+    home = star.groupBy("b").agg(F.max(F.struct("score_a", "a")).alias("home")).select("b", F.col("home.a").alias("home"))
+    return star.join(home, "b").drop("score_a")
 
 
 def _mixed(placed: DataFrame, key: str) -> DataFrame:
@@ -287,10 +292,12 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         placed = star.join(owner, "b", "left").withColumn("label", F.coalesce("label", "b"))
         placed = placed.join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
         placed = placed.withColumn("apart", F.coalesce("label_a", "a") != F.col("label")).drop("label_a")
-        left = materialize(placed.join(_mixed(placed, "a"), "a"), "left")
+        homes = placed.groupBy("a").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo != hi or lo = a").select("a")
+        left = materialize(placed.join(_mixed(placed, "a"), "a").join(homes, "a", "left_semi"), "left")
         small = left.where(F.col("size") <= few)
-        other = small.select(F.col("a").alias("group"), F.col("b").alias("b_2"), F.col("n").alias("n_2"), F.col("label").alias("label_2"))
-        direct = small.join(other, (F.col("a") == F.col("group")) & (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")))
+        other = small.select(F.col("a").alias("group"), F.col("b").alias("b_2"), F.col("n").alias("n_2"), F.col("label").alias("label_2"), F.col("home").alias("home_2"))
+        here = (F.col("home") != F.col("home_2")) | (F.col("home") == F.col("a"))
+        direct = small.join(other, (F.col("a") == F.col("group")) & (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")) & here & _sizes_fit("n", "n_2", params.percent))
         pairs = direct.select(F.col("b").alias("a"), F.col("b_2").alias("b"), F.col("n").alias("n_a"), F.col("n_2").alias("n"))
         large = left.where(F.col("size") > few)
         if large.isEmpty():
@@ -311,7 +318,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         dealt = dealt.join(_mixed(dealt, "bucket").select("bucket"), "bucket").drop("label")
         star = materialize(_star(dealt), "star")
         pairs = pairs.union(star.select("a", "b", "n_a", "n"))
-        few *= 2
+        few *= 4
 
     rows = feats.select("doc_id", "text_key", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("label", F.coalesce("label", "cls"))
