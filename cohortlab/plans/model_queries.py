@@ -456,8 +456,7 @@ def q_cluster_compare(spark, sf):
 
 
 def _profile(p, method="complete"):
-    lab = p.labels_for(method)
-    df = p.sample.join(lab, p.sample[R.id] == lab["id"]).drop(lab["id"])
+    df = p.segmented(method)
     return df, segments.profile_groups(df, "cluster", R.target, list(ENTITY_PROFILE_MEANS))
 
 

@@ -230,3 +230,23 @@ class Pipeline:
                 self._single[key] = self._labels_of(segments.agglomerate(self.points, [key], pairs=self.pairs))
             lab = self._single[key]
         return lab.where((F.col("method") == method) & (F.col("metric") == metric)).select("id", "cluster")
+
+    def segmented(self, method: str, metric: str = "euclidean") -> DataFrame:
+        """Every clean row with its cluster.
+
+        The linkage is fitted on the bounded sample (SAMPLE_SIZE); all rows of the table are then
+        assigned to the cluster with the nearest centroid of z-scored features (ties: the smaller
+        cluster number) in one projection: the centroids are NUM_CLUSTERS rows.
+        """
+        z = [c + "_z" for c in ENTITY_CLUSTER_FEATURES]
+        lab = self.labels_for(method, metric)
+        members = self.sample.join(lab, self.sample[self.roles.id] == lab["id"]).drop(lab["id"])
+        centers = members.groupBy("cluster").agg(*(F.avg(c).alias(c) for c in z)).collect()
+        rows = moments.zscore_apply(self.clean, self.scaler, suffix="_z")
+
+        def far(center):
+            terms = [F.pow(F.col(c) - F.lit(center[c]), F.lit(2.0)) for c in z]
+            return sum(terms[1:], terms[0])
+
+        nearest = F.array_min(F.array(*(F.struct(far(r).alias("far"), F.lit(r["cluster"]).alias("cluster")) for r in centers)))
+        return rows.withColumn("cluster", nearest["cluster"])
