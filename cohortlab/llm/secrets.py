@@ -219,8 +219,7 @@ def fit_automata(docs: DataFrame, params: SecretParams = SecretParams()) -> dict
     small_batches(docs.sparkSession)
     found = map_frames(docs.select(column("text").alias("text")), _labelled, "kind string, value string")
     pick = F.array_sort(F.collect_set("value"))
-    # of each 1/64 of the hashes the distinct values, then the smallest hashes first: bounded by train_per_kind
-    distinct = found.groupBy("kind", "value").agg(F.xxhash64(F.first("value")).alias("h")).drop("h")
+    distinct = found.distinct()
     out: dict[str, Automaton] = {}
     rows = None
     for kind in KINDS:
