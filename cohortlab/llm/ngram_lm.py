@@ -8,7 +8,7 @@ taken out (leave-one-out), so that it doesn't vouch for itself.  For each word w
 
 N-grams of all orders are 64-bit hashes.  Documents are dealt into blocks of about
 ``block_chars`` characters; a block's distinct n-grams with their counts are rows of the count table,
-packed by hash range (sorted hashes as differences, byte plane by byte plane, which compress well).  Every
+packed by hash range (sorted hashes as differences, byte plane by byte plane, compressed).  Every
 range is summed over all blocks in one group whose size is set by ``range_grams``; the totals go
 back to the blocks, joined to the n-grams in order, and are summed per document.  An n-gram
 reaches a range at most once per block, so a frequent n-gram, source or text makes no group large.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,13 @@ class LmParams:
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
-    """Unsigned integers as byte planes (high planes of small values are zeros)."""
+    """Unsigned integers as compressed byte planes (high planes of small values are zeros)."""
     planes = np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(len(values), width)
-    return np.ascontiguousarray(planes.T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
 def unpacked(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
 
 
@@ -84,11 +85,11 @@ def _counter(ranges: int):
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One hash range: the corpus total of every n-gram, for each block in its own order."""
+    """One hash range: how often every n-gram occurs in other blocks, for each block in its own order."""
     grams = [np.cumsum(unpacked(g, 8), dtype=np.uint64) for g in pdf["grams"]]
     counts = np.concatenate([unpacked(c, 4) for c in pdf["counts"]]).astype(np.float64)
     _, place = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(place, weights=counts)[place].astype(np.uint64)
+    totals = (np.bincount(place, weights=counts)[place] - counts).astype(np.uint64)
     ends = np.cumsum([len(g) for g in grams])[:-1]
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "totals": [packed(t, 8) for t in np.split(totals, ends)]})
 
@@ -99,9 +100,11 @@ def _scorer(params: LmParams, corpus_words: int):
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         grams, sizes = block_grams(pdf["text"].tolist(), cache)
         owner = np.repeat(np.arange(len(pdf)), sizes)
-        known = np.unique(grams[grams != 0])
+        known, mine = np.unique(grams[grams != 0], return_counts=True)
         replies = replies.sort_values("part")
-        totals = np.concatenate([unpacked(t, 8) for t in replies["totals"]]).astype(np.int64) if len(replies) else np.zeros(0, np.int64)
+        totals = mine
+        if len(replies):
+            totals = mine + np.concatenate([unpacked(t, 8) for t in replies["totals"]]).astype(np.int64)
         others = []
         for g in grams:  # the corpus' count less the document's own
             at = np.searchsorted(known, g)
