@@ -8,6 +8,11 @@ short paragraphs, lists, text without function words - are ambiguous.  Second pa
 nearest decided block of its section (the article, or the rest of the page); ties go to content.
 In an article without any decided content its ambiguous blocks are
 content; a page without such an element is judged as one section.
+
+A wrapper's name doesn't make an article boilerplate: main elements start anew whatever holds them, and
+articles do unless the page has others in fewer boilerplate elements (an article among reader comments,
+related or side matter also yields to long content elsewhere).  Forms that hold all of a page's long content
+are no boilerplate.  Body and html elements are never boilerplate or hidden.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from cohortlab.llm.common import column, map_frames, small_batches
 from cohortlab.llm.quality import STOP_WORDS
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Classes that show an element at some screen widths ("hidden md:block").
+SHOWN = re.compile(r"[a-z0-9]+:(?:block|flex|grid|inline|table|contents|visible)")
 
 # Element names.
 BLOCK = frozenset(
@@ -46,7 +53,18 @@ BOILER_WORDS = frozenset(
     recommended recommendations comment comments commentlist disqus replies reply discussion respond login search searchbox copyright skip
     complementary contentinfo form""".split()
 )
-MAIN_WORDS = frozenset(("main", "article"))
+#: Whole names of more than one word that name boilerplate (others do if all of their words are in BOILER_WORDS).
+BOILER_NAMES = frozenset(
+    """site-header site-footer site-nav site-navigation site-menu page-footer main-nav main-navigation main-menu main-sidebar primary-nav
+    primary-navigation primary-menu primary-sidebar secondary-sidebar related-posts related-articles related-links related-content related-stories
+    share-buttons share-links share-bar social-links social-media social-share social-icons social-buttons comment-list comment-form comment-section
+    comments-area comments-section comments-list comment-body cookie-bar nav-bar nav-links side-bar search-form search-box login-form signup-form
+    newsletter-form newsletter-signup contact-form ad-container ad-slot ad-unit ad-wrapper ad-block ad-box skip-link skip-links""".split()
+)
+#: Elements and words of matter that may hold article elements of its own (one for each comment or teaser).
+COMPANION = frozenset("nav footer aside menu dialog".split())
+COMPANION_WORDS = frozenset("comment comments commentlist disqus replies reply discussion respond related recommended recommendations".split())
+MAIN_NAMES = frozenset(("main", "main-content", "maincontent", "content-main"))
 
 
 @dataclass(frozen=True)
@@ -62,16 +80,35 @@ class Block:
     links: int
     boiler: bool
     section: int
+    #: Boilerplate elements around the article that holds the block.
+    outer: int = 0
+    #: Some of them are comments, related or side matter.
+    companion: bool = False
+    #: Within a form, but in no other boilerplate.
+    form: bool = False
 
 
-def _words(attributes: str) -> set[str]:
+def _names(attributes: str) -> tuple[set[str], bool, bool]:
+    """Class, id and role names (lower case, words joined by hyphens), whether the element is hidden, whether its role is main."""
     out: set[str] = set()
+    hidden = main = False
     for m in ATTRIBUTE.finditer(attributes):
-        if m[3]:
-            out.add("hidden")
-        elif m[1].lower() != "aria-label":
-            out |= set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2]).lower()))
-    return out
+        key = m[1].lower()
+        if key == "hidden":
+            hidden = True
+        elif key in ("class", "id", "role") and m[2]:
+            found = m[2].strip("\"'").split()
+            if key == "class" and "hidden" in found and not any(map(SHOWN.fullmatch, found)):
+                hidden = True
+            main = main or key == "role" and "main" in map(str.lower, found)
+            for x in found:
+                out.add("-".join(w for w in re.split(r"[-_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", x).lower()) if w))
+    return out, hidden, main
+
+
+def _boiler_words(names: set[str]) -> set[str]:
+    """The words of the names that name boilerplate as a whole."""
+    return {w for x in names for w in x.split("-") if x in BOILER_NAMES or all(y in BOILER_WORDS for y in x.split("-"))} - {""}
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -81,28 +118,31 @@ def blocks_of(page: str) -> list[Block]:
     tolerated: an end tag closes the nearest open element of its name, if there is one.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (name, kind): kind d dropped, b boilerplate, m main, a link, h hidden heading rule, or plain
+    stack: list[tuple[str, str]] = []  # (name, kind): kind d dropped, b boilerplate, f form, m main, a link, or plain
     parts: list[str] = []
-    counts = {"drop": 0, "boiler": 0, "main": 0, "link": 0}
+    counts = {"drop": 0, "boiler": 0, "companion": 0, "form": 0, "main": 0, "link": 0}
     links, sections = 0, 0
-    kinds = {"d": "drop", "b": "boiler", "m": "main", "a": "link"}
+    kinds = {"d": ("drop",), "b": ("boiler",), "c": ("boiler", "companion"), "f": ("form",), "m": ("main",), "a": ("link",)}
     section_stack = [0]
+    around: list[tuple[int, int, int, int, bool]] = []  # at each open article: counts outside it, and what it says of them
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html_entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, links, counts["boiler"] > 0, section_stack[-1]))
+            outer, companion = around[-1][3:] if around else (0, False)
+            out.append(Block(text, links, counts["boiler"] > 0, section_stack[-1], outer, companion, counts["form"] > 0))
         parts.clear()
         links = 0
 
     def close(index: int) -> None:
         while len(stack) > index:
             kind = stack.pop()[1]
-            if kind in kinds:
-                counts[kinds[kind]] -= 1
+            for c in kinds.get(kind, ()):
+                counts[c] -= 1
             if kind == "m":
                 section_stack.pop()
+                counts["boiler"], counts["companion"], counts["form"] = around.pop()[:3]
 
     def add(text: str) -> None:
         nonlocal links
@@ -148,29 +188,42 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
-        words = _words(m[3]) if m[3] else set()
+        names, hidden, main_role = _names(m[3]) if m[3] else (set(), False, False)
         if name in RAW:  # its content isn't markup: skip to its end tag
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             continue
         kind = "p"
         in_main = counts["main"] > 0
-        if name in DROPPED or "hidden" in words:
+        words = _boiler_words(names) if names else names
+        main = name == "main" or main_role
+        if name in ("body", "html"):
+            kind = "p"
+        elif name in DROPPED or hidden:
             kind = "d"
         elif name == "header" and in_main:
             kind = "p"  # an article's own heading
-        elif name in BOILER or (words & BOILER_WORDS and name not in ("body", "html") and not (words & MAIN_WORDS)):
-            kind = "b"
-        elif name in ("article", "main") or "main" in words and name == "div":
+        elif main or name == "article" or name == "div" and names & MAIN_NAMES:
             kind = "m"
+        elif name == "form":
+            kind = "f"
+        elif name in BOILER or words and not names & (MAIN_NAMES | {"article"}):
+            kind = "c" if name in COMPANION or words & COMPANION_WORDS else "b"
         elif name == "a":
             kind = "a"
-        if kind in kinds:
-            counts[kinds[kind]] += 1
+        for c in kinds.get(kind, ()):
+            counts[c] += 1
         if kind == "m":
             if not in_main:
                 sections += 1
             section_stack.append(sections if not in_main else section_stack[-1])
+            # boilerplate outside is noted, not inherited; an article of a boilerplate name is as one within such an element
+            outer, companion = (0, False) if main or not around else around[-1][3:]
+            if not main:
+                outer += counts["boiler"] + bool(words)
+                companion = companion or counts["companion"] > 0 or bool(words & COMPANION_WORDS)
+            around.append((counts["boiler"], counts["companion"], counts["form"], outer, companion))
+            counts.update(boiler=0, companion=0, form=0)
         stack.append((name, kind))
     flush()
     return out
@@ -178,17 +231,31 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block], rules: BlockRules = BlockRules()) -> list[bool]:
     """True for content blocks, by the two passes."""
-    first: list[bool | None] = []
+    long_text = []
     for b in blocks:
         words = b.text.lower().split()
         stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-        if b.boiler or b.links > rules.link_density * len(b.text):
+        long_text.append(len(b.text) >= rules.long_chars and b.links <= rules.link_density * len(b.text) and (b.section > 0 or stop >= rules.stop_density))
+    boiler = [b.boiler for b in blocks]
+    inner = [(not x, b.outer) for x, b in zip(long_text, blocks, strict=True) if b.section and not b.boiler]
+    least = min(inner, default=(False, 0))[1]
+    rest = any(x and not b.boiler and not b.section for x, b in zip(long_text, blocks, strict=True))
+    for i, b in enumerate(blocks):
+        if b.section and (b.outer > least or b.companion and rest):
+            boiler[i] = True
+    for section in {b.section for b in blocks if b.form}:
+        found = {b.form for x, y, b in zip(long_text, boiler, blocks, strict=True) if b.section == section and x and not y}
+        if found != {True}:  # the form doesn't hold all of the long content
+            boiler = [x or b.form and b.section == section for x, b in zip(boiler, blocks, strict=True)]
+    first: list[bool | None] = []
+    for b, is_boiler, is_long in zip(blocks, boiler, long_text, strict=True):
+        if is_boiler or b.links > rules.link_density * len(b.text):
             first.append(False)
-        elif len(b.text) >= rules.long_chars and (b.section or stop >= rules.stop_density):
+        elif is_long:
             first.append(True)
         else:
             first.append(None)
-    has_main = any(b.section for b in blocks)
+    has_main = any(b.section and not x for x, b in zip(boiler, blocks, strict=True))
     if has_main:  # what an article or main element doesn't hold isn't the article
         first = [x if b.section else False for x, b in zip(first, blocks, strict=True)]
     out = [bool(x) for x in first]
@@ -197,7 +264,7 @@ def classify(blocks: list[Block], rules: BlockRules = BlockRules()) -> list[bool
         by_section.setdefault(b.section, []).append(i)
     for section, members in by_section.items():
         good = [k for k, i in enumerate(members) if first[i] is True]
-        bad = [k for k, i in enumerate(members) if first[i] is False and not (section and blocks[i].boiler)]
+        bad = [k for k, i in enumerate(members) if first[i] is False and not (section and boiler[i])]
         for k, i in enumerate(members):
             if first[i] is not None:
                 continue
