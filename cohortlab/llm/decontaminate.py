@@ -43,9 +43,9 @@ def normalized(text: str | None) -> str:
 
 
 def _units(text: str) -> np.ndarray:
-    """One byte for each UTF-16 unit; folding can only add shared q-grams, not lose one."""
-    u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
-    return (u ^ (u >> 8)).astype(np.uint8)
+    """One byte for each code point; folding can only add shared q-grams, not lose one."""
+    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return (u ^ (u >> 8) ^ (u >> 16)).astype(np.uint8)
 
 
 def _grams(units: np.ndarray, q: int) -> np.ndarray:
