@@ -1,14 +1,20 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands.
 
-Benchmark items are cut into segments of ``segment`` characters (overlapping by
-half, the last one ends with the item; a shorter item is one segment).  If a
+Benchmark items are cut into overlapping segments of two lengths: ``fragment`` characters, one every
+``stride``, for partial passages, and ``segment`` characters, one every quarter of that, for copies with
+more edits (the last of each ends with the item; a shorter item is one segment).  If a
 segment of m characters occurs in a text with at most k edits, the two share at least
 m - q + 1 - k*q of their character q-grams, and these lie on diagonals (text position
-minus segment position) no more than k apart.  Shared q-grams are counted in
-overlapping bands of diagonals; bands that reach the bound are kept and their
+minus segment position) no more than k apart; k is at most (m - q) / q, so that at least
+one is shared.  Shared q-grams are counted in overlapping bands of diagonals, first per item, then
+in the bands that are left per segment; bands that reach the bound are kept and their
 regions aligned within the band.  No pair of a text and a segment is looked
 at unless its q-grams meet.
 
+So any verbatim part of an item of ``fragment`` characters is found wherever it starts (the next segment of
+that length is at most half a ``stride`` off, which its edits cover), and any segment with edits up to
+its share - a replaced word is some 5 to 8.
+
 The benchmark is the query set: it is taken in blocks of bounded size, each
 block's q-gram index is broadcast, and every text is streamed past it whole.
 """
@@ -29,10 +35,16 @@ SCHEMA = "doc_id long, item_id long, segments long, matched long, edits long, st
 
 @dataclass(frozen=True)
 class LeakParams:
-    q: int = 12
+    q: int = 8
     segment: int = 100
-    #: Edits allowed in a segment, as a share of its length.
-    edit_share: float = 0.05
+    fragment: int = 50
+    #: Characters from one fragment to the next: at most twice the edits allowed in one.
+    stride: int = 8
+    #: Edits allowed in a segment, and in one of up to ``fragment`` characters, as a share of its length.
+    edit_share: float = 0.1
+    fragment_share: float = 0.08
+    #: Shorter items aren't searched for.
+    least_chars: int = 12
     #: Characters of benchmark text in one broadcast block.
     block_chars: int = 1_000_000
 
@@ -60,46 +72,58 @@ def _grams(units: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def segments_of(length: int, size: int) -> list[tuple[int, int]]:
+def segments_of(length: int, size: int, stride: int) -> list[tuple[int, int]]:
     if length <= size:
         return [(0, length)]
-    starts = list(range(0, length - size, max(1, size // 2))) + [length - size]
+    starts = list(range(0, length - size, max(1, stride))) + [length - size]
     return [(s, s + size) for s in starts]
 
 
 class GramIndex:
-    """Sorted q-grams of a block's segments with their postings."""
+    """Sorted q-grams of a block's items with their postings, and the items' segments."""
 
     def __init__(self, items: list[tuple[int, str]], params: LeakParams):
         self.params = params
-        self.items, self.texts, self.budget, self.bound, self.total = [], [], [], [], []
-        grams, owner, place = [], [], []
+        self.items, self.texts, self.budget, self.bound, self.total, self.start = [], [], [], [], [], []
+        self.longest, self.item_bound = 0, []
+        grams, owner, place, cover, many = [], [], [], [], []
+        q = params.q
         for item_id, text in items:
             text = normalized(text)
-            if len(text) < params.q:
+            if len(text) < max(q, params.least_chars):
                 continue
-            cuts = segments_of(len(text), params.segment)
+            cuts = sorted({*segments_of(len(text), params.segment, params.segment // 4), *segments_of(len(text), params.fragment, params.stride)})
+            first, n = len(self.items), len(text) - q + 1
+            over = [[] for _ in range(n)]  # the segments that hold the gram at each place
             for a, b in cuts:
-                seg = text[a:b]
-                k = int(params.edit_share * len(seg))
-                units = np.concatenate([_units(seg), np.zeros(16, np.uint8)])
-                g = _grams(units, params.q)[: len(units) - 16 - params.q + 1]
-                grams.append(g)
-                owner.append(np.full(len(g), len(self.items)))
-                place.append(np.arange(len(g)))
+                share = params.fragment_share if b - a <= params.fragment else params.edit_share
+                k = max(0, min(int(share * (b - a)), (b - a - q) // q))
+                for x in range(a, b - q + 1):
+                    over[x].append(len(self.items))
                 self.items.append(item_id)
-                self.texts.append(seg)
+                self.texts.append(text[a:b])
                 self.budget.append(k)
-                self.bound.append(max(1, len(g) - k * params.q))
+                self.bound.append(b - a - q + 1 - k * q)
                 self.total.append(len(cuts))
+                self.start.append(a)
+            grams.append(_grams(np.concatenate([_units(text), np.zeros(16, np.uint8)]), q)[:n])
+            owner.append(np.full(n, len(self.item_bound)))
+            place.append(np.arange(n))
+            many += map(len, over)
+            cover += [x for segs in over for x in segs]
+            self.item_bound.append(min(self.bound[first:]))
+            self.longest = max(self.longest, len(text))
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        many = np.array(many, dtype=np.int64)
+        self.cover, self.cover_many, self.cover_first = np.array(cover, dtype=np.int64), many[order], (np.cumsum(many) - many)[order]
         self.grams, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
         self.bits = int(min(26, max(16, np.ceil(np.log2(len(self.grams) + 1)) + 6)))
         self.width = max([1, *self.budget]) + 1
-        self.bound = np.array(self.bound, dtype=np.int64)
+        self.bound, self.start = np.array(self.bound, dtype=np.int64), np.array(self.start, dtype=np.int64)
+        self.item_bound = np.array(self.item_bound, dtype=np.int64)
 
     def lookup_table(self) -> np.ndarray:
         seen = np.zeros(1 << self.bits, dtype=bool)
@@ -114,15 +138,15 @@ def _alignments(segs: list[str], regions: list[str], budget: np.ndarray) -> tupl
     no wider than the segment plus the band, so only cells in the band exist.
     """
     n, rows, cols = len(segs), max(map(len, segs)), max(map(len, regions))
-    big = 1 << 20
+    big = np.int32(1 << 20)
     s = np.zeros((n, rows), dtype=np.uint32)
     r = np.full((n, cols), 0xFFFFFFFF, dtype=np.uint32)
     for i, (x, y) in enumerate(zip(segs, regions, strict=True)):
         s[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         r[i, : len(y)] = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     lengths, widths = np.array([len(x) for x in segs]), np.array([len(y) for y in regions])
-    step = np.arange(cols + 1)
-    row = np.zeros((n, cols + 1), dtype=np.int64)
+    step = np.arange(cols + 1, dtype=np.int32)
+    row = np.zeros((n, cols + 1), dtype=np.int32)
     least, at = np.full(n, big), np.zeros(n, dtype=np.int64)
     for j in range(rows):
         new = np.empty_like(row)
@@ -136,6 +160,12 @@ def _alignments(segs: list[str], regions: list[str], budget: np.ndarray) -> tupl
     return least, at
 
 
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, as many as given."""
+    ends = np.cumsum(many)
+    return np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> list[tuple]:
     q, gap = index.params.q, 4 * index.width + 16
     parts, starts, at = [], [], 0
@@ -154,28 +184,44 @@ def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> li
     if not len(where):
         return []
     many = index.many[which]
-    posting = np.repeat(index.first[which] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    owner, diagonal = index.owner[posting], np.repeat(where, many) - index.place[posting] + at
-    band = diagonal // index.width
+    posting = _runs(index.first[which], many)
+    width, base = index.width, index.longest + 2 * index.width
+    owner, diagonal = index.owner[posting], np.repeat(where, many) - index.place[posting] + base
+    span = (at + base) // width + 4
     # a band holds two strips of diagonals, so bands overlap by one strip
-    key = np.concatenate([owner * (4 * at + 4) + band, owner * (4 * at + 4) + band - 1])
+    strip = owner * span + diagonal // width
+    strips, place, counts = np.unique(strip, return_inverse=True, return_counts=True)
+    joined = counts.copy()  # of a strip and the next one
+    joined[:-1] += np.where(strips[1:] == strips[:-1] + 1, counts[1:], 0)
+    good = joined >= index.item_bound[strips // span]
+    second = np.zeros_like(good)
+    second[1:] = good[:-1] & (strips[1:] == strips[:-1] + 1)
+    keys, hits = [], []
+    for keep, back in ((good, 0), (second, 1)):
+        mine = np.flatnonzero(keep[place])
+        keys.append(strip[mine] - back)
+        hits.append(posting[mine])
+    band, posting = np.concatenate(keys) % span, np.concatenate(hits)
+    many = index.cover_many[posting]
+    segment = index.cover[_runs(index.cover_first[posting], many)]
+    key = segment * span + np.repeat(band, many)
     keys, counts = np.unique(key, return_counts=True)
-    owner, band = keys // (4 * at + 4), keys % (4 * at + 4)
+    owner, band = keys // span, keys % span
     good = counts >= index.bound[owner]
     found = []
     for o, b in zip(owner[good].tolist(), band[good].tolist(), strict=True):
-        low = b * index.width - at
-        doc = int(np.searchsorted(starts, max(0, low + 3 * index.width), side="right") - 1)
+        low = b * width - base + int(index.start[o])
+        doc = int(np.searchsorted(starts, max(0, low + 3 * width), side="right") - 1)
         low -= int(starts[doc])
         text = texts[doc]
         k = index.budget[o]
         a = max(0, low - k)
-        found.append((doc, o, a, text[a : max(0, low) + 2 * index.width + len(index.texts[o]) + k]))
+        found.append((doc, o, a, text[a : max(0, low) + 2 * width + len(index.texts[o]) + k]))
     if not found:
         return []
     exact = [(d, o, a + r.find(index.texts[o]), 0, len(index.texts[o])) for d, o, a, r in found if index.texts[o] in r]
     known = {(d, o) for d, o, *_ in exact}
-    rest = [x for x in found if (x[0], x[1]) not in known]
+    rest = sorted((x for x in found if (x[0], x[1]) not in known), key=lambda x: len(index.texts[x[1]]))
     for i in range(0, len(rest), 256):
         chunk = rest[i : i + 256]
         k = np.array([index.budget[o] for _, o, _, _ in chunk])
@@ -215,9 +261,9 @@ def _scanner(parts):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """Per document row and benchmark item found in it: doc_id, item_id, segments of the item, those
-    matched, their edits in sum, start and end (in the normalized text).
+    matched, their edits in sum (segments overlap), start and end (in the normalized text).
 
-    Null and empty texts match nothing; items under q characters (after normalizing), null
+    Null and empty texts match nothing; items under least_chars or q characters (after normalizing), null
     items and rows with a null item_id aren't searched for; repeated items or rows give
     repeated results.  Rows with a null doc_id are left out (there is nothing to report them by).
     Empty tables give an empty result.  Other columns are ignored.

@@ -29,3 +29,26 @@ def test_passages_behind_characters_above_the_basic_plane(before):
         ((doc, found, *_, start, end),) = find([prose(3, 500), text], [prose(4, 150), item])
         assert (doc, found) == (1, 1)
         assert abs(start - len(before.strip()) - 1) <= 12 and abs(end - start - len(passage)) <= 12
+
+
+def test_partial_passages_wherever_they_start():
+    for n, at in ((81, 7), (100, 50), (233, 91), (394, 333)):
+        item = prose(n, n)
+        parts = [item[a : a + 50] for a in sorted({*range(0, n - 49, 3), n - 50, min(at, n - 50)})]
+        texts = [f"{prose(5, 80)} {p} {prose(6, 80)}" for p in parts] + parts
+        assert {r[0] for r in find(texts, [item])} == set(range(len(texts))), n
+
+
+def test_copies_with_replaced_words():
+    short, long = prose(7, 81), prose(8, 233)
+    for old in (short[36:42], short[0:8], short[73:81]):
+        text = f"{prose(9, 120)} {short.replace(old, '#' * len(old))} {prose(10, 90)}"
+        assert [r[0] for r in find([text], [short])] == [0], old
+    text = prose(9, 120) + long[:72] + "########" + long[80:147] + "########" + long[155:] + prose(10, 90)
+    assert [r[0] for r in find([text], [long])] == [0]
+
+
+def test_every_segment_has_a_bound_that_filters():
+    index = D.GramIndex([(n, prose(n, n)) for n in (12, 15, 20, 33, 50, 51, 81, 100, 101, 394)], D.LeakParams())
+    assert index.bound.min() >= 1
+    assert all(len(t) - 7 - 8 * k == b for t, k, b in zip(index.texts, index.budget, index.bound, strict=True))
