@@ -11,7 +11,8 @@ N-grams of all orders are 64-bit hashes.  Documents are dealt into blocks of abo
 packed by hash range (sorted hashes as differences, byte plane by byte plane, compressed).  Every
 range is summed over all blocks in one group whose size is set by ``range_grams``; the totals go
 back to the blocks, joined to the n-grams in order, and are summed per document.  An n-gram
-reaches a range at most once per block, so a frequent n-gram, source or text makes no group large.
+reaches a range at most once per block, and rows are dealt by their place in the table, so a frequent n-gram,
+source, text or row makes no group large.  The dealt rows are written once: both passes and any retry see the same blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import WordHashes, ascii_words, column, mix64, word_hashes
+from cohortlab.llm.common import WordHashes, ascii_words, column, materialize, mix64, word_hashes
 from cohortlab.llm.mixing import token_count
 
 SCHEMA = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_trigram long, n_bigram long, n_unigram long, n_unseen long"
@@ -136,6 +137,12 @@ def _scorer(params: LmParams, corpus_words: int):
     return run
 
 
+def deal(narrow: DataFrame, blocks: int) -> DataFrame:
+    """A block for each row; repeated rows go to different ones."""
+    salted = F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id())
+    return narrow.withColumn("block", F.pmod(salted, F.lit(blocks)).cast("int"))
+
+
 def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     """Per row: doc_id, n_tokens, log_score (natural log, summed), mean_log_score, words scored at each order.
 
@@ -147,7 +154,7 @@ def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     sums = narrow.agg(F.sum(F.length("text")).alias("chars"), F.sum(token_count(F.col("text"))).alias("words")).first()
     blocks = max(1, -(-(sums["chars"] or 0) // params.block_chars))
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, 2.5 * (sums["words"] or 0) / params.range_grams)))))
-    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    dealt = materialize(deal(narrow, blocks), "dealt")
     table = dealt.groupBy("block").applyInPandas(_counter(ranges), "part long, block int, grams binary, counts binary")
     replies = table.groupBy("part").applyInPandas(_summed, "block int, part long, totals binary")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scorer(params, sums["words"] or 0), SCHEMA)
