@@ -1,12 +1,11 @@
 """Language identification of texts and of spans within them.
 
 A word's script (by code-point ranges) narrows the languages it may be of to those whose training words use
-that script.  Among these it is scored by character n-grams and the whole word, relative to its best language.
-Viterbi over the words of a text, with a penalty for each change of language, labels spans; the language of the most
-letters is the text's.
+that script.  Among these it is scored by character n-grams, relative to its best language.  Viterbi over the words of
+a text, with a penalty for each change of language, labels spans; the language of the most letters is the text's.
 
 Fitted on a bounded sample of labelled documents (``fit_documents`` for each language, chosen by hash; the
-``grams_per_language`` most frequent features stay); every text is labelled in full.
+``grams_per_language`` most frequent n-grams stay); every text is labelled in full.
 """
 
 from __future__ import annotations
@@ -22,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import column, map_frames, small_batches
+from cohortlab.llm.common import column, map_frames, mix64, small_batches
 
 UNKNOWN = "und"
-FIT_DOCUMENTS = 4_000
+FIT_DOCUMENTS = 2_000
 GRAMS_PER_LANGUAGE = 30_000
 LANGUAGES = 1_000
-LONGEST_GRAM = 4
+ORDERS = (2, 3, 4)
 RARE = 1e-6
 WORD_LIMIT = 5.0
 SWITCH = 10.0
@@ -56,6 +55,7 @@ SCRIPT_RANGES = [
     (0x1B000, "Kana"), (0x1B300, "Other"), (0x20000, "Han"), (0x323B0, "Other"),
 ]
 _FIRST = [first for first, _ in SCRIPT_RANGES]
+_GREEK = chr(_FIRST[1])
 
 
 def script_of(character: str) -> str:
@@ -64,7 +64,7 @@ def script_of(character: str) -> str:
 
 def pieces(word: str) -> list[tuple[int, str, str]]:
     """(offset, piece, script) of the parts of a run of letters that are of one script; other signs are left out."""
-    if word.isascii():
+    if word.isalpha() and max(word) < _GREEK:
         return [(0, word, "Latin")]
     out: list[tuple[int, str, str]] = []
     open_ = False
@@ -81,53 +81,52 @@ def pieces(word: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def features(word: str) -> list[str]:
-    """The whole word and its character n-grams (with marks for its ends), lower-cased."""
-    word = word.lower()
-    padded = f"^{word}$"
-    out = ["=" + word, *word]
-    for n in range(2, LONGEST_GRAM + 1):
-        out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
-    return out
+def gram_keys(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order: hashes of the n-grams of all words (lower-cased, ends marked), and how many each word has."""
+    lower = [w.lower() for w in words]
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in lower).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, lower), np.int64, len(lower)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+    keys = points + np.uint64(1)
+    for n in range(2, ORDERS[-1] + 1):
+        keys = keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :]
+        if n in ORDERS:
+            yield n, mix64(keys[left[: len(keys)] >= n]), np.maximum(sizes - n + 1, 0)
 
 
 @dataclass
 class LanguageModel:
-    """Languages in name order, their log shares, the languages of each script, and log frequencies of features."""
+    """Languages in name order, their log shares, the languages of each script, and log frequencies of n-grams by hash."""
 
     languages: list[str]
     prior: np.ndarray
     scripts: dict[str, np.ndarray]
-    grams: dict[str, int]
+    keys: np.ndarray
     weights: np.ndarray
 
     def scores(self, words: list[tuple[str, str]]) -> np.ndarray:
         """For (word, script): 0 for the best language, less for others, -WORD_LIMIT at least.
 
-        A language that doesn't write the script gets -WORD_LIMIT; a script that no language writes says nothing.
+        A language that doesn't write the script gets -WORD_LIMIT; a script that no language writes says nothing, and an
+        n-gram that the model doesn't have neither.
         """
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        flat, sizes, asked = [], [], []
-        for k, (word, script) in enumerate(words):
-            able = self.scripts.get(script)
-            if able is None:
-                continue
-            out[k] = np.where(able, 0, -WORD_LIMIT)
-            if able.sum() > 1:
-                grams = [g for g in map(self.grams.get, features(word)) if g is not None]
-                if grams:
-                    flat += grams
-                    sizes.append(len(grams))
-                    asked.append(k)
-        step = max(1, CELLS // max(1, len(self.languages)))
-        at = 0
-        for low in range(0, len(asked), max(1, step // 32)):
-            rows = np.array(asked[low : low + max(1, step // 32)])
-            size = np.array(sizes[low : low + len(rows)])
-            total = np.add.reduceat(self.weights[flat[at : at + size.sum()]], np.cumsum(size) - size, axis=0)
-            at += size.sum()
-            able = out[rows] == 0
-            total = np.where(able, total, -np.inf) / (LONGEST_GRAM + 1)
+        names = sorted({script for _, script in words})
+        able = np.array([self.scripts.get(name, np.zeros(len(self.languages), bool)) for name in names]).reshape(len(names), -1)
+        number = {name: i for i, name in enumerate(names)}
+        mine = able[np.fromiter((number[script] for _, script in words), np.int64, len(words))].reshape(len(words), -1)
+        out = np.where(mine | ~mine.any(axis=1, keepdims=True), 0, -WORD_LIMIT).astype(np.float32)
+        asked = np.flatnonzero(mine.sum(axis=1) > 1)
+        step = max(1, CELLS // (16 * max(1, len(self.languages))))
+        for low in range(0, len(asked), step):
+            rows = asked[low : low + step]
+            total = np.zeros((len(rows), len(self.languages)))
+            for _, keys, count in gram_keys([words[k][0] for k in rows]):
+                place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                place[self.keys[place] != keys] = len(self.keys)
+                some = count > 0
+                if some.any():
+                    total[some] += np.add.reduceat(self.weights[place], (np.cumsum(count) - count)[some], axis=0)
+            total = np.where(mine[rows], total / len(ORDERS), -np.inf)
             out[rows] = np.maximum(total - total.max(axis=1, keepdims=True), -WORD_LIMIT)
         return out
 
@@ -153,7 +152,7 @@ def fit(
     ).where("not out and text is not null and lang is not null")
     counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
-        return LanguageModel([], np.zeros(0), {}, {}, np.zeros((0, 0), np.float32))
+        return LanguageModel([], np.zeros(0), {}, np.zeros(1, np.uint64), np.zeros((1, 0)))
     rates = usable.sparkSession.createDataFrame([(k, min(1.0, fit_documents / n)) for k, n in counts.items()], "lang string, rate double")
     key = F.xxhash64("id", "text")
     sample = (
@@ -165,42 +164,75 @@ def fit(
     )
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        found: dict[str, Counter] = {}
-        for language, value in zip(pdf["lang"], pdf["text"]):
-            found.setdefault(language, Counter()).update(LETTERS.findall(value))
-        rows: Counter = Counter()
-        for language, words in found.items():
-            for word, n in words.items():
+        out = []
+        for language, texts in pdf.groupby("lang")["text"]:
+            found, scripts = Counter(), Counter()
+            for word, n in Counter(w for t in texts for w in LETTERS.findall(t)).items():
                 for _, piece, script in pieces(word):
-                    rows[language, "script", script] += n
-                    for gram in features(piece):
-                        rows[language, "gram", gram] += n
-        return pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["lang", "kind", "name", "n"])
-
-    counted = map_frames(sample.select("lang", "text"), count, "lang string, kind string, name string, n long")
-    by_rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "name")
-    order = F.when(F.col("kind") == "script", -1).when(F.col("name").startswith("="), 0).otherwise(F.length("name"))
+                    found[piece] += n
+                    scripts[script] += n
+            times = np.fromiter(found.values(), np.int64, len(found))
+            for order, keys, sizes in gram_keys(list(found)) if found else ():
+                kinds, which = np.unique(keys, return_inverse=True)
+                n = np.bincount(which, np.repeat(times, sizes), len(kinds)).astype(np.int64)
+                out.append(pd.DataFrame({"lang": language, "part": order, "name": None, "key": kinds.view(np.int64), "n": n}))
+            out.append(pd.DataFrame({"lang": language, "part": 0, "name": list(scripts), "key": 0, "n": list(scripts.values())}))
+        return pd.concat(out) if out else None
+
+    counted = map_frames(sample.select("lang", "text"), count, "lang string, part int, name string, key long, n long")
+    by_rank = Window.partitionBy("lang", F.col("part") > 0).orderBy(F.desc("n"), "key", "name")
     kept = (
-        counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
-        .withColumn("order", order)
-        .withColumn("total", F.sum("n").over(Window.partitionBy("lang", "order")))
+        counted.groupBy("lang", "part", "name", "key").agg(F.sum("n").alias("n"))
+        .withColumn("total", F.sum("n").over(Window.partitionBy("lang", "part")))
         .withColumn("rank", F.row_number().over(by_rank))
         .where(F.col("rank") <= grams_per_language)
-        .select("lang", "kind", "name", (F.col("n") / F.col("total")).alias("share"))
+        .select("lang", "part", "name", "key", (F.col("n") / F.col("total")).alias("share"))
         .toPandas()
     )
     languages = sorted(counts)
     number = {name: i for i, name in enumerate(languages)}
-    grams = {g: i for i, g in enumerate(sorted(set(kept.loc[kept["kind"] == "gram", "name"])))}
-    weights = np.full((len(grams), len(languages)), RARE)
     scripts: dict[str, np.ndarray] = {}
-    for language, kind, name, share in kept.itertuples(index=False):
-        if kind == "gram":
-            weights[grams[name], number[language]] += share
-        elif share >= SCRIPT_SHARE:
-            scripts.setdefault(name, np.zeros(len(languages), bool))[number[language]] = True
+    for r in kept[kept["part"] == 0].itertuples(index=False):
+        if r.share >= SCRIPT_SHARE:
+            scripts.setdefault(r.name, np.zeros(len(languages), bool))[number[r.lang]] = True
+    grams = kept[kept["part"] > 0]
+    keys, row = np.unique(grams["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    weights = np.full((len(keys) + 1, len(languages)), RARE)
+    weights[row, grams["lang"].map(number).to_numpy(np.int64)] += grams["share"].to_numpy(np.float64)
+    weights = np.log(weights)
+    weights[-1] = 0
     prior = np.log(np.array([counts[name] for name in languages]) / sum(counts.values()))
-    return LanguageModel(languages, prior, scripts, grams, np.log(weights).astype(np.float32))
+    return LanguageModel(languages, prior, scripts, keys, weights)
+
+
+def steady(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray, prior: np.ndarray, switch: float) -> np.ndarray:
+    """The one language of each text whose best path provably never changes, else -1 (also for texts without words).
+
+    It is the language of the greatest total, if no stretch of words favours another one by more than half the penalty:
+    each change of language would then cost more than it gains.  (Greatest sum of a stretch: sums less the least
+    sum so far, text by text.)
+    """
+    out = np.full(len(sizes), -1)
+    texts = np.flatnonzero(sizes > 0)
+    if not len(texts):
+        return out
+    size = sizes[texts]
+    first = np.cumsum(size) - size
+    score = table[codes].astype(np.float64)
+    best = (np.add.reduceat(score, first, axis=0) + prior).argmax(axis=1)
+    text = np.repeat(np.arange(len(texts)), size)
+    score -= score[np.arange(len(codes)), best[text]][:, None]
+    start = prior - prior[best][:, None]
+    largest = np.zeros(len(texts))
+    apart = 2.0 * (len(codes) + len(texts)) * (WORD_LIMIT + np.abs(start).max()) + 1
+    for k in range(table.shape[1]):
+        total = np.cumsum(score[:, k])
+        before = total - score[:, k]
+        before[first] -= np.maximum(start[:, k], 0)
+        least = np.minimum.accumulate(before - text * apart) + text * apart
+        largest = np.maximum(largest, np.maximum.reduceat(total - least, first))
+    out[texts] = np.where(largest <= switch / 2 - 1e-3, best, -1)
+    return out
 
 
 def viterbi(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray, prior: np.ndarray, switch: float) -> np.ndarray:
@@ -233,6 +265,16 @@ def viterbi(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray, prior: np.n
     return label
 
 
+def best_languages(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray, prior: np.ndarray, switch: float) -> np.ndarray:
+    """The language of each word on its text's best path; only texts that may change language go through Viterbi."""
+    one = steady(codes, sizes, table, prior, switch)
+    label = np.repeat(one, sizes)
+    mixed = label < 0
+    if mixed.any():
+        label[mixed] = viterbi(codes[mixed], sizes[one < 0], table, prior, switch)
+    return label
+
+
 def _identified(texts: list[str | None], model: LanguageModel, switch: float) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text."""
     if not model.languages:
@@ -254,7 +296,7 @@ def _identified(texts: list[str | None], model: LanguageModel, switch: float) ->
     table = model.scores(list(known))
     letters = np.array([len(p) for p, _ in known] or [0])
     codes_, sizes_ = np.array(codes, np.int64), np.array(sizes, np.int64)
-    label = viterbi(codes_, sizes_, table, model.prior, switch)
+    label = best_languages(codes_, sizes_, table, model.prior, switch)
     out, at = [], 0
     for value, size, tokens in zip(texts, sizes, found):
         if not size:
@@ -272,9 +314,11 @@ def _identified(texts: list[str | None], model: LanguageModel, switch: float) ->
 
 
 def _spans(value: str, tokens: list[str], label: np.ndarray, languages: list[str]) -> list[dict]:
-    if (label == label[0]).all() and tokens[0].isascii() and tokens[-1].isascii():
-        start = LETTERS.search(value).start()
-        return [{"start": start, "end": value.rfind(tokens[-1]) + len(tokens[-1]), "lang": languages[label[0]]}]
+    if (label == label[0]).all():
+        begin, end = pieces(tokens[0]), pieces(tokens[-1])
+        if begin and end:
+            first, last = LETTERS.search(value).start() + begin[0][0], value.rfind(tokens[-1]) + end[-1][0] + len(end[-1][1])
+            return [{"start": first, "end": last, "lang": languages[label[0]]}]
     places = [(m.start() + i, m.start() + i + len(p)) for m in LETTERS.finditer(value) for i, p, _ in pieces(m.group())]
     firsts = np.flatnonzero(np.append(True, label[1:] != label[:-1])).tolist()
     lasts = [*(k - 1 for k in firsts[1:]), len(places) - 1]

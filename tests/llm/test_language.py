@@ -100,3 +100,15 @@ def test_viterbi_equals_the_best_of_all_paths():
             best = max(itertools.product(range(3), repeat=n), key=value)
             assert value(tuple(label[at : at + n])) == pytest.approx(value(best))
         at += n
+
+
+def test_steady_texts_are_those_of_one_language():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 9, 400)
+    table = np.minimum(rng.normal(size=(30, 3)) * 2, 0).astype(np.float32)
+    table -= table.max(axis=1, keepdims=True)
+    codes = rng.integers(0, 30, sizes.sum())
+    prior = np.log(np.array([0.7, 0.2, 0.1]))
+    one = language.steady(codes, sizes, table, prior, 6.0)
+    assert 20 < (one >= 0).sum() < 380
+    assert (language.best_languages(codes, sizes, table, prior, 6.0) == language.viterbi(codes, sizes, table, prior, 6.0)).all()
