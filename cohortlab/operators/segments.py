@@ -1,9 +1,8 @@
 """Agglomerative segmentation as Spark rounds, silhouettes and cluster profiles.
 
-Hierarchical clustering needs every pairwise distance of the points it
-clusters, so it runs on a *bounded* stratified sample (the sample size is the
-operator's parameter, checked against ``SAMPLE_CAP``); the table the sample
-is drawn from may be any size.
+Linkage works on the weighted cells of :mod:`cohortlab.operators.cells`, which hold every row of a table of any size; a
+cell of one point behaves as that point.  Between two cells it uses the root mean squared distance of their points
+(average linkage), the greatest distance of their bounding boxes (complete) and counts, means and squared deviations (ward, exact).
 
 Linkage (average, complete, ward) is computed by mutual-nearest-neighbour
 rounds.  These linkages are *reducible*, so merging every pair of clusters
@@ -33,14 +32,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlab.session import scratch_path
 
-SAMPLE_CAP = 5_000
+BLOCK_ROWS = 128
 
 
 def valid_combinations(methods: Sequence[str], metrics: Sequence[str]) -> list[tuple[str, str]]:
@@ -64,23 +63,80 @@ def vectorize(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"))
 
 
+def blocked_pairs(points: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(i, j, a, b)`` for all i < j, a and b the points' structs: an equi-join on blocks of the triangle.
+
+    Points are dealt into blocks of about ``BLOCK_ROWS``; a task holds the pairs of two blocks.  The result is quadratic, so this is
+    for bounded sets (samples, cells); :func:`neighbours` links tables of any size.
+    """
+    blocks = max(1, -(-points.count() // BLOCK_ROWS))
+    dealt = points.select(F.col(id_col).alias("i"), F.struct(*points.columns).alias("a"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select(
+        "i", "a", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    right = sent.select(F.col("i").alias("j"), F.col("a").alias("b"), F.col("block").alias("_block"), "lo", "hi")
+    apart = (F.col("lo") == F.col("hi")) | (F.col("block") != F.col("_block"))
+    return sent.join(right.hint("shuffle_hash"), ["lo", "hi"]).where((F.col("i") < F.col("j")) & apart).select("i", "j", "a", "b")
+
+
 def pairwise(points: DataFrame) -> DataFrame:
     """``(i, j, euclidean, manhattan)`` for i < j over a bounded point set ``(id, vec)``."""
-    m = points.count()
-    if m > SAMPLE_CAP:
-        raise ValueError(f"pairwise distances need a bounded sample: {m} > {SAMPLE_CAP} points")
-    a = points.select(F.col("id").alias("i"), F.col("vec").alias("vi"))
-    b = points.select(F.col("id").alias("j"), F.col("vec").alias("vj"))
-    # the right side is the bounded sample (size checked above)
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select(
-        "i", "j", euclidean("vi", "vj").alias("euclidean"), manhattan("vi", "vj").alias("manhattan")
-    )
+    return blocked_pairs(points.select("id", "vec")).select(
+        "i", "j", euclidean("a.vec", "b.vec").alias("euclidean"), manhattan("a.vec", "b.vec").alias("manhattan"))
+
+
+def neighbours(points: DataFrame, radius: float, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """``(i, j, euclidean)``: all pairs i < j of distinct points within ``radius``, from grid buckets.
+
+    ``points``: (id, vec).  Equal points are one, under their smallest id (join on vec for the members), so a point repeated often makes
+    no pairs with itself.  Buckets of width ``radius`` span up to three coordinates (``axes``); a point meets those of its own
+    and the adjacent buckets, whatever the other coordinates.  Null vectors have no neighbours.  Hot buckets are split by
+    adaptive skew joins.
+    """
+    distinct = points.where(F.col("vec").isNotNull()).groupBy("vec").agg(F.min("id").alias("i"))
+    at = [F.floor(F.get("vec", F.lit(k)) / radius) for k in axes]
+    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
+    home = distinct.select(F.col("i").alias("j"), F.col("vec").alias("w"), *(c.alias(f"_{k}") for k, c in enumerate(at)))
+    asked = distinct.select("i", "vec", *(c.alias(f"_{k}") for k, c in enumerate(at)))
+    for k in range(len(axes)):
+        asked = asked.withColumn("_step", F.explode(steps)).withColumn(f"_{k}", F.col(f"_{k}") + F.col("_step")).drop("_step")
+    pairs = asked.join(home, [f"_{k}" for k in range(len(axes))]).where("i < j")
+    return pairs.select("i", "j", euclidean("vec", "w").alias("euclidean")).where(F.col("euclidean") <= radius)
+
+
+def as_cells(points: DataFrame) -> DataFrame:
+    """Points ``(id, vec)`` as cells of one point each; a table of cells ``(id, n, mean, ss, low, high)`` stays."""
+    if "n" in points.columns:
+        return points
+    return points.select("id", F.lit(1).cast("long").alias("n"), F.col("vec").alias("mean"), F.transform("vec", lambda x: F.lit(0.0)).alias("ss"),
+                         F.col("vec").alias("low"), F.col("vec").alias("high"))
+
+
+def cell_pairs(cells: DataFrame) -> DataFrame:
+    """``(i, j, na, nb, sq, euclidean, manhattan, far_euclidean, far_manhattan)`` of all cells i < j.
+
+    ``sq``: mean squared distance between the points of the two; euclidean is its root, manhattan the sum of the roots by coordinate;
+    far_*: the greatest distance their bounding boxes allow.  All are the point distances where both hold one distinct point.
+    """
+    square = F.transform(
+        F.arrays_zip(F.col("a.mean").alias("x"), F.col("b.mean").alias("y"), F.col("a.ss").alias("s"), F.col("b.ss").alias("t")),
+        lambda z: (z["x"] - z["y"]) * (z["x"] - z["y"]) + z["s"] / F.col("na") + z["t"] / F.col("nb"))
+    gap = F.transform(
+        F.arrays_zip(F.col("a.low").alias("p"), F.col("a.high").alias("q"), F.col("b.low").alias("r"), F.col("b.high").alias("s")),
+        lambda z: F.greatest(z["q"] - z["r"], z["s"] - z["p"]))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    pairs = blocked_pairs(cells).withColumn("na", F.col("a.n")).withColumn("nb", F.col("b.n"))
+    parts = pairs.select("i", "j", "na", "nb", square.alias("_sq"), gap.alias("_gap"))
+    return parts.select(
+        "i", "j", "na", "nb", total("_sq").alias("sq"), F.sqrt(total("_sq")).alias("euclidean"),
+        total(F.transform("_sq", F.sqrt)).alias("manhattan"),
+        F.sqrt(total(F.transform("_gap", lambda x: x * x))).alias("far_euclidean"), total("_gap").alias("far_manhattan"))
 
 
 @dataclass
 class Linkage:
     combos: list[tuple[str, str]]
-    ids: list  # point ids in position order (leaf numbering of the linkage matrix)
+    ids: list  # cell ids in position order (leaf numbering of the linkage matrix)
+    weights: dict  # cell id -> number of points
     merges: dict[int, list[tuple]]  # combo -> [(step, left, right, height, size, rep_a, rep_b)]
 
 
@@ -118,36 +174,40 @@ def _nearest_mutual(cand: DataFrame, edges: DataFrame) -> DataFrame:
     return mutual.join(edges.select("combo", F.col("i").alias("a"), F.col("j").alias("b"), "s"), ["combo", "a", "b"])
 
 
-def agglomerate(points: DataFrame, combos: Sequence[tuple[str, str]], cut_every: int = 2,
-                pairs: DataFrame | None = None) -> Linkage:
-    """Linkage for every (method, metric) combo over the bounded points ``(id, vec)``
-    (``pairs``: their precomputed :func:`pairwise` table, if available)."""
-    spark = points.sparkSession
+def agglomerate(cells: DataFrame, combos: Sequence[tuple[str, str]], cut_every: int = 2) -> Linkage:
+    """Linkage for every (method, metric) combo over the cells ``(id, n, mean, ss, low, high)`` or the points ``(id, vec)``.
+
+    The cost grows with the square of their number, which ``feature_cells`` bounds for a table of any size.
+    """
+    spark = cells.sparkSession
     combos = list(combos)
-    m = points.count()
-    if m > SAMPLE_CAP:
-        raise ValueError(f"linkage needs a bounded sample: {m} > {SAMPLE_CAP} points")
+    cells = _cut(as_cells(cells), "linkage-cells")
+    m = cells.count()
     # the working set is bounded by m²·combos rows: size the shuffles for it
     prev = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", str(max(2, min(400, m * m * len(combos) // 2_000_000 + 2))))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return _agglomerate(points, combos, cut_every, pairs)
+        return _agglomerate(cells, combos, cut_every)
     finally:
         for k, v in prev.items():
             spark.conf.set(k, v)
 
 
-def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2, pairs: DataFrame | None = None) -> Linkage:
-    spark = points.sparkSession
-    pairs = (pairs if pairs is not None else pairwise(points)).withColumn("sq", F.col("euclidean") * F.col("euclidean"))
-    ids = sorted(r["id"] for r in points.select("id").collect())
+def _agglomerate(cells: DataFrame, combos: list, cut_every: int = 2) -> Linkage:
+    spark = cells.sparkSession
+    pairs = _cut(cell_pairs(cells), "pairs")
+    each = {r["id"]: (r["n"], r["sse"]) for r in cells.select(
+        "id", "n", F.aggregate("ss", F.lit(0.0), lambda acc, x: acc + x).alias("sse")).collect()}
+    ids = sorted(each)
+    count = F.col("na") * F.col("nb")
     parts = []
     for k, (method, metric) in enumerate(combos):
         if method == "ward" and metric != "euclidean":
             raise ValueError("ward linkage requires euclidean distance")
         d = F.col("sq") if method == "ward" else F.col(metric)
-        parts.append(pairs.select(F.lit(k).alias("combo"), "i", "j", d.alias("s"), d.alias("mx"), F.lit(1).cast("bigint").alias("c")))
+        far = F.col("sq") if method == "ward" else F.col(f"far_{metric}")
+        parts.append(pairs.select(F.lit(k).alias("combo"), "i", "j", (d * count).alias("s"), far.alias("mx"), count.cast("bigint").alias("c")))
     e0 = parts[0]
     for p in parts[1:]:
         e0 = e0.unionByName(p)
@@ -156,8 +216,8 @@ def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2, pairs: Dat
     ward = [k for k, m in kind.items() if m == "ward"]
     # driver-side cluster statistics (≤ m per combo): size and, for ward, the
     # within-cluster sum of squared pair distances
-    size = {(k, v): 1 for k in kind for v in ids}
-    within = {(k, v): 0.0 for k in ward for v in ids}
+    size = {(k, v): each[v][0] for k in kind for v in ids}
+    within = {(k, v): each[v][0] * each[v][1] for k in ward for v in ids}
     is_avg = F.create_map(*[x for k, m in kind.items() for x in (F.lit(k), F.lit(m == "average"))])
 
     found: list[tuple] = []
@@ -214,7 +274,7 @@ def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2, pairs: Dat
     for k in range(len(combos)):
         rows = sorted((x for x in found if x[0] == k), key=lambda x: (x[3], x[4], x[1], x[2]))
         label = {v: pos[v] for v in ids}
-        sz = {v: 1 for v in ids}
+        sz = {v: each[v][0] for v in ids}
         steps = []
         for step, (_, a, b, d, _r) in enumerate(rows):
             la, lb = label[a], label[b]
@@ -222,7 +282,7 @@ def _agglomerate(points: DataFrame, combos: list, cut_every: int = 2, pairs: Dat
             label[a] = m + step
             steps.append((step, min(la, lb), max(la, lb), float(d), sz[a], a, b))
         out[k] = steps
-    return Linkage(combos, ids, out)
+    return Linkage(combos, ids, {v: each[v][0] for v in ids}, out)
 
 
 def linkage_frame(spark: SparkSession, lk: Linkage) -> DataFrame:
@@ -231,8 +291,8 @@ def linkage_frame(spark: SparkSession, lk: Linkage) -> DataFrame:
 
 
 def cut_labels(lk: Linkage, k_clusters: int) -> dict[int, dict]:
-    """Per combo: {point id: label} after the first m − k merges; labels
-    renumbered by (size desc, smallest member id)."""
+    """Per combo: {cell id: label} after the first m − k merges; labels
+    renumbered by (points desc, smallest member id)."""
     m = len(lk.ids)
     out = {}
     for k, steps in lk.merges.items():
@@ -251,16 +311,15 @@ def cut_labels(lk: Linkage, k_clusters: int) -> dict[int, dict]:
         groups: dict = {}
         for v in lk.ids:
             groups.setdefault(find(v), []).append(v)
-        ordered = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+        ordered = sorted(groups.values(), key=lambda g: (-sum(lk.weights[v] for v in g), min(g)))
         out[k] = {v: lab for lab, g in enumerate(ordered) for v in g}
     return out
 
 
-def labels_frame(spark: SparkSession, lk: Linkage, labels: dict[int, dict], id_type: T.DataType) -> DataFrame:
-    rows = [(lk.combos[k][0], lk.combos[k][1], v, lab) for k, lab_map in labels.items() for v, lab in lab_map.items()]
-    schema = T.StructType([T.StructField("method", T.StringType()), T.StructField("metric", T.StringType()),
-                           T.StructField("id", id_type), T.StructField("cluster", T.IntegerType())])
-    return spark.createDataFrame(rows, schema)
+def label_rows(lk: Linkage, labels: dict[int, dict]) -> pd.DataFrame:
+    """``(method, metric, cell, cluster)``: one row per labelling and cell (bounded by the cells)."""
+    rows = [(*lk.combos[k], v, lab) for k, mine in labels.items() for v, lab in mine.items()]
+    return pd.DataFrame(rows, columns=["method", "metric", "cell", "cluster"])
 
 
 def silhouette(pairs: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -294,18 +353,18 @@ def profile_groups(df: DataFrame, group: str, target: str, means: Sequence[str])
     )
 
 
-def size_summary(labels: DataFrame, keys: Sequence[str], sample_size: int, chaining_share: float = 0.8) -> DataFrame:
-    """Cluster sizes, balance ratios and the chaining flag per labelling."""
+def size_summary(labels: DataFrame, keys: Sequence[str], chaining_share: float = 0.8) -> DataFrame:
+    """Cluster sizes, balance ratios and the chaining flag per labelling of weighted cells ``(keys..., cluster, n)``."""
     keys = list(keys)
-    sizes = labels.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"))
+    sizes = labels.groupBy(*keys, "cluster").agg(F.sum("n").alias("size"))
     return sizes.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("cluster", "size"))).alias("sizes"),
-        F.min("size").alias("min_size"), F.max("size").alias("max_size"),
+        F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.sum("size").alias("total"),
     ).select(
         *keys, F.transform("sizes", lambda s: s["size"]).alias("sizes"), "min_size", "max_size",
         F.bround(F.col("min_size") / F.col("max_size"), 3).alias("min_over_max"),
         (F.col("max_size") / F.col("min_size")).alias("max_over_min"),
-        (F.col("max_size") > F.lit(sample_size * chaining_share)).alias("chaining"),
+        (F.col("max_size") > F.col("total") * chaining_share).alias("chaining"),
     )
 
 

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import band, below_band, ratio_feature
-from cohortlab.operators import linear, moments, profile, rates, segments, tree
+from cohortlab.operators import cells, linear, moments, profile, rates, segments, tree
 from cohortlab.operators.joins import in_set, left_lookup, mark_membership
 from cohortlab.plans import oracle as O
 from cohortlab.plans.pipeline import pipeline
 from cohortlab.roles import (
     ALPHA_GRID,
+    BALANCE_BANDS,
     BAND_CLUSTER_RATE,
     BAND_IMPORTANCE,
     BAND_SEGMENT_RATE,
@@ -33,12 +34,15 @@ from cohortlab.roles import (
     GAP_BANDS,
     L1_RATIO_GRID,
     LASSO_PATH_ALPHAS,
+    NEIGHBOUR_RADIUS,
     NUM_CLUSTERS,
     P_SIGNIFICANT,
     PRUNED_DEPTH,
     SAMPLE_SIZE,
     SEGMENT_INTERVENTIONS,
     SEGMENT_NAMES,
+    SILHOUETTE_CELLS,
+    SILHOUETTE_GOOD,
     SPLIT_SEED,
     TOP_N,
 )
@@ -407,20 +411,19 @@ def q_pairwise(spark, sf):
     return p.pairs.select("i", "j", F.round("euclidean", 6).alias("euclidean"), F.round("manhattan", 6).alias("manhattan"))
 
 
-def _embedding_sample(spark, sf):
-    from cohortlab.operators import sampling
-
-    x = embedding_view(spark, sf)
-    s = sampling.stratified_sample(x, "vec_id", "label", SAMPLE_SIZE, SPLIT_SEED)
-    return s.where(F.col("in_sample")).drop("in_sample")
+def q_neighbours(spark, sf):
+    """All pairs of distinct clean rows within the radius in the space of z-scored features."""
+    near = segments.neighbours(pipeline(spark, sf).standardized.select(F.col(R.id).alias("id"), "vec"), NEIGHBOUR_RADIUS)
+    return near.select("i", "j", F.round("euclidean", 6).alias("euclidean"))
 
 
 def q_silhouette(spark, sf):
-    """Silhouette of the given labels over a stratified embedding sample."""
-    s = _embedding_sample(spark, sf)
-    pts = s.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    sil = segments.silhouette(segments.pairwise(pts), s.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")))
-    return sil.select(F.round("silhouette", 6).alias("silhouette"), F.col("n").cast("bigint").alias("n"))
+    """Silhouette of the given labels over all embeddings, with its error bound (0 while each cell holds one point)."""
+    x = embedding_view(spark, sf)
+    found = cells.feature_cells(x.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"), SILHOUETTE_CELLS, by=["label"])
+    cluster = found.rows.groupBy("cell").agg(F.first("label").alias("cluster")).toPandas()
+    sil = cells.silhouettes(found, cluster)
+    return sil.select(F.round("silhouette", 6).alias("silhouette"), F.round("error_bound", 6).alias("error_bound"), "n")
 
 
 def q_linkage(spark, sf):
@@ -440,18 +443,16 @@ def q_last_merges(spark, sf):
     return lk.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 30)
 
 
-def _silhouettes(p):
-    return segments.silhouette(p.pairs, p.labels, keys=["method", "metric"])
-
-
 def q_cluster_compare(spark, sf):
     p = pipeline(spark, sf)
-    sizes = segments.size_summary(p.labels, ["method", "metric"], p.sample.count(), CHAINING_SHARE)
-    sil = _silhouettes(p).select("method", "metric", F.round("silhouette", 6).alias("silhouette"))
-    out = sizes.join(sil, ["method", "metric"])
+    weight = p.cell_labels.merge(p.cells.table[["cell", "n"]], on="cell")
+    sizes = segments.size_summary(spark.createDataFrame(weight), ["method", "metric"], CHAINING_SHARE)
+    sil = cells.silhouettes(p.cells, p.cell_labels, ["method", "metric"])
+    out = sizes.join(sil.select("method", "metric", *(F.round(c, 6).alias(c) for c in ("silhouette", "error_bound"))), ["method", "metric"])
     best = out.agg(F.max_by(F.struct("method", "metric"), "silhouette").alias("b")).collect()[0]["b"]
     return out.withColumn("recommended", (F.col("method") == best["method"]) & (F.col("metric") == best["metric"])).withColumn(
-        "balance_band", below_band("max_over_min", [(2.0, "balanced"), (4.0, "moderate")], "unbalanced")).withColumn(
+        "balance_band", below_band("max_over_min", BALANCE_BANDS, "unbalanced")).withColumn(
+        "silhouette_band", F.when(F.col("silhouette") >= SILHOUETTE_GOOD, "good").otherwise("weak")).withColumn(
         "suitability", F.when(F.col("chaining"), "not suitable, chaining detected").otherwise("suitable"))
 
 
@@ -628,7 +629,7 @@ QUERIES = {
     "q_stump": q_stump, "q_tree_struct": q_tree_struct, "q_tree_nodes": q_tree_nodes, "q_depth_curve": q_depth_curve,
     "q_depth_zones": q_depth_zones, "q_paths": q_paths, "q_importance": q_importance, "q_probability": q_probability,
     "q_tree_confusion": q_tree_confusion, "q_tree_report": q_tree_report, "q_fe_tree": q_fe_tree,
-    "q_pairwise": q_pairwise, "q_silhouette": q_silhouette, "q_linkage": q_linkage, "q_cut": q_cut,
+    "q_pairwise": q_pairwise, "q_silhouette": q_silhouette, "q_neighbours": q_neighbours, "q_linkage": q_linkage, "q_cut": q_cut,
     "q_last_merges": q_last_merges, "q_cluster_compare": q_cluster_compare, "q_profile": q_profile, "q_segments": q_segments,
     "q_cluster_box": q_cluster_box, "q_cluster_attrition": q_cluster_attrition,
     "q_master": q_master, "q_high_risk": q_high_risk, "q_high_risk_summary": q_high_risk_summary,
@@ -739,17 +740,28 @@ def _pairwise_sql() -> str:
 def _silhouette_sql() -> str:
     return (
         "WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings), "
-        f"{O.stratified_sample_sql('x', 'vec_id', 'label', SAMPLE_SIZE, SPLIT_SEED)}, "
         "d AS (SELECT a.vec_id AS p, a.label AS cp, b.label AS cq, "
         "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist "
-        "FROM smp a JOIN smp b ON a.vec_id <> b.vec_id), "
+        "FROM x a JOIN x b ON a.vec_id <> b.vec_id), "
         "per AS (SELECT p, cp, cq, avg(dist) AS md FROM d GROUP BY p, cp, cq), "
         "ab AS (SELECT p, max(CASE WHEN cp = cq THEN md END) AS a, min(CASE WHEN cp <> cq THEN md END) AS b FROM per GROUP BY p) "
         "SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, "
-        "count(*) AS n FROM ab"
+        "CAST(0 AS DOUBLE) AS error_bound, count(*) AS n FROM ab"
     )
 
 
+def _neighbours_sql() -> str:
+    feats = list(ENTITY_CLUSTER_FEATURES)
+    stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in feats)
+    z = ", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in feats)
+    names = ", ".join(f"z_{c}" for c in feats)
+    square = " + ".join(f"(a.z_{c} - b.z_{c}) * (a.z_{c} - b.z_{c})" for c in feats)
+    return (f"WITH {O.CLEAN_CTE}, zs AS (SELECT {stats} FROM clean), z AS (SELECT id, {z} FROM clean, zs), "
+            f"pts AS (SELECT min(id) AS id, {names} FROM z GROUP BY {names}) "
+            f"SELECT a.id AS i, b.id AS j, round(sqrt({square}), 6) AS euclidean FROM pts a JOIN pts b ON a.id < b.id "
+            f"AND abs(a.z_{feats[0]} - b.z_{feats[0]}) <= {NEIGHBOUR_RADIUS!r} AND sqrt({square}) <= {NEIGHBOUR_RADIUS!r}")
+
+
 def _rule_cohorts_sql() -> str:
     return (
         f"WITH {O.CLEAN_CTE}, "
@@ -777,4 +789,5 @@ def oracle_sql() -> dict[str, str]:
         "q_stump": _stump_sql(),
         "q_pairwise": _pairwise_sql(),
         "q_silhouette": _silhouette_sql(),
+        "q_neighbours": _neighbours_sql(),
     }

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.operators import encode, linear, moments, quality, sampling, segments, tree
+from cohortlab.operators import cells, encode, linear, moments, quality, sampling, segments, tree
 from cohortlab.roles import (
     ALPHA_GRID,
     CV_FOLDS,
@@ -22,6 +23,7 @@ from cohortlab.roles import (
     L1_RATIO_GRID,
     DISTANCE_METRICS,
     LINKAGE_METHODS,
+    NUM_CELLS,
     NUM_CLUSTERS,
     SAMPLE_SIZE,
     SPLIT_SEED,
@@ -202,51 +204,57 @@ class Pipeline:
         """Pairwise distances of the sample (bounded: sample size² / 2 rows), written once."""
         return materialize(segments.pairwise(self.points), "pairs")
 
+    @cached_property
+    def standardized(self) -> DataFrame:
+        """All clean rows with z-scored features and their vector."""
+        z = moments.zscore_apply(self.clean, self.scaler, suffix="_z")
+        return z.withColumn("vec", F.array(*(F.col(c + "_z") for c in ENTITY_CLUSTER_FEATURES)))
+
+    @cached_property
+    def cells(self) -> cells.Cells:
+        """The weighted cells of all clean rows; the rows with their cell are written once."""
+        found = cells.feature_cells(self.standardized, NUM_CELLS)
+        found.rows = materialize(found.rows, "cell-rows")
+        return found
+
+    def _link(self, combos) -> segments.Linkage:
+        return segments.agglomerate(self.cells.frame().withColumnRenamed("cell", "id"), combos)
+
     @cached_property
     def linkage(self) -> segments.Linkage:
         """All valid (linkage, metric) combinations, computed in shared rounds."""
-        combos = segments.valid_combinations(LINKAGE_METHODS, DISTANCE_METRICS)
-        return segments.agglomerate(self.points, combos, pairs=self.pairs)
+        return self._link(segments.valid_combinations(LINKAGE_METHODS, DISTANCE_METRICS))
 
-    def _labels_of(self, lk: segments.Linkage) -> DataFrame:
-        lab = segments.cut_labels(lk, NUM_CLUSTERS)
-        return segments.labels_frame(self.spark, lk, lab, self.clean.schema[self.roles.id].dataType)
+    def _labels_of(self, lk: segments.Linkage) -> pd.DataFrame:
+        return segments.label_rows(lk, segments.cut_labels(lk, NUM_CLUSTERS))
 
     @cached_property
-    def labels(self) -> DataFrame:
+    def cell_labels(self) -> pd.DataFrame:
+        """(method, metric, cell, cluster) of every combination."""
         return self._labels_of(self.linkage)
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """(method, metric, id, cluster) of every clean row and combination: a join on the cell."""
+        found = F.broadcast(self.spark.createDataFrame(self.cell_labels))  # combinations × cells, bounded
+        return self.cells.rows.join(found, "cell").select("method", "metric", F.col(self.roles.id).alias("id"), F.col("cluster").cast("int").alias("cluster"))
+
     @cached_property
     def _single(self) -> dict:
         return {}
 
-    def labels_for(self, method: str, metric: str = "euclidean") -> DataFrame:
-        """One labelling; computes only that combination unless all are already known."""
+    def labels_for(self, method: str, metric: str = "euclidean") -> pd.DataFrame:
+        """One labelling of the cells; computes only that combination unless all are already known."""
         if "linkage" in self.__dict__:
-            lab = self.labels
+            lab = self.cell_labels
         else:
             key = (method, metric)
             if key not in self._single:
-                self._single[key] = self._labels_of(segments.agglomerate(self.points, [key], pairs=self.pairs))
+                self._single[key] = self._labels_of(self._link([key]))
             lab = self._single[key]
-        return lab.where((F.col("method") == method) & (F.col("metric") == metric)).select("id", "cluster")
+        return lab[(lab["method"] == method) & (lab["metric"] == metric)][["cell", "cluster"]]
 
     def segmented(self, method: str, metric: str = "euclidean") -> DataFrame:
-        """Every clean row with its cluster.
-
-        The linkage is fitted on the bounded sample (SAMPLE_SIZE); all rows of the table are then
-        assigned to the cluster with the nearest centroid of z-scored features (ties: the smaller
-        cluster number) in one projection: the centroids are NUM_CLUSTERS rows.
-        """
-        z = [c + "_z" for c in ENTITY_CLUSTER_FEATURES]
-        lab = self.labels_for(method, metric)
-        members = self.sample.join(lab, self.sample[self.roles.id] == lab["id"]).drop(lab["id"])
-        centers = members.groupBy("cluster").agg(*(F.avg(c).alias(c) for c in z)).collect()
-        rows = moments.zscore_apply(self.clean, self.scaler, suffix="_z")
-
-        def far(center):
-            terms = [F.pow(F.col(c) - F.lit(center[c]), F.lit(2.0)) for c in z]
-            return sum(terms[1:], terms[0])
-
-        nearest = F.array_min(F.array(*(F.struct(far(r).alias("far"), F.lit(r["cluster"]).alias("cluster")) for r in centers)))
-        return rows.withColumn("cluster", nearest["cluster"])
+        """Every clean row (columns, z-scored features) with the cluster of its cell."""
+        found = self.spark.createDataFrame(self.labels_for(method, metric), "cell int, cluster int")
+        return self.cells.rows.join(F.broadcast(found), "cell").drop("cell", "vec")
