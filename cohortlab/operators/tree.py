@@ -1,234 +1,275 @@
-"""Decision tree on a 0/1 label, its structure, depth curve and paths.
-
-The tree is Spark ML's ``DecisionTreeRegressor`` with variance impurity on
-the 0/1 label: for a binary label Gini = 2·variance, so the chosen splits are
-the Gini splits, the node prediction *is* P(class 1), and sibling leaves with
-the same majority class are kept (the classifier would merge them).
-
-Depth curve: greedy trees are nested by depth, so the prediction of a
-depth-``d`` tree for a row equals the prediction of the row's depth-``d``
-ancestor in the deep tree.  One deep fit + one ``groupBy(split, leaf,
-label).count()`` (a table of ``leaves × 4`` rows) yields accuracy at every
-depth — instead of ``D`` refits.  Paths for every row are a join of the row's
-leaf index with the (small, size-known) leaf→path table.
+"""Exact decision tree on a 0/1 label as a relation: its growth, depth curve, paths and scoring.
+
+Splits are exact: every midpoint between neighbouring distinct values of every feature is a candidate, on any table size.
+A node's best split maximises sl²/nl + sr²/nr (s: rows of class 1, n: rows), which is the greatest decrease of the Gini
+impurity; ties go to the first feature, then to the smallest threshold.  A node is split until it is pure or all its features are
+constant (or ``max_depth`` is reached).
+
+Growth has two phases with one result.  Nodes of more than ``local_rows`` training rows are split level by level in Spark: counts
+for each (node, feature, value), range-partitioned by that key, prefix sums within partitions plus the totals of the
+partitions before.  Smaller nodes are grown to their leaves in one task each, so a group is bounded by ``local_rows``.
+
+Nodes are named by their path from the root: one character a level, 0 (left, value <= threshold) or 1.  So a node's
+depth is its length and its ancestors are its prefixes; the node table is a DataFrame, and neither nodes nor leaves go to the driver.
+Rows are scored by joins with blocks of ``BLOCK`` levels of the tree, each a row of arrays that the row walks through.
+
+Null and NaN features count as +infinity: they go right of every threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlab.session import scratch_path
 
-MAX_SPARK_DEPTH = 30
+LOCAL_ROWS = 50_000
+BLOCK = 6
+CHAIN = 4
+NODES = "node string, n long, s long, feature int, threshold double, decrease double"
 
 
 @dataclass
-class Node:
-    id: int
+class TreeFit:
+    """``nodes``: (node, n, s, feature, threshold, decrease, depth, is_leaf, p); ``blocks``: the same for scoring."""
+
+    nodes: DataFrame
+    blocks: DataFrame
+    features: list[str]
     depth: int
-    prediction: float
-    count: int
-    gain: float
-    feature: int  # -1 for leaves
-    threshold: float | None
-    left: int
-    right: int
-    leaf_index: int = -1
-    ancestors: list[int] = field(default_factory=list)  # root..self
 
 
-@dataclass
-class TreeFit:
-    model: DecisionTreeRegressionModel
-    features: list[str]
-    nodes: dict[int, Node]
-
-    @property
-    def depth(self) -> int:
-        return max(n.depth for n in self.nodes.values())
-
-    @property
-    def leaves(self) -> list[Node]:
-        return sorted((n for n in self.nodes.values() if n.feature < 0), key=lambda n: n.leaf_index)
-
-    def at_depth(self, leaf: Node, d: int) -> Node:
-        """The leaf's ancestor at depth ``d`` (the leaf itself if shallower)."""
-        return self.nodes[leaf.ancestors[min(d, leaf.depth)]]
-
-
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
-
-
-def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int = MAX_SPARK_DEPTH,
-             max_bins: int = 256, seed: int = 42) -> TreeFit:
-    """Fit on ``df`` (already restricted to training rows)."""
-    data = assemble(df.select(*features, F.col(label).cast("double").alias("_label")), features)
-    est = DecisionTreeRegressor(
-        featuresCol="features", labelCol="_label", maxDepth=min(max_depth, MAX_SPARK_DEPTH), maxBins=max_bins,
-        minInstancesPerNode=1, minInfoGain=0.0, impurity="variance", seed=seed, leafCol="leaf",
-        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024,
-    )
-    model = est.fit(data)
-    return TreeFit(model, list(features), read_nodes(df.sparkSession, model))
-
-
-def read_nodes(spark: SparkSession, model: DecisionTreeRegressionModel) -> dict[int, Node]:
-    """Node table of a fitted model, read back from its saved Parquet form."""
-    path = scratch_path(spark, "tree")
-    model.write().save(path)
-    rows = spark.read.parquet(path + "/data").collect()
-    nodes = {}
-    for r in rows:
-        split = r["split"]
-        feat = split["featureIndex"] if r["leftChild"] >= 0 else -1
-        thr = split["leftCategoriesOrThreshold"][0] if feat >= 0 and split["leftCategoriesOrThreshold"] else None
-        nodes[r["id"]] = Node(r["id"], 0, r["prediction"], r["rawCount"], r["gain"], feat, thr, r["leftChild"], r["rightChild"])
-    # depths, ancestors and left-to-right leaf numbering (matches leafCol)
-    root = min(nodes)
-    stack = [(root, 0, [root])]
-    order = []
-    while stack:
-        nid, d, anc = stack.pop()
-        n = nodes[nid]
-        n.depth, n.ancestors = d, anc
-        if n.feature < 0:
-            order.append(nid)
-        else:
-            stack.append((n.right, d + 1, anc + [n.right]))
-            stack.append((n.left, d + 1, anc + [n.left]))
-    for i, nid in enumerate(order):
-        nodes[nid].leaf_index = i
-    return nodes
+def _cut(df: DataFrame, kind: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _vector(features: Sequence[str]) -> Column:
+    def value(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(x.isNull() | F.isnan(x), F.lit(float("inf"))).otherwise(x)
+
+    return F.array(*map(value, features))
+
+
+def best_splits(rows: DataFrame) -> DataFrame:
+    """``(node, feature, threshold, nl, sl, n, s, gain)``: the best split of each node of ``rows`` (node, y, x) that has one."""
+    key = ["node", "f"]
+    counts = rows.select("node", "y", F.posexplode("x").alias("f", "v")).groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    ranged = _cut(counts.repartitionByRange(*key, "v").withColumn("part", F.spark_partition_id()), "tree-values")
+    by_part = Window.partitionBy(*key).orderBy("part")
+    before, all_ = by_part.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
+    parts = ranged.groupBy(*key, "part").agg(F.sum("n").alias("pn"), F.sum("s").alias("ps"), F.min("v").alias("first")).select(
+        *key, "part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("ps").over(before), F.lit(0)).alias("bs"),
+        F.lead("first").over(by_part).alias("then"), F.sum("pn").over(all_).alias("tn"), F.sum("ps").over(all_).alias("ts"))
+    within = Window.partitionBy(*key, "part").orderBy("v")
+    up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+    cuts = ranged.join(parts, [*key, "part"]).select(
+        *key, "v", F.coalesce(F.lead("v").over(within), "then").alias("next"), "tn", "ts",
+        (F.col("bn") + F.sum("n").over(up_to)).alias("nl"), (F.col("bs") + F.sum("s").over(up_to)).alias("sl")).where("next IS NOT NULL")
+    sl, sr = F.col("sl").cast("double"), (F.col("ts") - F.col("sl")).cast("double")
+    middle = (F.col("v") + F.col("next")) / 2
+    scored = cuts.withColumn("gain", sl * sl / F.col("nl") + sr * sr / (F.col("tn") - F.col("nl"))).withColumn(
+        "threshold", F.when(middle < F.col("next"), middle).otherwise(F.col("v")))
+    found = F.struct(F.col("f").alias("feature"), "threshold", "nl", "sl", F.col("tn").alias("n"), F.col("ts").alias("s"), "gain")
+    return scored.groupBy("node").agg(F.max_by(found, F.struct("gain", -F.col("f"), -F.col("v"))).alias("b")).select("node", "b.*")
+
+
+def _decrease(gain: Column, s: Column, n: Column) -> Column:
+    return gain - s.cast("double") * s / n
+
+
+def _grow_locally(rows: DataFrame, max_depth: int | None) -> DataFrame:
+    """All nodes below (and with) the nodes of ``rows``, each grown in one task."""
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        X, y = np.stack(pdf["x"].to_list()), pdf["y"].to_numpy(np.int64)
+        out, todo = [], [(pdf["node"].iloc[0], np.arange(len(y)))]
+        while todo:
+            node, rows = todo.pop()
+            n, s = len(rows), int(y[rows].sum())
+            leaf = (node, n, s, None, None, None)
+            if s in (0, n) or (max_depth is not None and len(node) >= max_depth):
+                out.append(leaf)
+                continue
+            part = X[rows]
+            order = np.argsort(part, axis=0, kind="stable")
+            values = np.take_along_axis(part, order, axis=0)
+            sl = np.cumsum(y[rows][order], axis=0)[:-1].astype(float)
+            nl = np.arange(1.0, n)[:, None]
+            gain = np.where(values[1:] > values[:-1], sl * sl / nl + (s - sl) * (s - sl) / (n - nl), -np.inf)
+            f, k = divmod(int(gain.T.argmax()), n - 1)
+            if gain[k, f] == -np.inf:
+                out.append(leaf)
+                continue
+            v, following = float(values[k, f]), float(values[k + 1, f])
+            middle = (v + following) / 2
+            threshold = middle if middle < following else v
+            out.append((node, n, s, f, threshold, float(gain[k, f]) - float(s) * s / n))
+            left = part[:, f] <= threshold
+            todo += [(node + "1", rows[~left]), (node + "0", rows[left])]
+        return pd.DataFrame(out, columns=["node", "n", "s", "feature", "threshold", "decrease"]).astype({"feature": "Int32"})
+
+    return rows.groupBy("node").applyInPandas(grow, NODES)
+
+
+def _moved(node: Column, x: Column, feature: Column, threshold: Column) -> Column:
+    return F.concat(node, F.when(F.get(x, feature) <= threshold, "0").otherwise("1"))
+
+
+def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int | None = None, local_rows: int = LOCAL_ROWS) -> TreeFit:
+    """Fit on ``df`` (already restricted to training rows); rows without a label don't count.  No rows give no nodes."""
+    spark = df.sparkSession
+    rows = df.select(_vector(features).alias("x"), F.col(label).cast("long").alias("y"), F.lit("").alias("node")).where("y IS NOT NULL")
+    level = _cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")), "tree-level")
+    grown: list[DataFrame] = []
+    depth = 0
+    local: list[DataFrame] = []
+    while True:
+        open_ = (F.col("s") > 0) & (F.col("s") < F.col("n")) & F.lit(max_depth is None or depth < max_depth)
+        large = open_ & (F.col("n") > local_rows)
+        grown.append(level.where(~open_).select("node", "n", "s", F.lit(None).cast("int").alias("feature"),
+                                                F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("decrease")))
+        local.append(level.where(open_ & ~large).select("node"))
+        if level.where(large).isEmpty():
+            break
+        splits = _cut(best_splits(rows.join(level.where(large).select("node"), "node", "left_semi")), "tree-splits")
+        grown.append(level.where(large).select("node", "n", "s").join(
+            splits.select("node", "feature", "threshold", _decrease(F.col("gain"), F.col("s"), F.col("n")).alias("decrease")), "node", "left"))
+        cut = splits.select("node", "feature", "threshold")
+        rows = rows.join(cut, "node", "left").withColumn(
+            "node", F.when(F.col("feature").isNull(), F.col("node")).otherwise(_moved(F.col("node"), F.col("x"), F.col("feature"), F.col("threshold")))).drop("feature", "threshold")
+        children = F.array(F.struct(F.concat("node", F.lit("0")).alias("node"), F.col("nl").alias("n"), F.col("sl").alias("s")),
+                           F.struct(F.concat("node", F.lit("1")).alias("node"), (F.col("n") - F.col("nl")).alias("n"), (F.col("s") - F.col("sl")).alias("s")))
+        level = _cut(splits.select(F.inline(children)), "tree-level")
+        depth += 1
+        if depth % CHAIN == 0:
+            rows = _cut(rows, "tree-rows")
+    below = local[0]
+    for part in local[1:]:
+        below = below.unionByName(part)
+    nodes = _grow_locally(rows.join(below, "node", "left_semi"), max_depth)
+    for part in grown:
+        nodes = nodes.unionByName(part)
+    nodes = _cut(nodes.withColumn("depth", F.length("node")).withColumn("is_leaf", F.col("feature").isNull()).withColumn("p", F.col("s") / F.col("n")), "tree")
+    deepest = nodes.agg(F.max("depth").alias("d")).collect()[0]["d"]
+    return TreeFit(nodes, _blocks(nodes), list(features), deepest or 0)
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """``(root, steps)``: for each node at a depth divisible by BLOCK, its subtree of BLOCK levels as a heap-ordered array
+    of (feature, threshold, p); at most 2^BLOCK - 1 entries."""
+    start = (F.floor(F.col("depth") / BLOCK) * BLOCK).cast("int")
+    at = (F.conv(F.concat(F.lit("1"), F.col("node").substr(start + 1, F.lit(BLOCK))), 2, 10).cast("int") - 1).alias("at")
+    step = F.struct("feature", "threshold", "p").alias("step")
+    parts = nodes.select(F.col("node").substr(F.lit(1), start).alias("root"), at, step)
+    found = parts.groupBy("root").agg(F.collect_list(F.struct("at", "step")).alias("list"), F.max("at").alias("top")).withColumn("map", F.map_from_entries("list"))
+    return _cut(found.select("root", F.transform(F.sequence(F.lit(0), F.col("top")), lambda i: F.try_element_at(F.col("map"), i)).alias("steps")), "tree-blocks")
 
 
 def with_leaf(fit: TreeFit, df: DataFrame) -> DataFrame:
-    """Adds ``leaf`` (int) and ``p`` (P(class 1)) via the model's own JVM transform."""
-    out = fit.model.transform(assemble(df, fit.features))
-    return out.drop("features").withColumnRenamed("prediction", "p").withColumn("leaf", F.col("leaf").cast("int"))
-
-
-def structure(fit: TreeFit, n_train: int) -> dict:
-    root = fit.nodes[min(fit.nodes)]
-    return {
-        "depth": fit.depth,
-        "leaves": len(fit.leaves),
-        "root_feature": fit.features[root.feature] if root.feature >= 0 else None,
-        "n_features": len(fit.features),
-        "n_train": int(n_train),
-        "root_count": int(root.count),
-    }
-
-
-def node_table(spark: SparkSession, fit: TreeFit) -> DataFrame:
-    rows = [
-        (n.id, n.depth, fit.features[n.feature] if n.feature >= 0 else None, n.threshold,
-         n.left if n.feature >= 0 else None, n.right if n.feature >= 0 else None, int(n.count), float(n.prediction),
-         n.feature < 0)
-        for n in sorted(fit.nodes.values(), key=lambda n: n.id)
-    ]
-    schema = "node int, depth int, feature string, threshold double, left int, right int, n bigint, p double, is_leaf boolean"
-    return spark.createDataFrame(rows, schema)
-
-
-def leaf_counts(fit: TreeFit, df: DataFrame, label: str, split_flag: str) -> list:
+    """Adds ``leaf`` (the leaf's path) and ``p`` (P(class 1)); a row walks BLOCK levels for each join.
+
+    A block table that Spark finds small is broadcast; others are joined by shuffling, with skewed blocks split.
+    """
+    rows = df.withColumns({"_x": _vector(fit.features), "leaf": F.lit(""), "p": F.lit(None).cast("double")})
+    for k in range(fit.depth // BLOCK + 1):
+        block = fit.blocks.where(F.length("root") == k * BLOCK).select(F.col("root").alias("_root"), F.col("steps").alias("_steps"))
+
+        def walk(h: Column, _: Column) -> Column:
+            step = F.get("_steps", h)
+            side = F.when(F.get("_x", step["feature"]) <= step["threshold"], 0).otherwise(1)
+            return F.when(step["feature"].isNull(), h).otherwise(2 * h + 1 + side)
+
+        rows = rows.join(block, F.col("leaf") == F.col("_root"), "left")
+        rows = rows.withColumn("_h", F.aggregate(F.sequence(F.lit(1), F.lit(BLOCK)), F.lit(0), walk))
+        rows = rows.withColumns({
+            "leaf": F.when(F.col("_root").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.bin(F.col("_h") + 1).substr(F.lit(2), F.lit(BLOCK)))),
+            "p": F.coalesce("p", F.when(F.get("_steps", "_h")["feature"].isNull(), F.get("_steps", "_h")["p"])),
+        }).drop("_root", "_steps", "_h")
+    return rows.drop("_x")
+
+
+def heap_number(node: Column) -> Column:
+    """Position of a node near the root in heap order (root 0, children of i: 2i+1 and 2i+2)."""
+    return (F.conv(F.concat(F.lit("1"), node), 2, 10).cast("int") - 1).cast("int")
+
+
+def feature_name(fit: TreeFit, index: Column) -> Column:
+    return F.get(F.array(*map(F.lit, fit.features)), index)
+
+
+def structure(fit: TreeFit) -> DataFrame:
+    """``(depth, leaves, root_feature, n_features, n_train)`` in one aggregation of the node table."""
+    root = F.col("node") == ""
+    return fit.nodes.agg(
+        F.max("depth").alias("depth"), F.count_if("is_leaf").cast("int").alias("leaves"),
+        F.max(F.when(root, feature_name(fit, F.col("feature")))).alias("root_feature"),
+        F.lit(len(fit.features)).alias("n_features"), F.max(F.when(root, F.col("n"))).alias("n_train"))
+
+
+def leaf_counts(fit: TreeFit, df: DataFrame, label: str, split_flag: str) -> DataFrame:
     """``(is_test, leaf, label, n)`` — the only pass over the rows."""
-    return (
-        with_leaf(fit, df)
-        .groupBy(F.col(split_flag).alias("is_test"), "leaf", F.col(label).cast("int").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
+    return with_leaf(fit, df).groupBy(F.col(split_flag).alias("is_test"), "leaf", F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def depth_curve(fit: TreeFit, counts: list, max_depth: int | None = None) -> list[dict]:
-    """Train / test accuracy and leaf count of the depth-d tree for d = 1..D,
-    from the leaf counts (``leaves × depths`` arithmetic on the driver).
+def depth_curve(fit: TreeFit, counts: DataFrame) -> DataFrame:
+    """``(depth, train_accuracy, test_accuracy, leaves)`` of the depth-d tree for d = 1..D.
 
-    Class rule: P(class 1) > 0.5 → 1 (an exact 0.5 tie goes to class 0).
+    Greedy trees are nested: the depth-d tree is the deep one cut at depth d.  Leaf counts go to all ancestors (the prefixes),
+    each node counts its rows of its own class, and a depth sums its nodes and the leaves above it; only these sums, a few for each
+    depth, are collected.  Class rule: P(class 1) > 0.5 → 1 (an exact 0.5 tie goes to class 0).
     """
-    leaves = fit.leaves
-    d_max = max_depth or fit.depth
-    pos = {n.leaf_index: i for i, n in enumerate(leaves)}
-    pred = np.empty((len(leaves), d_max + 1))
-    for i, leaf in enumerate(leaves):
-        anc = [fit.nodes[a].prediction for a in leaf.ancestors[: d_max + 1]]
-        pred[i, : len(anc)] = anc
-        pred[i, len(anc):] = anc[-1]
-    cls = (pred > 0.5).astype(np.int64)
-    li = np.array([pos[r["leaf"]] for r in counts], dtype=np.int64)
-    lab = np.array([r["label"] for r in counts], dtype=np.int64)
-    n = np.array([r["n"] for r in counts], dtype=np.float64)
-    test = np.array([bool(r["is_test"]) for r in counts])
-    ok = (cls[li, :] == lab[:, None]) * n[:, None]
-    tot_tr, tot_te = n[~test].sum(), n[test].sum()
-    acc_tr = ok[~test].sum(axis=0) / tot_tr if tot_tr else np.full(d_max + 1, np.nan)
-    acc_te = ok[test].sum(axis=0) / tot_te if tot_te else np.full(d_max + 1, np.nan)
-    depth = np.array([x.depth for x in fit.nodes.values()])
-    is_leaf = np.array([x.feature < 0 for x in fit.nodes.values()])
-    rows = []
-    for d in range(1, d_max + 1):
-        rows.append({
-            "depth": d,
-            "train_accuracy": float(acc_tr[d]) if tot_tr else None,
-            "test_accuracy": float(acc_te[d]) if tot_te else None,
-            "leaves": int((depth == d).sum() + (is_leaf & (depth < d)).sum()),
-        })
-    return rows
-
-
-def leaves_at_depth(fit: TreeFit, d: int) -> int:
-    return sum(1 for n in fit.nodes.values() if n.depth == d or (n.feature < 0 and n.depth < d))
-
-
-def path_table(spark: SparkSession, fit: TreeFit, max_depth: int | None = None) -> DataFrame:
-    """``(leaf, step, node, type, feature, feature_index, threshold, direction, prediction)``
-    for every leaf of the (optionally depth-truncated) tree."""
-    rows = []
-    for leaf in fit.leaves:
-        anc = leaf.ancestors if max_depth is None else leaf.ancestors[: max_depth + 1]
-        for step, nid in enumerate(anc):
-            n = fit.nodes[nid]
-            last = step == len(anc) - 1
-            if last:
-                rows.append((leaf.leaf_index, step, nid, "leaf", None, None, None, None, 1 if n.prediction > 0.5 else 0))
-            else:
-                nxt = anc[step + 1]
-                rows.append((leaf.leaf_index, step, nid, "split", fit.features[n.feature], n.feature, n.threshold,
-                             "left" if nxt == n.left else "right", None))
-    schema = T.StructType([
-        T.StructField("leaf", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("node", T.IntegerType()),
-        T.StructField("type", T.StringType()), T.StructField("feature", T.StringType()),
-        T.StructField("feature_index", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
-        T.StructField("direction", T.StringType()), T.StructField("prediction", T.IntegerType()),
-    ])
-    return spark.createDataFrame(rows, schema)
-
-
-def trace_paths(fit: TreeFit, df: DataFrame, id_col: str, max_depth: int | None = None,
-                max_nodes_broadcast: int = 1_000_000) -> DataFrame:
-    """Decision path of every row through the (depth-truncated) tree: one row per (id, step)."""
-    spark = df.sparkSession
-    paths = path_table(spark, fit, max_depth)
-    paths = F.broadcast(paths) if len(fit.nodes) <= max_nodes_broadcast else paths
-    scored = with_leaf(fit, df).select(F.col(id_col).alias("id"), "leaf",
-                                        F.array(*[F.col(f).cast("double") for f in fit.features]).alias("_x"))
-    return scored.join(paths, "leaf").select(
-        "id", "step", "node", "type", "feature", "threshold",
-        F.when(F.col("feature_index").isNotNull(), F.element_at("_x", F.col("feature_index") + 1)).alias("value"),
-        "direction", "prediction",
-    )
-
-
-def importances(fit: TreeFit) -> list[tuple[str, float]]:
-    imp = fit.model.featureImportances.toArray()
-    return list(zip(fit.features, [float(v) for v in imp]))
+    spark = fit.nodes.sparkSession
+    above = counts.select("is_test", "label", "n", F.explode(F.transform(F.sequence(F.lit(0), F.length("leaf")), lambda d: F.col("leaf").substr(F.lit(1), d))).alias("node"))
+    at_node = above.groupBy("node", "is_test").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("ones"))
+    right = F.when(F.col("p") > 0.5, F.col("ones")).otherwise(F.col("rows") - F.col("ones"))
+    sums = at_node.join(fit.nodes.select("node", "depth", "is_leaf", "p"), "node").groupBy("is_test", "depth", "is_leaf").agg(F.sum(right).alias("ok")).collect()
+    sizes = fit.nodes.groupBy("depth", "is_leaf").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = {r["is_test"]: r["n"] for r in counts.groupBy("is_test").agg(F.sum("n").alias("n")).collect()}
+
+    def part(rows, value, depth, flag):
+        return sum(r[value] for r in rows if flag(r) and (r["depth"] == depth or (r["is_leaf"] and r["depth"] < depth)))
+
+    def accuracy(depth, test):
+        return part(sums, "ok", depth, lambda r: r["is_test"] == test) / total[test] if total.get(test) else None
+
+    rows = [(d, accuracy(d, False), accuracy(d, True), int(part(sizes, "n", d, lambda r: True))) for d in range(1, fit.depth + 1)]
+    return spark.createDataFrame(rows, "depth int, train_accuracy double, test_accuracy double, leaves int")
+
+
+def trace_paths(fit: TreeFit, df: DataFrame, id_col: str, max_depth: int | None = None) -> DataFrame:
+    """Decision path of every row through the (depth-truncated) tree: one row per (id, step).
+
+    The steps are the prefixes of the row's leaf, joined with the node table.
+    """
+    scored = with_leaf(fit, df).select(F.col(id_col).alias("id"), "leaf", _vector(fit.features).alias("_x"))
+    end = F.length("leaf") if max_depth is None else F.least(F.length("leaf"), F.lit(max_depth))
+    steps = scored.withColumn("_end", end).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_end")))).withColumn("node", F.col("leaf").substr(F.lit(1), F.col("step")))
+    nodes = fit.nodes if max_depth is None else fit.nodes.where(F.col("depth") <= max_depth)
+    last = F.col("step") == F.col("_end")
+    inner = steps.join(nodes.select("node", "feature", F.col("threshold").alias("_t"), "p"), "node")
+
+    def split(value: Column) -> Column:
+        return F.when(~last, value)
+
+    side = F.when(F.col("leaf").substr(F.col("step") + 1, F.lit(1)) == "0", "left").otherwise("right")
+    return inner.select(
+        "id", "step", "node", F.when(last, "leaf").otherwise("split").alias("type"), split(feature_name(fit, F.col("feature"))).alias("feature"),
+        split(F.col("_t")).alias("threshold"), split(F.get("_x", "feature")).alias("value"), split(side).alias("direction"),
+        F.when(last, (F.col("p") > 0.5).cast("int")).alias("prediction"))
+
+
+def importances(fit: TreeFit) -> DataFrame:
+    """``(feature, importance)``: share of the decrease of impurity by feature; 0 for features without splits."""
+    found = fit.nodes.where(~F.col("is_leaf")).groupBy("feature").agg(F.sum("decrease").alias("d"))
+    names = fit.nodes.sparkSession.createDataFrame(list(enumerate(fit.features)), "feature int, name string")
+    total = F.sum("d").over(Window.partitionBy())  # one row per feature
+    joined = F.broadcast(names).join(found, "feature", "left")
+    return joined.select(F.col("name").alias("feature"), F.coalesce(F.try_divide("d", total), F.lit(0.0)).alias("importance"))

@@ -30,6 +30,7 @@ from cohortlab.roles import (
     DEPTH_GAP_BANDS,
     ENTITY,
     ENTITY_CLUSTER_FEATURES,
+    ENTITY_PROBE,
     ENTITY_PROFILE_MEANS,
     GAP_BANDS,
     L1_RATIO_GRID,
@@ -283,77 +284,95 @@ def q_fe_regression(spark, sf):
 
 # ============================================================ decision tree
 STUMP_FEATURE = "n_lines"
+EXACT_FEATURES = ["gross", "disc", "n_lines"]
 
 
 def q_stump(spark, sf):
     """Depth-1 variance tree on one small-integer feature (exhaustive SQL oracle)."""
     p = pipeline(spark, sf)
     fit = tree.fit_tree(p.tree_data.where(~F.col("is_test")), [STUMP_FEATURE], R.target, max_depth=1)
-    root = fit.nodes[0]
-    if root.feature < 0:
-        return _rows(spark, [], "feature string, threshold double, left_n bigint, right_n bigint, left_p double, right_p double")
-    lt, rt = fit.nodes[root.left], fit.nodes[root.right]
-    return _rows(spark, [(STUMP_FEATURE, _r(root.threshold), int(lt.count), int(rt.count), _r(lt.prediction), _r(rt.prediction))],
-                 "feature string, threshold double, left_n bigint, right_n bigint, left_p double, right_p double")
+    node = fit.nodes.groupBy().pivot("node", ["", "0", "1"]).agg(F.first(F.struct("threshold", "n", "p")))
+    return node.where("`0` IS NOT NULL").select(
+        F.lit(STUMP_FEATURE).alias("feature"), F.round(node[""]["threshold"], 6).alias("threshold"),
+        node["0"]["n"].alias("left_n"), node["1"]["n"].alias("right_n"), F.round(node["0"]["p"], 6).alias("left_p"), F.round(node["1"]["p"], 6).alias("right_p"))
 
 
-def q_tree_struct(spark, sf):
+def q_tree_exact(spark, sf):
+    """Nodes of the depth-3 tree on continuous and small-integer features, all levels split by Spark."""
     p = pipeline(spark, sf)
-    s = tree.structure(p.tree, p.n_train_tree)
-    return _rows(spark, [(s["depth"], s["leaves"], s["root_feature"], s["n_features"], s["n_train"])],
-                 "depth int, leaves int, root_feature string, n_features int, n_train bigint")
+    fit = tree.fit_tree(p.tree_data.where(~F.col("is_test")), EXACT_FEATURES, R.target, max_depth=3, local_rows=0)
+    return fit.nodes.select("node", tree.feature_name(fit, F.col("feature")).alias("feature"), F.round("threshold", 6).alias("threshold"), "n", F.round("p", 6).alias("p"))
+
+
+def q_tree_struct(spark, sf):
+    return tree.structure(pipeline(spark, sf).tree)
 
 
 def q_tree_nodes(spark, sf):
     """Node table of the pruned tree (depth ≤ 4 of the deep greedy tree)."""
-    p = pipeline(spark, sf)
-    nodes = tree.node_table(spark, p.tree).where(F.col("depth") <= PRUNED_DEPTH)
-    return nodes.withColumn("is_leaf", F.col("is_leaf") | (F.col("depth") == PRUNED_DEPTH)).select(
-        "node", "depth", F.when(~F.col("is_leaf"), F.col("feature")).alias("feature"),
+    fit = pipeline(spark, sf).tree
+    nodes = fit.nodes.where(F.col("depth") <= PRUNED_DEPTH).withColumn("is_leaf", F.col("is_leaf") | (F.col("depth") == PRUNED_DEPTH))
+    return nodes.select(
+        tree.heap_number(F.col("node")).alias("node"), "depth", F.when(~F.col("is_leaf"), tree.feature_name(fit, F.col("feature"))).alias("feature"),
         F.when(~F.col("is_leaf"), F.round("threshold", 6)).alias("threshold"), "n", F.round("p", 6).alias("p"), "is_leaf",
         F.when(F.col("p") > 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def _curve_df(spark, p):
-    rows = [(r["depth"], _r(r["train_accuracy"]), _r(r["test_accuracy"]), r["leaves"]) for r in p.curve]
-    return _rows(spark, rows, "depth int, train_accuracy double, test_accuracy double, leaves int")
+def _curve_df(p):
+    return p.curve.select("depth", F.round("train_accuracy", 6).alias("train_accuracy"), F.round("test_accuracy", 6).alias("test_accuracy"), "leaves")
+
+
+def _optimal(curve):
+    """The depth of the greatest test accuracy, the smallest of equals (a curve has one row a depth)."""
+    return curve.agg(F.min_by("depth", F.struct(-F.col("test_accuracy"), F.col("depth"))).alias("d")).collect()[0]["d"]
 
 
 def q_depth_curve(spark, sf):
     p = pipeline(spark, sf)
-    df = _curve_df(spark, p).withColumn("gap", F.round(F.col("train_accuracy") - F.col("test_accuracy"), 6))
-    best = max(p.curve, key=lambda r: (r["test_accuracy"], -r["depth"]))["depth"]
-    return df.withColumn("gap_band", band("gap", DEPTH_GAP_BANDS)).withColumn("optimal", F.col("depth") == best).withColumn(
+    df = _curve_df(p).withColumn("gap", F.round(F.col("train_accuracy") - F.col("test_accuracy"), 6))
+    return df.withColumn("gap_band", band("gap", DEPTH_GAP_BANDS)).withColumn("optimal", F.col("depth") == _optimal(_curve_df(p))).withColumn(
         "pruned", F.col("depth") == PRUNED_DEPTH).withColumn("unpruned", F.col("depth") == p.tree.depth)
 
 
+def q_prune_compare(spark, sf):
+    """The pruned and the unpruned tree side by side."""
+    p = pipeline(spark, sf)
+    kinds = spark.createDataFrame([("pruned", min(PRUNED_DEPTH, p.tree.depth)), ("unpruned", p.tree.depth)], "tree string, depth int")
+    gap = F.round(F.col("train_accuracy") - F.col("test_accuracy"), 6)
+    return _curve_df(p).join(F.broadcast(kinds), "depth").select("tree", "depth", "leaves", "train_accuracy", "test_accuracy", gap.alias("gap"), band(gap, DEPTH_GAP_BANDS).alias("gap_band"))
+
+
 def q_depth_zones(spark, sf):
     """Optimal depth, underfitting range (test accuracy below its 0.33 quantile)
     and the start of overfitting (gap > 0.05 beyond the optimum)."""
-    curve = _curve_df(spark, pipeline(spark, sf))
-    opt = curve.agg(F.min_by("depth", F.struct(-F.col("test_accuracy"), F.col("depth"))).alias("opt")).select("opt")
-    q33 = curve.agg(F.percentile("test_accuracy", 0.33).alias("q33"))
-    stats = curve.agg(F.max("depth").alias("full_depth"))
-    o = opt.collect()[0]["opt"]
-    q = q33.collect()[0]["q33"]
-    under = curve.where(F.col("test_accuracy") < q).agg(F.max("depth").alias("underfit_max_depth"))
-    over = curve.where((F.col("depth") > o) & (F.col("train_accuracy") - F.col("test_accuracy") > 0.05)).agg(F.min("depth").alias("d"))
-    full = stats.collect()[0]["full_depth"]
-    fr = curve.where(F.col("depth") == full).collect()[0]
-    orow = curve.where(F.col("depth") == o).collect()[0]
-    u = under.collect()[0]["underfit_max_depth"]
-    ov = over.collect()[0]["d"]
-    return _rows(spark, [(o, orow["test_accuracy"], orow["train_accuracy"], u, ov if ov is not None else o + 1, full,
-                          _r(fr["train_accuracy"] - fr["test_accuracy"]))],
-                 "optimal_depth int, optimal_test_accuracy double, optimal_train_accuracy double, underfit_max_depth int, "
-                 "overfit_start int, full_depth int, full_gap double")
+    curve = _curve_df(pipeline(spark, sf))
+    o = _optimal(curve)
+    q = curve.agg(F.percentile("test_accuracy", 0.33).alias("q33")).collect()[0]["q33"]
+    gap = F.col("train_accuracy") - F.col("test_accuracy")
+    full = F.max_by(F.struct("depth", gap.alias("gap")), "depth")
+    at = F.max(F.when(F.col("depth") == o, F.struct("test_accuracy", "train_accuracy")))
+    return curve.agg(
+        F.lit(o).alias("optimal_depth"), at["test_accuracy"].alias("optimal_test_accuracy"), at["train_accuracy"].alias("optimal_train_accuracy"),
+        F.max(F.when(F.col("test_accuracy") < q, F.col("depth"))).alias("underfit_max_depth"),
+        F.coalesce(F.min(F.when((F.col("depth") > o) & (gap > 0.05), F.col("depth"))), F.lit(o + 1)).alias("overfit_start"),
+        full["depth"].alias("full_depth"), F.round(full["gap"], 6).alias("full_gap"))
+
+
+def _rounded_paths(paths):
+    return paths.select("id", "step", tree.heap_number(F.col("node")).alias("node"), "type", "feature", F.round("threshold", 6).alias("threshold"),
+                        F.round("value", 6).alias("value"), "direction", "prediction")
 
 
 def q_paths(spark, sf):
     p = pipeline(spark, sf)
-    paths = tree.trace_paths(p.tree, p.tree_data, R.id, max_depth=PRUNED_DEPTH)
-    return paths.select("id", "step", "node", "type", "feature", F.round("threshold", 6).alias("threshold"),
-                        F.round("value", 6).alias("value"), "direction", "prediction")
+    return _rounded_paths(tree.trace_paths(p.tree, p.tree_data, R.id, max_depth=PRUNED_DEPTH))
+
+
+def q_probe_path(spark, sf):
+    """The decision path of one hypothetical entity through the pruned tree."""
+    p = pipeline(spark, sf)
+    probe = spark.createDataFrame([(-1, *(float(ENTITY_PROBE[f]) for f in p.tree_features))], ", ".join(["id long", *(f"{f} double" for f in p.tree_features)]))
+    return _rounded_paths(tree.trace_paths(p.tree, probe, "id", max_depth=PRUNED_DEPTH))
 
 
 def q_importance(spark, sf):
@@ -361,7 +380,7 @@ def q_importance(spark, sf):
     percentage, band and the bar length as a share of the largest."""
     from pyspark.sql import Window
 
-    imp = _rows(spark, tree.importances(pipeline(spark, sf).tree), "feature string, importance double")
+    imp = tree.importances(pipeline(spark, sf).tree)
     ranked = imp.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
     top = ranked.where(F.col("rank") <= TOP_N).withColumn("importance_pct", F.bround(F.col("importance") * 100, 2))
     mx = F.max("importance_pct").over(Window.partitionBy())
@@ -371,13 +390,11 @@ def q_importance(spark, sf):
 
 def q_probability(spark, sf):
     p = pipeline(spark, sf)
-    scored = tree.with_leaf(p.tree, p.tree_data)
-    return scored.select("id", F.round("p", 6).alias("p"), (F.col("p") >= 0.5).cast("int").alias("predicted"), "is_test")
+    return p.tree_scored.select("id", F.round("p", 6).alias("p"), (F.col("p") >= 0.5).cast("int").alias("predicted"), "is_test")
 
 
 def _tree_test_pred(p):
-    scored = tree.with_leaf(p.tree, p.tree_data.where(F.col("is_test")))
-    return scored.withColumn("predicted", (F.col("p") > 0.5).cast("int"))
+    return p.tree_scored.where("is_test").withColumn("predicted", (F.col("p") > 0.5).cast("int"))
 
 
 def q_tree_confusion(spark, sf):

@@ -122,16 +122,14 @@ class Pipeline:
         return tree.fit_tree(train, self.tree_features, self.roles.target)
 
     @cached_property
-    def tree_counts(self) -> list:
-        return tree.leaf_counts(self.tree, self.tree_data, self.roles.target, "is_test")
+    def tree_scored(self) -> DataFrame:
+        """The split rows with their leaf and P(class 1), written once."""
+        return materialize(tree.with_leaf(self.tree, self.tree_data), "tree-scored")
 
     @cached_property
-    def curve(self) -> list[dict]:
-        return tree.depth_curve(self.tree, self.tree_counts)
-
-    @cached_property
-    def n_train_tree(self) -> int:
-        return sum(r["n"] for r in self.tree_counts if not r["is_test"])
+    def curve(self) -> DataFrame:
+        counts = self.tree_scored.groupBy("is_test", "leaf", F.col(self.roles.target).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        return tree.depth_curve(self.tree, counts)
 
     # ------------------------------------------------------------ regression
     @property
