@@ -1,17 +1,18 @@
-"""Exact quantiles and modes without a single-task value map.
+"""Exact quantiles and modes by repeated narrowing, without a shuffle or a sort of all values.
 
 Spark's ``percentile``/``median``/``mode`` aggregates keep a value->count map
 per group and merge it in one task; for a global group over a
 high-cardinality column that is unbounded.  Here the work is:
 
-1. ``groupBy(group, column, value).count()`` — a value histogram; partial
-   aggregation collapses hot values before the shuffle (a value holding a
-   third of all rows becomes one row).
-2. ``percentile_approx`` over the distinct values gives bucket bounds, so
-   every bucket holds about ``1/buckets`` of the distinct values.
-3. Bucket counts (a small table) give each bucket's starting rank.
-4. Only the buckets that contain a wanted rank are sorted (window per
-   bucket) to read the exact order statistics.
+1. a mergeable sketch (``percentile_approx`` on a grid) of each (group, column) puts every wanted rank between two values: a pass with
+   partial aggregation, nothing else is shuffled;
+2. while a rank may still have more than ``SMALL_KEY`` values strictly between its bounds, a pass counts the
+   rows up to the lower bound and sketches those in between; each pass leaves about three grid cells of them;
+3. the last pass counts the values between the bounds, all values beyond a bound as one, and cumulative counts give the value at
+   the rank exactly.
+
+A value that many rows share becomes a bound, so it doesn't stop the narrowing.  Bounds and results are DataFrames with a row for each
+(group, column, rank); the driver sees one number, the greatest group size, which sets the number of passes.
 
 Interpolation is linear between the order statistics at ``floor`` and
 ``ceil`` of ``(n-1)q``, the rule used by pandas, numpy and SQL
@@ -20,13 +21,12 @@ Interpolation is linear between the order statistics at ``floor`` and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from cohortlab.session import scratch_path
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), dtype: str = "double") -> DataFrame:
@@ -50,80 +50,68 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out if how == "left_semi" else out.drop(*(f"_right_{k}" for k in keys))
 
 
-SMALL_KEY = 200_000  # distinct values a single window partition may sort
+SMALL_KEY = 100_000  # values that a window partition of the last pass may sort
+GRID = 1_000
+ACCURACY = 10_000  # a sketch's rank error is at most its rows / ACCURACY
+
+
+def _sketch(value, grid: int):
+    return F.percentile_approx(value, [i / grid for i in range(grid + 1)], max(ACCURACY, 8 * grid))
+
+
+def _cell(rank, rows, grid: int):
+    """Grid cell of a rank; its bounds are one cell below and two above, far beyond the sketch's error."""
+    return F.least(F.floor(rank / rows * grid), F.lit(grid - 1)).cast("int")
 
 
-def select_ranks(hist: DataFrame, keys: Sequence[str], ranks_for, buckets: int = 128) -> tuple[dict, list]:
-    """Exact order statistics from a histogram ``(keys..., value, n)``.
+def _at(sketch, index, grid: int):
+    return F.when((index >= 1) & (index <= grid - 1), F.get(sketch, index))
 
-    ``ranks_for(key_tuple, total) -> iterable of 0-based ranks``.  Returns
-    ``({(key_tuple, rank): value}, [(key_tuple, total), ...])``.  At most three
-    jobs; the driver sees only per-key bucket bounds and counts and the picked
-    values.  Keys with at most ``SMALL_KEY`` distinct values form one bucket,
-    and when every key is that small the bucket-count job is skipped.
+
+def _cut(df: DataFrame, kind: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def order_statistics(values: DataFrame, keys: Sequence[str], ranks, grid: int = GRID) -> DataFrame:
+    """``(keys..., n, rank, value)``: the values at the 0-based ranks of each key's ``value`` column (double, not null).
+
+    ``ranks``: the array column of wanted ranks (long), from ``n``.
     """
-    spark = hist.sparkSession
     keys = list(keys)
-    grid = [i / buckets for i in range(1, buckets)]
-    raw_rows = (
-        hist.groupBy(*keys)
-        .agg(F.percentile_approx("value", grid, max(10_000, 4 * buckets)).alias("bounds"), F.sum("n").alias("total"),
-             F.count(F.lit(1)).alias("distinct"))
-        .collect()
-    )
-    if not raw_rows:
-        return {}, []
-    bounds_rows = [
-        {**{k: r[k] for k in keys}, "bounds": [] if r["distinct"] <= SMALL_KEY else r["bounds"], "total": r["total"]}
-        for r in raw_rows
-    ]
-    all_small = all(r["distinct"] <= SMALL_KEY for r in raw_rows)
-    bounds = spark.createDataFrame(
-        [tuple(r[k] for k in keys) + (r["bounds"], r["total"]) for r in bounds_rows],
-        _schema(hist, keys, [("bounds", T.ArrayType(hist.schema["value"].dataType)), ("total", T.LongType())]))
-    # bucket = number of bounds strictly below the value; bounds has one row
-    # per key — collected above, so its size is known.
-    bucketed = join_null_safe(hist, F.broadcast(bounds.select(*keys, "bounds")), keys).select(
-        *keys, "value", "n", F.size(F.filter("bounds", lambda b: b < F.col("value"))).alias("bucket")
-    )
-    per_key: dict[tuple, list[tuple[int, int]]] = {}
-    if all_small:
-        for b in bounds_rows:
-            per_key[tuple(b[k] for k in keys)] = [(0, b["total"])]
-    else:
-        for r in bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn")).collect():
-            per_key.setdefault(tuple(r[k] for k in keys), []).append((r["bucket"], r["bn"]))
-    totals, wanted = [], []
-    for b in bounds_rows:
-        k = tuple(b[c] for c in keys)
-        totals.append((k, b["total"]))
-        starts, acc = [], 0
-        for bucket, bn in sorted(per_key.get(k, [])):
-            starts.append((bucket, acc, bn))
-            acc += bn
-        for rank in set(ranks_for(k, b["total"])):
-            for bucket, start, bn in starts:
-                if start <= rank < start + bn:
-                    wanted.append((*k, bucket, start, int(rank)))
-    if not wanted:
-        return {}, totals
-    wanted_df = spark.createDataFrame(
-        wanted, _schema(hist, keys, [("bucket", T.IntegerType()), ("start", T.LongType()), ("rank", T.LongType())])
-    )
-    wb = Window.partitionBy(*keys, "bucket").orderBy("value")
-    picked = (
-        join_null_safe(
-            join_null_safe(bucketed, F.broadcast(wanted_df.select(*keys, "bucket").distinct()), [*keys, "bucket"], "left_semi").withColumn(
-                "cum", F.sum("n").over(wb)
-            ),
-            F.broadcast(wanted_df),
-            [*keys, "bucket"],
-        )
-        .where((F.col("rank") >= F.col("start") + F.col("cum") - F.col("n")) & (F.col("rank") < F.col("start") + F.col("cum")))
-        .select(*keys, "rank", "value")
-        .collect()
-    )
-    return {(tuple(r[k] for k in keys), r["rank"]): r["value"] for r in picked}, totals
+    first = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch("value", grid).alias("_sketch"))
+    cell = _cell(F.col("rank"), F.col("n"), grid)
+    targets = _cut(first.withColumn("rank", F.explode(F.array_distinct(ranks))).select(
+        *keys, "n", "rank", _at(F.col("_sketch"), cell - 1, grid).alias("_lo"), _at(F.col("_sketch"), cell + 2, grid).alias("_hi")), "ranks")
+    most = targets.agg(F.max("n").alias("n")).collect()[0]["n"] or 0
+    share = 3 / grid + 2 / max(ACCURACY, 8 * grid)
+    between = most * share
+
+    def met() -> DataFrame:
+        """Every value with each target of its key; the targets are a few rows for each (group, column)."""
+        listed = targets.groupBy(*keys).agg(F.collect_list(F.struct("rank", "_lo", "_hi")).alias("_t"))
+        return join_null_safe(values, listed, keys).select(*keys, "value", F.explode("_t").alias("_t")).select(*keys, "value", "_t.*")
+
+    while between > SMALL_KEY:
+        v, lo, hi = F.col("value"), F.col("_lo"), F.col("_hi")
+        inside = (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
+        counted = met().groupBy(*keys, "rank", "_lo", "_hi").agg(
+            F.count_if(v <= lo).alias("_below"), F.count_if(inside).alias("_rows"), _sketch(F.when(inside, v), grid).alias("_sketch"))
+        rest = F.col("rank") - F.col("_below")
+        cell = _cell(rest, F.col("_rows"), grid)
+        at_lo, at_hi = rest < 0, rest >= F.col("_rows")
+        counted = counted.withColumns({
+            "_low": F.when(at_lo, lo).when(at_hi, hi).otherwise(F.coalesce(_at(F.col("_sketch"), cell - 1, grid), lo)),
+            "_high": F.when(at_lo, lo).when(at_hi, hi).otherwise(F.coalesce(_at(F.col("_sketch"), cell + 2, grid), hi)),
+        }).select(*keys, "rank", F.col("_low").alias("_lo"), F.col("_high").alias("_hi"))
+        targets = _cut(join_null_safe(targets.drop("_lo", "_hi"), counted, [*keys, "rank"]), "ranks")
+        between *= share
+    clamped = F.when(F.col("value") <= F.col("_lo"), F.col("_lo")).when(F.col("value") >= F.col("_hi"), F.col("_hi")).otherwise(F.col("value"))
+    counts = met().groupBy(*keys, "rank", clamped.alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+    up_to = Window.partitionBy(*keys, "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    picked = counts.withColumn("_end", F.sum("_c").over(up_to)).where((F.col("_end") > F.col("rank")) & (F.col("_end") - F.col("_c") <= F.col("rank")))
+    return join_null_safe(targets.select(*keys, "rank", "n"), picked.select(*keys, "rank", "value"), [*keys, "rank"])
 
 
 def exact_quantiles(
@@ -131,42 +119,18 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buckets: int = 128,
+    buckets: int = GRID,
 ) -> DataFrame:
-    """``(by..., column, prob, value)`` — exact linear-interpolated quantiles.
-
-    ``by`` is meant for low-cardinality groupings (segments, classes).
-    """
-    spark = df.sparkSession
+    """``(by..., column, prob, value)`` — exact linear-interpolated quantiles; ``buckets`` is the sketches' grid."""
     keys = [*by, "column"]
-    hist = value_histogram(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def ranks_for(_k, total):
-        for p in probs:
-            pos = (total - 1) * float(p)
-            yield int(math.floor(pos))
-            yield int(math.ceil(pos))
-
-    at, totals = select_ranks(hist, keys, ranks_for, buckets)
-    hist.unpersist()
-    out = []
-    for k, total in totals:
-        for p in probs:
-            pos = (total - 1) * float(p)
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            vlo, vhi = at[(k, lo)], at[(k, hi)]
-            out.append((*k, float(p), vlo + (vhi - vlo) * (pos - lo)))
-    return spark.createDataFrame(out, _result_schema(df, by))
-
-
-def _schema(df: DataFrame, keys: Sequence[str], extra: list) -> T.StructType:
-    return T.StructType([df.schema[k] for k in keys] + [T.StructField(n, t) for n, t in extra])
-
-
-def _result_schema(df: DataFrame, by: Sequence[str]) -> T.StructType:
-    fields = [df.schema[b] for b in by]
-    return T.StructType([*fields, T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
-                         T.StructField("value", T.DoubleType())])
+    each = F.array(*(F.lit(float(p)) for p in probs))
+    place = (F.col("n") - 1).cast("double")
+    ranks = F.flatten(F.transform(each, lambda p: F.array(F.floor(place * p), F.ceil(place * p))))
+    found = order_statistics(long_values(df, cols, by), keys, ranks, buckets)
+    per_key = found.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    pos = place * F.col("prob")
+    low, high = F.try_element_at("at", F.floor(pos)), F.try_element_at("at", F.ceil(pos))
+    return per_key.withColumn("prob", F.explode(each)).select(*keys, "prob", (low + (high - low) * (pos - F.floor(pos))).alias("value"))
 
 
 def exact_modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -4,22 +4,23 @@ Nothing here uses ``rand``/``randomSplit``: membership is a pure function of
 ``md5("<id>|<seed>")``, so it is identical under any partitioning, after an
 executor is lost and recomputed, and in any SQL engine.
 
-Exact per-stratum sizes use the rank selector of
-:mod:`cohortlab.operators.quantiles` — the k-th smallest hash per stratum is
-found without sorting a whole stratum in one task; the split is then a plain
-filter ``hash <= threshold``.
+Exact per-stratum sizes need the k-th smallest hash of each stratum: rows are counted by the first 16 bits of
+their hash (at most 65,536 map-side counters a stratum, rows aren't shuffled), and only within the cell that holds the rank by the
+next bits, until few rows are left.  The split is then a plain filter ``hash <= threshold``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import hash_key, in_test_split
-from cohortlab.operators.quantiles import select_ranks
+from cohortlab.operators.quantiles import _cut, join_null_safe
+
+HASH_BITS = 60
+RADIX_BITS = 16
 
 
 def hash_long(id_col: str | Column, seed: int) -> Column:
@@ -33,23 +34,38 @@ def hash_split(df: DataFrame, id_col: str, fraction: float, seed: int, flag: str
 
 
 def _stratum_thresholds(df: DataFrame, id_col: str, strata: str, seed: int, size_for) -> dict:
-    """Per stratum, the hash value of its ``size_for(stratum, n)``-th smallest row."""
-    hist = (
-        df.select(F.col(strata).alias("stratum"), hash_long(id_col, seed).alias("value"))
-        .groupBy("stratum", "value").agg(F.count(F.lit(1)).alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-
-    def ranks_for(k, total):
-        m = size_for(k[0], total)
-        return [m - 1] if m > 0 else []
-
-    at, totals = select_ranks(hist, ["stratum"], ranks_for)
-    hist.unpersist()
-    out = {}
-    for k, total in totals:
-        m = size_for(k[0], total)
-        out[k[0]] = None if m <= 0 else at[(k, m - 1)]
+    """Per stratum, the hash value of its ``size_for(stratum, n)``-th smallest row (None for no rows).
+
+    The driver sees one row for each stratum and step.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(strata).alias("stratum"), hash_long(id_col, seed).alias("h"))
+    kind = f"stratum {rows.schema['stratum'].dataType.simpleString()}"
+    shift = HASH_BITS - RADIX_BITS
+    up_to = Window.partitionBy("stratum").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+
+    def counters(of: DataFrame) -> DataFrame:
+        """(stratum, cell, c, end): rows by hash prefix and their cumulative count; at most 2^RADIX_BITS cells a stratum."""
+        return of.groupBy("stratum", F.shiftright("h", shift).alias("cell")).agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.sum("c").over(up_to))
+
+    first = _cut(counters(rows), "hash-cells")
+    totals = {r["stratum"]: r["n"] for r in first.groupBy("stratum").agg(F.sum("c").alias("n")).collect()}
+    wanted = [(k, size_for(k, n) - 1) for k, n in totals.items()]
+    out = {k: None for k, rank in wanted if rank < 0}
+    todo = [(k, rank, 0) for k, rank in wanted if rank >= 0]  # rank among the rows of the prefix found so far
+    cells = first
+    while todo:
+        ranks = F.broadcast(spark.createDataFrame(todo, f"{kind}, rank long, prefix long"))
+        hit = join_null_safe(cells, ranks, ["stratum"]).where((F.col("end") > F.col("rank")) & (F.col("end") - F.col("c") <= F.col("rank")))
+        found = hit.select("stratum", "cell", (F.col("rank") - F.col("end") + F.col("c")).alias("rank"), "c").collect()
+        if shift == 0:
+            return out | {r["stratum"]: r["cell"] for r in found}
+        todo = [(r["stratum"], r["rank"], r["cell"]) for r in found]
+        narrowed = F.broadcast(spark.createDataFrame([(k, c) for k, _, c in todo], f"{kind}, prefix long"))
+        within = join_null_safe(rows, narrowed, ["stratum"]).where(F.shiftright("h", shift) == F.col("prefix"))
+        few = max(r["c"] for r in found) <= 1 << RADIX_BITS  # then the cell's own hashes are no more counters than a step's
+        shift = 0 if few else max(0, shift - RADIX_BITS)
+        cells = counters(within)
     return out
 
 

@@ -17,6 +17,7 @@ from cohortlab.functions.columns import band, below_band, ratio_feature
 from cohortlab.operators import cells, linear, moments, profile, rates, segments, tree
 from cohortlab.operators.joins import in_set, left_lookup, mark_membership
 from cohortlab.plans import oracle as O
+from cohortlab.plans import tree_oracle
 from cohortlab.plans.pipeline import pipeline
 from cohortlab.roles import (
     ALPHA_GRID,
@@ -360,7 +361,7 @@ def q_depth_zones(spark, sf):
 
 def _rounded_paths(paths):
     return paths.select("id", "step", tree.heap_number(F.col("node")).alias("node"), "type", "feature", F.round("threshold", 6).alias("threshold"),
-                        F.round("value", 6).alias("value"), "direction", "prediction")
+                        F.round("value", 6).alias("value"), "direction", F.col("prediction").cast("string").alias("prediction"))
 
 
 def q_paths(spark, sf):
@@ -644,7 +645,7 @@ QUERIES = {
     "q_ridge_cv_1f": q_ridge_cv_1f, "q_ols_2f": q_ols_2f, "q_enet_cv_1f": q_enet_cv_1f, "q_lasso_path": q_lasso_path, "q_coef_compare": q_coef_compare, "q_coef_long": q_coef_long,
     "q_model_compare": q_model_compare, "q_fe_regression": q_fe_regression,
     "q_stump": q_stump, "q_tree_struct": q_tree_struct, "q_tree_nodes": q_tree_nodes, "q_depth_curve": q_depth_curve,
-    "q_depth_zones": q_depth_zones, "q_paths": q_paths, "q_importance": q_importance, "q_probability": q_probability,
+    "q_depth_zones": q_depth_zones, "q_tree_exact": q_tree_exact, "q_prune_compare": q_prune_compare, "q_probe_path": q_probe_path, "q_paths": q_paths, "q_importance": q_importance, "q_probability": q_probability,
     "q_tree_confusion": q_tree_confusion, "q_tree_report": q_tree_report, "q_fe_tree": q_fe_tree,
     "q_pairwise": q_pairwise, "q_silhouette": q_silhouette, "q_neighbours": q_neighbours, "q_linkage": q_linkage, "q_cut": q_cut,
     "q_last_merges": q_last_merges, "q_cluster_compare": q_cluster_compare, "q_profile": q_profile, "q_segments": q_segments,
@@ -798,6 +799,7 @@ def _rule_cohorts_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **tree_oracle.oracle_sql(EXACT_FEATURES),
         "q_rule_cohorts": _rule_cohorts_sql(),
         "q_vif_2f": _vif_2f_sql(),
         "q_ols_2f": _ols_2f_sql(),

@@ -39,3 +39,24 @@ def test_bucketed_path_matches_numpy(spark, monkeypatch):
     got = {r["prob"]: r["value"] for r in Q.exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], buckets=16).collect()}
     for p, v in got.items():
         assert abs(v - np.quantile(x, p)) < 1e-12
+
+
+def test_hot_and_near_unique_values_in_groups(spark, monkeypatch):
+    import cohortlab.operators.quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL_KEY", 25)
+    rng = np.random.default_rng(8)
+    n = 6000
+    x = rng.normal(size=n) * 1e6  # near-unique
+    x[: n // 3] = 5.0  # a third of the rows share one value
+    g = np.array(["a", "b", None], dtype=object)[np.minimum(rng.integers(0, 60, n), 2)]
+    pdf = pd.DataFrame({"x": x, "g": g})
+    df = spark.createDataFrame(pdf, "x double, g string").repartition(6)
+    probs = [0.0, 0.001, 0.33, 0.34, 0.5, 0.999, 1.0]
+    for buckets in (16, 1000):
+        got = {(r["g"], r["prob"]): r["value"] for r in Q.exact_quantiles(df, ["x"], probs, by=["g"], buckets=buckets).collect()}
+        assert len(got) == 3 * len(probs)
+        for (k, p), v in got.items():
+            mine = pdf[pdf["g"].isna() if k is None else pdf["g"] == k]["x"]
+            assert v == np.quantile(mine, p) or abs(v - np.quantile(mine, p)) < 1e-6
+    assert Q.exact_quantiles(df.limit(0), ["x"], probs).count() == 0
