@@ -29,6 +29,16 @@ def left_lookup(df: DataFrame, other: DataFrame, on: str, dedupe_right: bool = F
     return df.withColumn(on, F.col(on).cast("string")).join(right, on, "left")
 
 
+def compare_sets(left: DataFrame, right: DataFrame, shared: str = "shared", only_left: str = "dropped", only_right: str = "new") -> DataFrame:
+    """The distinct rows of both sides with a ``status``: set operators, so NULL equals NULL and neither side is collected."""
+    parts = ((left.intersect(right), shared), (left.subtract(right), only_left), (right.subtract(left), only_right))
+    out = None
+    for rows, status in parts:
+        rows = rows.withColumn("status", F.lit(status))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def in_set(df: DataFrame, ids: DataFrame, on: str, max_rows: int = 1_000_000) -> DataFrame:
     """Rows whose ``on`` is in the one-column id set (left-semi join)."""
     ids = ids.select(F.col(on).cast("string").alias(on)).distinct()

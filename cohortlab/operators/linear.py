@@ -55,11 +55,37 @@ def _shift_intercept(g: Gram, w: np.ndarray) -> tuple[float, float]:
     return b_shift, b_shift + g.shift_y - float(g.shift_x @ w)
 
 
+RANK_TOLERANCE = 1e-11  # on the correlation scale; exact linear combinations leave about 1e-15
+
+
+def _pseudo_inverse(a: np.ndarray) -> tuple[np.ndarray, int]:
+    """Moore-Penrose inverse and rank of a positive semidefinite matrix.
+
+    The rank is read from the eigenvalues on the correlation scale, where units don't matter; the null space found
+    there is projected out on the original scale, which makes solutions those of minimum norm.
+    """
+    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    used = np.flatnonzero(scale > 0)
+    inverse = np.zeros_like(a)
+    if not used.size:
+        return inverse, 0
+    d = 1.0 / scale[used]
+    values, vectors = np.linalg.eigh(a[np.ix_(used, used)] * np.outer(d, d))
+    kept = values > RANK_TOLERANCE * len(used)
+    g = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T * np.outer(d, d)
+    null = vectors[:, ~kept] * d[:, None]
+    if null.shape[1]:
+        null, _ = np.linalg.qr(null)
+        onto = np.eye(len(used)) - null @ null.T
+        g = onto @ g @ onto
+    inverse[np.ix_(used, used)] = g
+    return inverse, int(kept.sum())
+
+
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    try:
-        return np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(a, b, rcond=None)[0]
+    """The solution, of minimum norm if there are several."""
+    inverse, rank = _pseudo_inverse(a)
+    return np.linalg.solve(a, b) if rank == len(b) else inverse @ b
 
 
 def ols(g: Gram) -> LinearFit:
@@ -229,17 +255,16 @@ def t_two_sided_p(t: float, df: float) -> float:
 
 
 def ols_inference(g: Gram) -> list[dict]:
-    """Coefficient, SE, t and two-sided p for each feature and the intercept."""
+    """Coefficient, SE, t and two-sided p for each feature and the intercept (degrees of freedom by rank)."""
     fit = ols(g)
     mx, _, cxx, cxy, cyy = g.centered()
     p = len(cxy)
-    dof = g.n - p - 1
+    inv, rank = _pseudo_inverse(cxx)
+    if rank == p:
+        inv = np.linalg.inv(cxx)
+    dof = g.n - rank - 1
     rss = max(cyy - float(fit.coef @ cxy), 0.0)
     sigma2 = rss / dof if dof > 0 else float("nan")
-    try:
-        inv = np.linalg.inv(cxx)
-    except np.linalg.LinAlgError:
-        inv = np.linalg.pinv(cxx)
     se = np.sqrt(np.maximum(np.diag(inv) * sigma2, 0.0))
     m_orig = mx + g.shift_x
     se_b = math.sqrt(max(sigma2 * (1.0 / g.n + float(m_orig @ inv @ m_orig)), 0.0))

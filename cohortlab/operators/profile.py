@@ -7,9 +7,11 @@ caller (results are small).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,53 +137,69 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact:
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """``(bin, lo, hi, n)``: all equal-width bins over [min, max], empty ones too (max falls in the last bin)."""
-    x = F.col(col).cast("double")
-    st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).collect()[0]
-    mn, mx = st["mn"], st["mx"]
-    if mn is None:
-        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n bigint")
-    width = (mx - mn) / bins if mx > mn else 1.0
-    b = F.least(F.floor((x - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counted = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counted, "bin", "left").select(
-        "bin",
-        (F.lit(mn) + F.lit(width) * F.col("bin")).alias("lo"),
-        (F.lit(mn) + F.lit(width) * (F.col("bin") + 1)).alias("hi"),
-        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-    )
+    return histograms(df, [col], bins).drop("column")
+
+
+def histograms(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
+    """``(column, bin, lo, hi, n)`` of several columns: one aggregation for the ranges, one for the counts.  Columns without values have no bins."""
+    cols = list(cols)
+    spark = df.sparkSession
+    st = df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("mn"), F.max(F.col(c).cast("double")).alias("mx")).alias(c) for c in cols]).collect()[0]
+    ranges = [(c, st[c]["mn"], (st[c]["mx"] - st[c]["mn"]) / bins if st[c]["mx"] > st[c]["mn"] else 1.0) for c in cols if st[c]["mn"] is not None]
+    every = F.broadcast(spark.createDataFrame(ranges, "column string, mn double, width double"))  # one row a column
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+    b = F.least(F.floor((F.col("value") - F.col("mn")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    counted = long.join(every, "column").groupBy("column", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return grid.join(counted, ["column", "bin"], "left").select(
+        "column", "bin", (F.col("mn") + F.col("width") * F.col("bin")).alias("lo"), (F.col("mn") + F.col("width") * (F.col("bin") + 1)).alias("hi"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
+
+
+KDE_CELLS = 1 << 20
 
 
 def kde(df: DataFrame, col: str, grid_points: int = 200, bins: int | None = None) -> DataFrame:
-    """Gaussian KDE on an even grid over [min, max], Scott's bandwidth
-    ``sd·n^(-1/5)``.
-
-    Exact by default: each value contributes to every grid point through
-    ``transform`` over a literal grid array; ``posexplode`` feeds a partial
-    aggregation in the same stage, so the shuffle carries only
-    ``partitions × grid`` rows.  With ``bins`` the values are first reduced to
-    that many equal-width bins (count and mean per bin, one aggregation) and
-    the bins are evaluated instead — error ≤ half a bin width in each kernel.
+    """``(point, x, density)`` of one column; see :func:`kdes`."""
+    return kdes(df, [col], grid_points, bins).drop("column")
+
+
+def kdes(df: DataFrame, cols: Sequence[str], grid_points: int = 200, bins: int | None = None) -> DataFrame:
+    """``(column, point, x, density)``: Gaussian KDE on an even grid over [min, max], Scott's bandwidth ``sd·n^(-1/5)``.
+
+    Exact by default: each task sums the kernels of its own values at every grid point (blocks of values × grid in numpy) and gives
+    ``columns × grid`` partial sums, whatever its number of rows.  With ``bins`` the values are first reduced to that many equal-width bins
+    (count and mean per bin, one aggregation) and the bins are evaluated instead — error ≤ half a bin width in each kernel.
+    Columns without spread have no density.
     """
-    x = F.col(col).cast("double")
-    st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"), F.stddev_samp(x).alias("sd")).collect()[0]
-    mn, mx, n, sd = st["mn"], st["mx"], st["n"], st["sd"]
-    if not n or sd is None or sd == 0:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
-    h = sd * n ** (-1.0 / 5.0)
-    step = (mx - mn) / (grid_points - 1) if grid_points > 1 else 0.0
-    grid = F.array(*[F.lit(mn + i * step) for i in range(grid_points)])
-    contrib = F.transform(grid, lambda g: F.col("w") * F.exp(-0.5 * ((g - F.col("x")) / F.lit(h)) * ((g - F.col("x")) / F.lit(h))))
-    norm = n * h * (2 * 3.141592653589793) ** 0.5
-    vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    cols = list(cols)
+    spark = df.sparkSession
+    x = {c: F.col(c).cast("double") for c in cols}
+    st = df.agg(*[F.struct(F.min(x[c]).alias("mn"), F.max(x[c]).alias("mx"), F.count(x[c]).alias("n"), F.stddev_samp(x[c]).alias("sd")).alias(c) for c in cols]).collect()[0]
+    shape = {c: (st[c]["mn"], (st[c]["mx"] - st[c]["mn"]) / max(grid_points - 1, 1), st[c]["n"], st[c]["sd"] * st[c]["n"] ** -0.2) for c in cols if st[c]["sd"]}
+    meta = F.broadcast(spark.createDataFrame([(c, *v) for c, v in shape.items()], "column string, mn double, step double, n long, h double"))
+    long = df.select(*[x[c].alias(c) for c in cols]).unpivot([], cols, "column", "v").where(F.col("v").isNotNull()).withColumn("w", F.lit(1.0))
     if bins:
-        width = (mx - mn) / bins if mx > mn else 1.0
-        vals = vals.groupBy(F.least(F.floor((F.col("x") - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).alias("b")).agg(
-            F.count(F.lit(1)).cast("double").alias("w"), F.avg("x").alias("x"))
-    else:
-        vals = vals.withColumn("w", F.lit(1.0))
-    return (
-        vals.select(F.posexplode(contrib).alias("point", "k"))
-        .groupBy("point").agg(F.sum("k").alias("s"))
-        .select("point", (F.lit(mn) + F.col("point") * F.lit(step)).alias("x"), (F.col("s") / F.lit(norm)).alias("density"))
-    )
+        cell = F.least(F.floor((F.col("v") - F.col("mn")) / (F.col("step") * (grid_points - 1) / bins)), F.lit(bins - 1))
+        long = long.join(meta, "column").groupBy("column", cell.alias("cell")).agg(F.avg("v").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {c: np.zeros(grid_points) for c in shape}
+        block = max(1, KDE_CELLS // grid_points)
+        for pdf in batches:
+            for c, part in pdf.groupby("column"):
+                if c not in total:
+                    continue
+                mn, step, _, h = shape[c]
+                grid = mn + np.arange(grid_points) * step
+                v, w = part["v"].to_numpy(), part["w"].to_numpy()
+                for k in range(0, len(v), block):
+                    z = (grid - v[k : k + block, None]) / h
+                    total[c] += w[k : k + block] @ np.exp(-0.5 * z * z)
+        for c, t in total.items():
+            yield pd.DataFrame({"column": c, "point": np.arange(grid_points), "s": t})
+
+    partial = long.select("column", "v", "w").mapInPandas(sums, "column string, point int, s double")
+    norm = F.col("n") * F.col("h") * (2 * 3.141592653589793) ** 0.5
+    return partial.groupBy("column", "point").agg(F.sum("s").alias("s")).join(meta, "column").select(
+        "column", "point", (F.col("mn") + F.col("point") * F.col("step")).alias("x"), (F.col("s") / norm).alias("density"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from cohortlab.roles import (
     BAND_CORR_PAIR,
     BAND_CORR_TARGET,
+    BAND_MISSING_PCT,
+    BAND_RATE,
     ENTITY,
     ENTITY_CLUSTER_FEATURES,
     ENTITY_CORR_COLUMNS,
@@ -55,7 +57,7 @@ def band_sql(x: str, bands, inclusive: bool = False) -> str:
             default = label
         else:
             parts.append(f"WHEN {x} {op} {bound!r} THEN {q(label)}")
-    return f"CASE {' '.join(parts)} ELSE {q(default)} END"
+    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(parts)} ELSE {q(default)} END"
 
 
 NUM = list(R.numeric)
@@ -176,7 +178,7 @@ def _missing() -> str:
         f"SELECT {q(c)} AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing_count, "
         f"round_even(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 2) AS missing_pct FROM raw" for c in allc
     )
-    return with_raw(f"SELECT * FROM ({parts}) WHERE missing_count > 0")
+    return with_raw(f"SELECT *, {band_sql('missing_pct', BAND_MISSING_PCT)} AS band FROM ({parts}) WHERE missing_count > 0")
 
 
 def _value_counts() -> str:
@@ -283,7 +285,7 @@ def _rate_by() -> str:
         f"round_even(avg(target) * 100, 2) AS rate_pct, round_even((1 - avg(target)) * 100, 2) AS retained_pct "
         f"FROM clean WHERE {by} IS NOT NULL GROUP BY {by}" for by in ("department", "emp_type")
     )
-    return with_clean(parts)
+    return with_clean(f"SELECT *, {band_sql('rate_pct', BAND_RATE)} AS band FROM ({parts})")
 
 
 def _rate_extremes() -> str:
@@ -356,6 +358,45 @@ def _kde() -> str:
     )
 
 
+def _top_skewed() -> str:
+    """CTEs: top ("column"), long ("column", value) of the three most skewed columns."""
+    return (with_clean("").strip() + f", sk AS ({_skew()[len(with_clean('')):]}), top AS (SELECT \"column\" FROM sk WHERE top), "
+            f"long AS (SELECT \"column\", CAST(value AS DOUBLE) AS value FROM ({unpivot_union('clean', NUM, lambda c: f'CAST({c} AS DOUBLE)')}) JOIN top USING (\"column\") WHERE value IS NOT NULL) ")
+
+
+def _skew_hist() -> str:
+    return _top_skewed() + (
+        ", w AS (SELECT \"column\", min(value) AS mn, CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) / 30 ELSE 1.0 END AS width FROM long GROUP BY 1), "
+        "b AS (SELECT w.\"column\", CAST(least(floor((value - mn) / width), 29) AS INTEGER) AS bin, count(*) AS n FROM long JOIN w USING (\"column\") GROUP BY 1, 2) "
+        "SELECT w.\"column\", CAST(i AS INTEGER) AS bin, round(mn + width * i, 6) AS lo, round(mn + width * (i + 1), 6) AS hi, coalesce(b.n, 0) AS n "
+        "FROM w CROSS JOIN range(30) t(i) LEFT JOIN b ON b.\"column\" = w.\"column\" AND b.bin = i")
+
+
+def _skew_kde() -> str:
+    return _top_skewed() + (
+        ", p AS (SELECT \"column\", min(value) AS mn, (max(value) - min(value)) / 199 AS step, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h FROM long GROUP BY 1), "
+        "v AS (SELECT \"column\", value, count(*) AS c FROM long GROUP BY ALL) "
+        "SELECT p.\"column\", CAST(i AS INTEGER) AS point, round(mn + i * step, 6) AS x, "
+        "round(sum(c * exp(-0.5 * ((mn + i * step - value) / h) * ((mn + i * step - value) / h))) / (n * h * sqrt(2 * pi())), 12) AS density "
+        "FROM p JOIN v USING (\"column\") CROSS JOIN range(200) t(i) GROUP BY p.\"column\", i, mn, step, n, h")
+
+
+def _csv_source() -> str:
+    return (
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN CASE WHEN o_orderkey % 7 <> 0 THEN 12.0::DOUBLE END ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS price, "
+        "CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 THEN '5x' WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS status, "
+        "(o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0) OR o_orderkey % 100 = 3 AS malformed FROM orders")
+
+
+def _set_compare() -> str:
+    flag = "SELECT DISTINCT 'part' AS kind, CAST(l_partkey AS VARCHAR) AS name FROM lineitem WHERE l_returnflag"
+    return (
+        f"WITH a AS (SELECT 'column' AS kind, substr(column_name, 3) AS name FROM (DESCRIBE SELECT * FROM customer) UNION {flag} = 'R'), "
+        f"b AS (SELECT 'column' AS kind, substr(column_name, 3) AS name FROM (DESCRIBE SELECT * FROM supplier) UNION {flag} <> 'R') "
+        "SELECT kind, name, CASE WHEN b.name IS NULL THEN 'left only' WHEN a.name IS NULL THEN 'right only' ELSE 'shared' END AS status "
+        "FROM a FULL JOIN b USING (kind, name)")
+
+
 def _label_encode() -> str:
     parts = " UNION ALL ".join(f"SELECT DISTINCT {q(c)} AS \"column\", coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM enc" for c in CAT)
     return with_enc(f"SELECT \"column\", value, CAST(dense_rank() OVER (PARTITION BY \"column\" ORDER BY value) - 1 AS INTEGER) AS code FROM ({parts})")
@@ -469,6 +510,10 @@ def oracle_sql() -> dict[str, str]:
         "q_box": _box(),
         "q_hist": _hist(),
         "q_kde": _kde(),
+        "q_skew_hist": _skew_hist(),
+        "q_skew_kde": _skew_kde(),
+        "q_csv_source": _csv_source(),
+        "q_set_compare": _set_compare(),
         "q_label_encode": _label_encode(),
         "q_features": _features(),
         "q_split": _split(),

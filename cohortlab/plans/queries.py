@@ -10,19 +10,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlab.functions.columns import band
 from cohortlab.operators import encode, moments, profile, quality, rates, sampling
+from cohortlab.operators.joins import compare_sets
 from cohortlab.plans.pipeline import pipeline
 from cohortlab.roles import (
     BAND_CORR_PAIR,
     BAND_CORR_TARGET,
+    BAND_MISSING_PCT,
+    BAND_RATE,
     ENTITY,
     ENTITY_CORR_COLUMNS,
     SPLIT_SEED,
     TEST_FRACTION,
 )
+from cohortlab.session import scratch_path
 from cohortlab.sources.fixtures import document_view, event_values
-from cohortlab.sources.tables import shape_report
+from cohortlab.sources.tables import read_entities, read_table, shape_report
 
 R = ENTITY
 NUM = list(R.numeric)
@@ -52,7 +58,7 @@ def q_dropped(spark, sf):
 
 
 def q_missing(spark, sf):
-    return quality.missing_report(pipeline(spark, sf).raw)
+    return quality.missing_report(pipeline(spark, sf).raw).withColumn("band", band("missing_pct", BAND_MISSING_PCT))
 
 
 def q_value_counts(spark, sf):
@@ -113,7 +119,7 @@ def q_intercorr(spark, sf):
 def q_rate_by(spark, sf):
     c = pipeline(spark, sf).clean
     parts = [rates.rate_by(c, by, R.target).select(F.lit(by).alias("by_column"), "*") for by in ("department", "emp_type")]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).withColumn("band", band("rate_pct", BAND_RATE))
 
 
 def q_rate_extremes(spark, sf):
@@ -150,6 +156,47 @@ def q_kde(spark, sf):
     return k.select(F.col("point").cast("int").alias("point"), r6("x").alias("x"), F.round("density", 12).alias("density"))
 
 
+def _top_skewed(spark, sf) -> list[str]:
+    report = profile.skew_report(profile.skewness(pipeline(spark, sf).clean, NUM))
+    return [r["column"] for r in report.where("top").orderBy("column").collect()]  # three names
+
+
+def q_skew_hist(spark, sf):
+    """Histograms of the three most skewed columns."""
+    h = profile.histograms(pipeline(spark, sf).clean, _top_skewed(spark, sf), 30)
+    return h.select("column", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
+
+
+def q_skew_kde(spark, sf):
+    """Densities of the three most skewed columns."""
+    k = profile.kdes(pipeline(spark, sf).clean, _top_skewed(spark, sf), 200)
+    return k.select("column", "point", r6("x").alias("x"), F.round("density", 12).alias("density"))
+
+
+def q_csv_source(spark, sf):
+    """Orders written as CSV lines, some with NA tokens, a malformed price or a field too many, and read back with a declared schema."""
+    o = read_table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    lines = o.select(F.concat_ws(
+        ",", key.cast("string"), F.when(key % 7 == 0, "N/A").when(key % 11 == 0, "12,5x").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
+        F.when(key % 13 == 0, "").otherwise(F.col("o_orderstatus")), F.when(key % 100 == 3, "one field too many")).alias("value"))
+    path = scratch_path(spark, "orders-csv")
+    lines.write.text(path)
+    schema = T.StructType.fromDDL("o_orderkey long, price double, status string")
+    return read_entities(spark, path, schema, header=False, corrupt="malformed")
+
+
+def q_set_compare(spark, sf):
+    """Column names of customers and suppliers, and the parts of returned and of kept items: shared or only on one side."""
+    def names(table, prefix):
+        return spark.createDataFrame([("column", c.removeprefix(prefix)) for c in read_table(spark, sf, table).columns], "kind string, name string")
+
+    items = read_table(spark, sf, "lineitem").select(F.lit("part").alias("kind"), F.col("l_partkey").cast("string").alias("name"), "l_returnflag")
+    left = names("customer", "c_").unionByName(items.where("l_returnflag = 'R'").drop("l_returnflag"))
+    right = names("supplier", "s_").unionByName(items.where("l_returnflag <> 'R'").drop("l_returnflag"))
+    return compare_sets(left, right, "shared", "left only", "right only")
+
+
 def q_label_encode(spark, sf):
     return pipeline(spark, sf).dictionary
 
@@ -228,6 +275,10 @@ QUERIES = {
     "q_box": q_box,
     "q_hist": q_hist,
     "q_kde": q_kde,
+    "q_skew_hist": q_skew_hist,
+    "q_skew_kde": q_skew_kde,
+    "q_csv_source": q_csv_source,
+    "q_set_compare": q_set_compare,
     "q_label_encode": q_label_encode,
     "q_features": q_features,
     "q_split": q_split,

@@ -75,6 +75,16 @@ BAND_SEGMENT_RATE = ((60.0, "high"), (40.0, "moderate"), (None, "low"))
 BAND_VIF = ((10.0, "High"), (5.0, "Moderate"), (None, "Low"))  # inclusive bounds
 BAND_SHRINKAGE = ((1000.0, "high"), (100.0, "moderate"), (None, "low"))
 R2_GAP_LIMIT = 0.05
+# Engineered features: name -> (numerator, denominator, offset of the denominator, floor).
+ENGINEERED = {
+    "salary_per_tenure": ("gross", "tenure", 1.0, None),
+    "overtime_to_satisfaction_ratio": ("qty", "tax", 1.0, None),
+    "promotion_rate": ("n_lines", "tenure", 1.0, None),
+    "absence_to_tenure_ratio": ("supps", "tenure", 1.0, None),
+}
+TARGET_DERIVED = ("salary_per_tenure",)  # made from the regression target
+NOT_SUITABLE = "Not suitable, chaining detected"
+SUITABLE = "Suitable"
 P_SIGNIFICANT = 0.05
 DEPTH_GAP_BANDS = ((0.05, "high"), (0.02, "moderate"), (None, "low"))
 SILHOUETTE_GOOD = 0.15

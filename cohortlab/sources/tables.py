@@ -30,12 +30,20 @@ def read_entities(
     schema: T.StructType,
     fmt: str = "csv",
     na_tokens: tuple[str, ...] = DEFAULT_NA_TOKENS,
+    header: bool = True,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """Read an entity table with a declared schema (never inferred)."""
+    """Read an entity table with a declared schema (never inferred).
+
+    A cell that can't be cast is NULL.  ``corrupt`` names a boolean column: the line has more or fewer fields than the schema; it
+    is read as far as it goes.
+    """
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     raw_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.schema(raw_schema).option("header", "true").option("mode", "PERMISSIVE").csv(path)
+    if corrupt:
+        raw_schema = raw_schema.add("_corrupt_line", T.StringType())
+    raw = spark.read.schema(raw_schema).options(header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_line").csv(path)
     tokens = list(na_tokens)
     cols = []
     for f in schema.fields:
@@ -44,6 +52,8 @@ def read_entities(
         if not isinstance(f.dataType, T.StringType):
             c = F.try_cast(c, f.dataType.simpleString()) if hasattr(F, "try_cast") else c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
+    if corrupt:
+        cols.append(F.col("_corrupt_line").isNotNull().alias(corrupt))
     out = raw.select(*cols)
     # NaN is not NULL in Spark: normalise floating NaN to NULL at the source.
     for f in schema.fields:

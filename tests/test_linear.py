@@ -80,3 +80,21 @@ def test_sse_from_moments_equals_direct(spark):
     assert math.isclose(linear.sse(g, fit), float(((y - pred) ** 2).sum()), rel_tol=1e-8)
     got = df.select(fit.predict_column().alias("p")).toPandas()["p"].to_numpy()
     assert np.allclose(got, pred)
+
+
+def test_rank_deficient_features_get_the_minimum_norm_solution(spark):
+    rng = np.random.default_rng(12)
+    x, z, k = rng.normal(size=400) * 3 + 5, rng.normal(size=400) * 100, np.full(400, 4.0)
+    y = 2 * x - z + 7 + rng.normal(scale=0.1, size=400)
+    X = np.column_stack([x, z, 0.1 * x + 0.7 * z, k])
+    df = spark.createDataFrame(pd.DataFrame(X, columns=["x", "z", "w", "k"]).assign(y=y))
+    g = moments.gram(df, ["x", "z", "w", "k"], "y")[None]
+    fit = linear.ols(g)
+    want = np.linalg.lstsq(X - X.mean(0), y - y.mean(), rcond=None)[0]
+    assert np.allclose(fit.coef, want, atol=1e-6) and fit.coef[3] == 0
+    assert abs(fit.intercept - (y.mean() - X.mean(0) @ want)) < 1e-4
+    rows = {r["feature"]: r for r in linear.ols_inference(g)}
+    C = X[:, :3] - X[:, :3].mean(0)
+    rss = float(((y - y.mean() - C @ want[:3]) ** 2).sum())
+    se = np.sqrt(np.diag(np.linalg.pinv(C.T @ C)) * rss / (400 - 2 - 1))  # rank 2
+    assert np.allclose([rows[c]["se"] for c in "xzw"], se, rtol=1e-4)
