@@ -17,7 +17,7 @@ from cohortlab.functions.columns import band, below_band, ratio_feature
 from cohortlab.operators import cells, linear, moments, profile, rates, segments, tree
 from cohortlab.operators.joins import compare_sets, in_set, left_lookup, mark_membership
 from cohortlab.plans import oracle as O
-from cohortlab.plans import tree_oracle
+from cohortlab.plans import linear_oracle, tree_oracle
 from cohortlab.plans.pipeline import pipeline
 from cohortlab.roles import (
     ALPHA_GRID,
@@ -70,7 +70,7 @@ def _r(x, nd=6):
 # ============================================================ regression
 def q_ols(spark, sf):
     fit = pipeline(spark, sf).ols
-    rows = [("const", _r(fit.intercept))] + [(f, _r(c)) for f, c in zip(fit.features, fit.coef)]
+    rows = [("const", _r(fit.intercept, 4))] + [(f, _r(c, 4)) for f, c in zip(fit.features, fit.coef)]
     return _rows(spark, rows, "feature string, coef double")
 
 
@@ -88,7 +88,7 @@ def q_reg_metrics(spark, sf):
 
 def q_ols_inference(spark, sf):
     rows = linear.ols_inference(pipeline(spark, sf).train_gram)
-    return _rows(spark, [(r["feature"], _r(r["coef"]), _r(r["se"]), _r(r["t"]), _r(r["p"], 9), r["p"] < P_SIGNIFICANT) for r in rows],
+    return _rows(spark, [(r["feature"], _r(r["coef"], 4), _r(r["se"], 4), _r(r["t"]), _r(r["p"], 9), r["p"] < P_SIGNIFICANT) for r in rows],
                  "feature string, coef double, se double, t double, p double, significant boolean")
 
 
@@ -130,9 +130,9 @@ def q_remedy(spark, sf):
     inflation = _rows(spark, [(r["feature"], _r(r["vif"])) for r in linear.vif(g2)], "feature string, vif_after double")
     status = compare_sets(before.select("feature"), after.select("feature"))
     out = status.join(before, "feature", "left").join(after, "feature", "left").join(inflation, "feature", "left")
-    r6 = {c: F.round(c, 6) for c in ("coef_before", "coef_after", "se_before", "se_after")}
+    r4 = {c: F.round(c, 4) for c in ("coef_before", "coef_after", "se_before", "se_after")}
     return out.select(
-        "feature", "status", *(v.alias(c) for c, v in r6.items()), F.round(F.col("se_after") - F.col("se_before"), 6).alias("se_delta"),
+        "feature", "status", *(v.alias(c) for c, v in r4.items()), F.round(F.col("se_after") - F.col("se_before"), 4).alias("se_delta"),
         F.round("p_before", 9).alias("p_before"), F.round("p_after", 9).alias("p_after"), "vif_after",
         F.lit(_r(r2b)).alias("r2_before"), F.lit(_r(r2a)).alias("r2_after"), F.lit(_r(r2a - r2b)).alias("r2_delta"))
 
@@ -847,6 +847,7 @@ def _rule_cohorts_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         **tree_oracle.oracle_sql(EXACT_FEATURES),
+        **linear_oracle.oracle_sql(),
         "q_rule_cohorts": _rule_cohorts_sql(),
         "q_vif_2f": _vif_2f_sql(),
         "q_ols_2f": _ols_2f_sql(),
