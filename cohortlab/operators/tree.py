@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from cohortlab.session import scratch_path
 
-LOCAL_ROWS = 50_000
-BLOCK = 6
+LOCAL_ROWS = 200_000
+BLOCK = 8
 CHAIN = 4
 NODES = "node string, n long, s long, feature int, threshold double, decrease double"
 

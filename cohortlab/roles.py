@@ -106,7 +106,7 @@ TEST_FRACTION = 0.3
 SPLIT_SEED = 42
 SAMPLE_SIZE = 300
 NUM_CLUSTERS = 3
-NUM_CELLS = 400  # cells of the linkage; they hold all rows
+NUM_CELLS = 300  # weighted cells of the linkage; they hold all rows
 SILHOUETTE_CELLS = 4096
 NEIGHBOUR_RADIUS = 0.35
 PRUNED_DEPTH = 4
