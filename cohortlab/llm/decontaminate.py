@@ -6,7 +6,7 @@ more edits (the last of each ends with the item; a shorter item is one segment).
 segment of m characters occurs in a text with at most k edits, the two share at least
 m - q + 1 - k*q of their character q-grams, and these lie on diagonals (text position
 minus segment position) no more than k apart; k is at most (m - q) / q, so that at least
-one is shared.  Shared q-grams are counted in overlapping bands of diagonals, first per item, then
+one is shared.  Items whose k a q of 9 doesn't cut get that, for fewer chance hits, the others 8.  Shared q-grams are counted in overlapping bands of diagonals, first per item, then
 in the bands that are left per segment; bands that reach the bound are kept and their
 regions aligned within the band.  No pair of a text and a segment is looked
 at unless its q-grams meet.
@@ -21,7 +21,7 @@ block's q-gram index is broadcast, and every text is streamed past it whole.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import column, map_frames, mix64, small_batches
 
 SCHEMA = "doc_id long, item_id long, segments long, matched long, edits long, start long, end long"
+FOUND = "id long, absent boolean, text_key long, item_id long, segments long, matched long, edits long, start long, end long"
 
 
 @dataclass(frozen=True)
 class LeakParams:
+    #: Length of the q-grams, and of those of items to which a greater length leaves all the edits that their shares allow.
     q: int = 8
+    long_q: int = 9
     segment: int = 100
     fragment: int = 50
     #: Characters from one fragment to the next: at most twice the edits allowed in one.
@@ -79,6 +82,25 @@ def segments_of(length: int, size: int, stride: int) -> list[tuple[int, int]]:
     return [(s, s + size) for s in starts]
 
 
+def cuts_of(length: int, params: LeakParams) -> list[tuple[int, int]]:
+    return sorted({*segments_of(length, params.segment, params.segment // 4), *segments_of(length, params.fragment, params.stride)})
+
+
+def _edits(m: int, params: LeakParams) -> int:
+    """Edits that a segment of m characters may have by its share."""
+    return int((params.fragment_share if m <= params.fragment else params.edit_share) * m)
+
+
+def by_q(items: list[tuple[int, str]], params: LeakParams) -> list["GramIndex"]:
+    """One index of the items to which ``long_q`` leaves all their edits, one with ``q`` of the rest."""
+    def whole(text: str) -> bool:
+        return all(_edits(b - a, params) <= (b - a - params.long_q) // params.long_q for a, b in cuts_of(len(normalized(text)), params))
+
+    parts = [[x for x in items if whole(x[1])], [x for x in items if not whole(x[1])]]
+    made = [GramIndex(part, replace(params, q=q)) for part, q in zip(parts, (params.long_q, params.q))]
+    return [index for index in made if len(index.grams)]
+
+
 class GramIndex:
     """Sorted q-grams of a block's items with their postings, and the items' segments."""
 
@@ -92,12 +114,11 @@ class GramIndex:
             text = normalized(text)
             if len(text) < max(q, params.least_chars):
                 continue
-            cuts = sorted({*segments_of(len(text), params.segment, params.segment // 4), *segments_of(len(text), params.fragment, params.stride)})
+            cuts = cuts_of(len(text), params)
             first, n = len(self.items), len(text) - q + 1
             over = [[] for _ in range(n)]  # the segments that hold the gram at each place
             for a, b in cuts:
-                share = params.fragment_share if b - a <= params.fragment else params.edit_share
-                k = max(0, min(int(share * (b - a)), (b - a - q) // q))
+                k = max(0, min(_edits(b - a, params), (b - a - q) // q))
                 for x in range(a, b - q + 1):
                     over[x].append(len(self.items))
                 self.items.append(item_id)
@@ -244,17 +265,19 @@ def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> li
 
 
 def _scanner(parts):
-    """``parts``: the broadcast attributes of a GramIndex."""
+    """``parts``: the broadcast attributes of the block's indexes."""
     state: list = []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame | None:
         if not state:
-            index = GramIndex.__new__(GramIndex)
-            index.__dict__.update(parts.value, params=LeakParams(**parts.value["params"]))
-            state.extend((index, index.lookup_table()))
+            for attributes in parts.value:
+                index = GramIndex.__new__(GramIndex)
+                index.__dict__.update(attributes, params=LeakParams(**attributes["params"]))
+                state.append((index, index.lookup_table()))
         texts = [normalized(t) for t in pdf["text"]]
-        rows = _find(*state, pdf["doc_id"].tolist(), texts)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]) if rows else None
+        keys = list(zip(pdf["id"].tolist(), pdf["absent"].tolist(), pdf["text_key"].tolist()))
+        rows = [(*keys[d], *rest) for index, seen in state for d, *rest in _find(index, seen, range(len(texts)), texts)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]) if rows else None
 
     return run
 
@@ -265,35 +288,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
 
     Null and empty texts match nothing; items under least_chars or q characters (after normalizing), null
     items and rows with a null item_id aren't searched for; repeated items or rows give
-    repeated results.  Rows with a null doc_id are left out (there is nothing to report them by).
+    repeated results.  Rows with a null doc_id are searched like others and reported with a null.
     Empty tables give an empty result.  Other columns are ignored.
     """
+    found = _found(docs, benchmark, params)
+    return found.select(F.when(~F.col("absent"), F.col("id")).alias("doc_id"), *(c.split()[0] for c in SCHEMA.split(", ")[1:]))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, params: LeakParams) -> DataFrame:
+    """The leaks with the keys of their rows: id (0 where absent), absent and a hash of the text."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(column("doc_id").cast("long").alias("doc_id"), column("text").alias("text")).where(
-        "doc_id is not null and text is not null"
+    key = column("doc_id").cast("long")
+    texts = docs.where(column("text").isNotNull()).select(
+        F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("absent"), F.xxhash64(column("text")).alias("text_key"), column("text").alias("text")
     )
     items = benchmark.select(column("item_id").cast("long").alias("item_id"), column("text").alias("text")).where(
         "item_id is not null and text is not null"
     )
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // params.block_chars)
-    out = spark.createDataFrame([], SCHEMA)
+    out = spark.createDataFrame([], FOUND)
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         block = mine.dropDuplicates().toPandas().sort_values(["item_id", "text"])
-        index = GramIndex(list(zip(block["item_id"].tolist(), block["text"], strict=True)), params)
-        if len(index.grams):
-            parts = spark.sparkContext.broadcast({**index.__dict__, "params": asdict(params)})
-            out = out.unionByName(map_frames(texts, _scanner(parts), SCHEMA))
+        indexes = by_q(list(zip(block["item_id"].tolist(), block["text"], strict=True)), params)
+        if indexes:
+            parts = spark.sparkContext.broadcast([{**index.__dict__, "params": asdict(index.params)} for index in indexes])
+            out = out.unionByName(map_frames(texts, _scanner(parts), FOUND))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, all columns unchanged.
 
-    Rows with a null doc_id can't be named as leaks and stay.
+    A row goes by its id (or its lack of one) and its text, so null ids are cleaned like others.
     """
-    found = leaks(docs, benchmark, params).select(F.col("doc_id").alias("leaked_id")).distinct()
+    found = _found(docs, benchmark, params).select("id", "absent", "text_key").distinct()
     key = column("doc_id").cast("long")
-    return docs.join(found, key == F.col("leaked_id"), "left_anti")
+    on = (F.coalesce(key, F.lit(0)) == F.col("id")) & (key.isNull() == F.col("absent")) & (F.xxhash64(column("text")) == F.col("text_key"))
+    return docs.join(found, on, "left_anti")

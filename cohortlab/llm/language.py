@@ -279,26 +279,22 @@ def _identified(texts: list[str | None], model: LanguageModel, switch: float) ->
     """(language, score, spans) of each text."""
     if not model.languages:
         return [(UNKNOWN, 0.0, [])] * len(texts)
-    words: dict[str, list[int]] = {}
+    found = [LETTERS.findall(value) if value else [] for value in texts]
+    token, tokens_ = pd.factorize(np.array([t for tokens in found for t in tokens], dtype=object))
     known: dict[tuple[str, str], int] = {}
-    codes, sizes, found = [], [], []
-    for value in texts:
-        tokens = LETTERS.findall(value) if value else []
-        mine: list[int] = []
-        for token in tokens:
-            split = words.get(token)
-            if split is None:
-                split = words[token] = [known.setdefault((p, s), len(known)) for _, p, s in pieces(token)]
-            mine += split
-        codes += mine
-        sizes.append(len(mine))
-        found.append(tokens)
+    split = [[known.setdefault((p, s), len(known)) for _, p, s in pieces(t)] for t in tokens_]
+    many = np.fromiter(map(len, split), np.int64, len(split))
+    flat = np.array([k for ks in split for k in ks], np.int64)
+    # the pieces of every token in text order
+    each = many[token]
+    codes_ = flat[np.repeat((np.cumsum(many) - many)[token] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+    ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum([len(tokens) for tokens in found], dtype=np.int64)))]
+    sizes_ = np.diff(ends)
     table = model.scores(list(known))
     letters = np.array([len(p) for p, _ in known] or [0])
-    codes_, sizes_ = np.array(codes, np.int64), np.array(sizes, np.int64)
     label = best_languages(codes_, sizes_, table, model.prior, switch)
     out, at = [], 0
-    for value, size, tokens in zip(texts, sizes, found):
+    for value, size, tokens in zip(texts, sizes_.tolist(), found):
         if not size:
             out.append((UNKNOWN, 0.0, []))
             continue

@@ -146,7 +146,8 @@ def _lexicon(counts: DataFrame, bad: str, good: str, params: QualityParams) -> d
 def fit_evidence(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> Evidence:
     """Fit on at most ``fit_rows`` labelled documents.
 
-    Null labels and labels of unknown documents are left out.  Without labels every document has the
+    Null labels and labels of unknown documents are left out.  A document's labels are taken by majority (a tie counts as low
+    quality and as toxic), and of rows with its id the smallest text, so the order of rows doesn't matter.  Without labels every document has the
     evidence 0.5 and nothing is rejected; with one class only, that class's smoothed rate.
     """
     small_batches(docs.sparkSession)
@@ -155,12 +156,14 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, params: QualityParams = Qua
             column("doc_id").cast("long").alias("label_id"), column("quality").cast("int").alias("quality"), column("toxic").cast("int").alias("toxic")
         )
         .where("label_id is not null and quality is not null and toxic is not null")
-        .dropDuplicates(["label_id"])
+        .groupBy("label_id")
+        .agg((F.avg("quality") > 0.5).cast("int").alias("quality"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(params.fit_rows)
     )
     texts = docs.select(column("doc_id").cast("long").alias("label_id"), column("text").alias("text"))
-    sample = texts.join(F.broadcast(some), "label_id").where("text is not null").withColumn("half", F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(2)))
+    labelled = texts.join(F.broadcast(some), "label_id").where("text is not null")
+    sample = labelled.groupBy("label_id", "quality", "toxic").agg(F.min("text").alias("text")).withColumn("half", F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(2)))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame | None:
         rows = [
@@ -168,7 +171,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, params: QualityParams = Qua
         ]
         return pd.DataFrame(rows, columns=["term", "toxic", "half"]).groupby(["term", "toxic", "half"], as_index=False).size() if rows else None
 
-    once = sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "toxic"]).select("text", "toxic", "half")
+    once = sample.withColumn("same", F.xxhash64("text")).groupBy("same", "toxic").agg(F.min("text").alias("text"), F.min("half").alias("half")).select("text", "toxic", "half")
     counts = map_frames(once, count, "term string, toxic int, half int, size long").groupBy("term").agg(*(
         F.sum(F.when((F.col("toxic") == y) & (F.col("half") == h), F.col("size")).otherwise(0)).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)
     ))

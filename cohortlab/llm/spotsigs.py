@@ -7,7 +7,7 @@ anchor, one without words its own hash.  Two fingerprints are compared by Jaccar
 their lengths alone bound it under ``prune``, they aren't intersected and count as 0.
 
 DataFrame functions only.  A document's successor comes from a window over slices of
-the id range; only the first document of each slice is looked up by its predecessor slice.
+the ids; only the first document of each slice is looked up by its predecessor slice.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from cohortlab.llm.common import column
 from cohortlab.llm.quality import STOP_WORDS
 
 
+QUANTILES = 64
+
+
 @dataclass(frozen=True)
 class SpotParams:
     chain: int = 2
@@ -87,15 +90,23 @@ def likeness(a: Column, b: Column, prune: float) -> Column:
 def with_next(docs: DataFrame, params: SpotParams = SpotParams()) -> DataFrame:
     """doc_id, text, sigs, next_text, next_sigs: each row with its successor by doc_id (after the last: the first).
 
-    Rows with equal ids follow each other in the order of their texts; null ids come last.  The id range is cut into
-    equal slices; very uneven ids make uneven slices, which spill but change nothing else.
+    Rows with equal ids follow each other in the order of their texts; null ids come last.  Ids are cut into slices
+    at their quantiles, and between two quantiles into equal parts, so far or uneven ids don't make a slice large; only the rows of one
+    id (or none) stay together, and spill if they are many.
     """
     base = docs.select(column("doc_id").cast("long").alias("doc_id"), F.coalesce(column("text"), F.lit("")).alias("text"))
-    span = base.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    slices = max(1, span["n"] // params.slice_rows)
-    width = max(1, -(-(hi - lo + 1) // slices))
-    sliced = base.withColumn("slice", F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(slices + 1)).cast("long"))
+    span = base.agg(
+        F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES)], 100 * QUANTILES).alias("cuts")
+    ).first()
+    cuts = sorted({*(span["cuts"] or [0])})
+    parts = max(1, -(-span["n"] // (params.slice_rows * len(cuts))))
+    ends = [*cuts[1:], span["hi"] or 0]
+    # number of the last cut at or below the id, then the part of the way to the next cut (in doubles: no overflow, order kept)
+    number = F.greatest(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) - 1, F.lit(0))
+    low, high = (F.get(F.lit([float(x) for x in xs]), number) for xs in (cuts, ends))
+    share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
+    sliced = base.withColumn("slice", F.when(F.col("doc_id").isNotNull(), number * parts + part).otherwise(F.lit((len(cuts) + 1) * parts)).cast("long"))
     order = [F.asc_nulls_last("doc_id"), F.asc("text")]
     rows = sliced.withColumn("sigs", signatures(F.col("text"), params))
     rows = rows.withColumn("after", F.lead(F.struct("text", "sigs")).over(Window.partitionBy("slice").orderBy(*order)))
