@@ -6,7 +6,7 @@ more edits (the last of each ends with the item; a shorter item is one segment).
 segment of m characters occurs in a text with at most k edits, the two share at least
 m - q + 1 - k*q of their character q-grams, and these lie on diagonals (text position
 minus segment position) no more than k apart; k is at most (m - q) / q, so that at least
-one is shared.  Items whose k a q of 9 doesn't cut get that, for fewer chance hits, the others 8.  Shared q-grams are counted in overlapping bands of diagonals, first per item, then
+one is shared.  Shared q-grams are counted in overlapping bands of diagonals, first per item, then
 in the bands that are left per segment; bands that reach the bound are kept and their
 regions aligned within the band.  No pair of a text and a segment is looked
 at unless its q-grams meet.
@@ -21,7 +21,7 @@ block's q-gram index is broadcast, and every text is streamed past it whole.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,9 +36,7 @@ FOUND = "id long, absent boolean, text_key long, item_id long, segments long, ma
 
 @dataclass(frozen=True)
 class LeakParams:
-    #: Length of the q-grams, and of those of items to which a greater length leaves all the edits that their shares allow.
     q: int = 8
-    long_q: int = 9
     segment: int = 100
     fragment: int = 50
     #: Characters from one fragment to the next: at most twice the edits allowed in one.
@@ -91,16 +89,6 @@ def _edits(m: int, params: LeakParams) -> int:
     return int((params.fragment_share if m <= params.fragment else params.edit_share) * m)
 
 
-def by_q(items: list[tuple[int, str]], params: LeakParams) -> list["GramIndex"]:
-    """One index of the items to which ``long_q`` leaves all their edits, one with ``q`` of the rest."""
-    def whole(text: str) -> bool:
-        return all(_edits(b - a, params) <= (b - a - params.long_q) // params.long_q for a, b in cuts_of(len(normalized(text)), params))
-
-    parts = [[x for x in items if whole(x[1])], [x for x in items if not whole(x[1])]]
-    made = [GramIndex(part, replace(params, q=q)) for part, q in zip(parts, (params.long_q, params.q))]
-    return [index for index in made if len(index.grams)]
-
-
 class GramIndex:
     """Sorted q-grams of a block's items with their postings, and the items' segments."""
 
@@ -265,18 +253,17 @@ def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> li
 
 
 def _scanner(parts):
-    """``parts``: the broadcast attributes of the block's indexes."""
+    """``parts``: the broadcast attributes of a GramIndex."""
     state: list = []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame | None:
         if not state:
-            for attributes in parts.value:
-                index = GramIndex.__new__(GramIndex)
-                index.__dict__.update(attributes, params=LeakParams(**attributes["params"]))
-                state.append((index, index.lookup_table()))
+            index = GramIndex.__new__(GramIndex)
+            index.__dict__.update(parts.value, params=LeakParams(**parts.value["params"]))
+            state.extend((index, index.lookup_table()))
         texts = [normalized(t) for t in pdf["text"]]
         keys = list(zip(pdf["id"].tolist(), pdf["absent"].tolist(), pdf["text_key"].tolist()))
-        rows = [(*keys[d], *rest) for index, seen in state for d, *rest in _find(index, seen, range(len(texts)), texts)]
+        rows = [(*keys[d], *rest) for d, *rest in _find(*state, range(len(texts)), texts)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]) if rows else None
 
     return run
@@ -312,9 +299,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, params: LeakParams) -> DataFra
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         block = mine.dropDuplicates().toPandas().sort_values(["item_id", "text"])
-        indexes = by_q(list(zip(block["item_id"].tolist(), block["text"], strict=True)), params)
-        if indexes:
-            parts = spark.sparkContext.broadcast([{**index.__dict__, "params": asdict(index.params)} for index in indexes])
+        index = GramIndex(list(zip(block["item_id"].tolist(), block["text"], strict=True)), params)
+        if len(index.grams):
+            parts = spark.sparkContext.broadcast({**index.__dict__, "params": asdict(params)})
             out = out.unionByName(map_frames(texts, _scanner(parts), FOUND))
     return out
 
