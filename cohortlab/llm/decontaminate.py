@@ -7,9 +7,9 @@ segment of m characters occurs in a text with at most k edits, the two share at
 m - q + 1 - k*q of their character q-grams, and these lie on diagonals (text position
 minus segment position) no more than k apart; k is at most (m - q) / q, so that at least
 one is shared.  Shared q-grams are counted in overlapping bands of diagonals, first per item, then
-in the bands that are left per segment; bands that reach the bound are kept and their
-regions aligned within the band.  No pair of a text and a segment is looked
-at unless its q-grams meet.
+in the bands that are left per segment; regions of bands that reach the bound must also hold the
+m - 2 - 3*k 3-grams that the lemma asks for (few chance hits do), and what is left is aligned within the band.  No pair
+of a text and a segment is looked at unless its q-grams meet.
 
 So any verbatim part of an item of ``fragment`` characters is found wherever it starts (the next segment of
 that length is at most half a ``stride`` off, which its edits cover), and any segment with edits up to
@@ -34,6 +34,10 @@ SCHEMA = "doc_id long, item_id long, segments long, matched long, edits long, st
 FOUND = "id long, absent boolean, text_key long, item_id long, segments long, matched long, edits long, start long, end long"
 
 
+#: Cells that 3-grams are folded into when regions are checked.
+CELLS = 4096
+
+
 @dataclass(frozen=True)
 class LeakParams:
     q: int = 8
@@ -73,6 +77,12 @@ def _grams(units: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def _cells(units: np.ndarray) -> np.ndarray:
+    """A cell of 0..CELLS-1 for the 3-gram at each place of a byte array; sharing a cell can only add 3-grams, not lose one."""
+    u = np.concatenate([units, np.zeros(2, np.uint8)]).astype(np.uint32)
+    return ((u[:-2] * np.uint32(961) + u[1:-1] * np.uint32(31) + u[2:]) % np.uint32(CELLS)).astype(np.int16)
+
+
 def segments_of(length: int, size: int, stride: int) -> list[tuple[int, int]]:
     if length <= size:
         return [(0, length)]
@@ -96,6 +106,7 @@ class GramIndex:
         self.params = params
         self.items, self.texts, self.budget, self.bound, self.total, self.start = [], [], [], [], [], []
         self.longest, self.item_bound = 0, []
+        self.cell_at, cells, behind = [], [], 0
         grams, owner, place, cover, many = [], [], [], [], []
         q = params.q
         for item_id, text in items:
@@ -115,7 +126,11 @@ class GramIndex:
                 self.bound.append(b - a - q + 1 - k * q)
                 self.total.append(len(cuts))
                 self.start.append(a)
-            grams.append(_grams(np.concatenate([_units(text), np.zeros(16, np.uint8)]), q)[:n])
+                self.cell_at.append(behind + a)
+            units = _units(text)
+            cells.append(_cells(units))
+            behind += len(units)
+            grams.append(_grams(np.concatenate([units, np.zeros(16, np.uint8)]), q)[:n])
             owner.append(np.full(n, len(self.item_bound)))
             place.append(np.arange(n))
             many += map(len, over)
@@ -133,6 +148,9 @@ class GramIndex:
         self.width = max([1, *self.budget]) + 1
         self.bound, self.start = np.array(self.bound, dtype=np.int64), np.array(self.start, dtype=np.int64)
         self.item_bound = np.array(self.item_bound, dtype=np.int64)
+        self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.budget, self.cell_at = np.array(self.budget, dtype=np.int64), np.array(self.cell_at, dtype=np.int64)
+        self.cells = np.concatenate(cells) if cells else np.zeros(0, np.int16)
 
     def lookup_table(self) -> np.ndarray:
         seen = np.zeros(1 << self.bits, dtype=bool)
@@ -175,6 +193,25 @@ def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _hold(index: GramIndex, segment: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which regions hold as many of their segment's 3-grams as a copy within its budget must."""
+    out = np.zeros(len(segment), dtype=bool)
+    rows = np.arange(512)[:, None]
+    for i in range(0, len(segment), 512):
+        o, a, z = segment[i : i + 512], low[i : i + 512, None], high[i : i + 512, None]
+        n, wide = len(o), int((z - a).max())
+        # one column behind the cells takes what lies outside a region, another is never set
+        here = np.zeros((n, CELLS + 2), dtype=bool)
+        at = a + np.arange(wide)
+        here[rows[:n], np.where(at < z, cells[np.minimum(at, len(cells) - 1)], CELLS)] = True
+        step = np.arange(int(index.size[o].max()) - 2)
+        inside = step < index.size[o][:, None] - 2
+        mine = index.cells[np.minimum(index.cell_at[o][:, None] + step, len(index.cells) - 1)]
+        shared = here[rows[:n], np.where(inside, mine, CELLS + 1)].sum(axis=1)
+        out[i : i + 512] = shared >= index.size[o] - 2 - 3 * index.budget[o]
+    return out
+
+
 def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> list[tuple]:
     q, gap = index.params.q, 4 * index.width + 16
     parts, starts, at = [], [], 0
@@ -184,7 +221,8 @@ def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> li
         parts += [u, np.zeros(gap, np.uint8)]
         at += len(u) + gap
     starts = np.array(starts, dtype=np.int64)
-    grams = _grams(np.concatenate([*parts, np.zeros(16, np.uint8)]), q)
+    units = np.concatenate([*parts, np.zeros(16, np.uint8)])
+    grams = _grams(units, q)
     where = np.flatnonzero(seen[grams >> np.uint64(64 - index.bits)])
     which = np.searchsorted(index.grams, grams[where])
     which[which == len(index.grams)] = 0
@@ -217,15 +255,15 @@ def _find(index: GramIndex, seen: np.ndarray, ids: list, texts: list[str]) -> li
     keys, counts = np.unique(key, return_counts=True)
     owner, band = keys // span, keys % span
     good = counts >= index.bound[owner]
-    found = []
-    for o, b in zip(owner[good].tolist(), band[good].tolist(), strict=True):
-        low = b * width - base + int(index.start[o])
-        doc = int(np.searchsorted(starts, max(0, low + 3 * width), side="right") - 1)
-        low -= int(starts[doc])
-        text = texts[doc]
-        k = index.budget[o]
-        a = max(0, low - k)
-        found.append((doc, o, a, text[a : max(0, low) + 2 * width + len(index.texts[o]) + k]))
+    owner, low = owner[good], band[good] * width - base + index.start[owner[good]]
+    docs = np.maximum(np.searchsorted(starts, np.maximum(low + 3 * width, 0), side="right") - 1, 0)
+    low, k = low - starts[docs], index.budget[owner]
+    first, last = np.maximum(low - k, 0), np.maximum(low, 0) + 2 * width + index.size[owner] + k
+    held = _hold(index, owner, _cells(units), starts[docs] + first, starts[docs] + last)
+    found = [
+        (d, o, a, texts[d][a:z])
+        for d, o, a, z in zip(docs[held].tolist(), owner[held].tolist(), first[held].tolist(), last[held].tolist(), strict=True)
+    ]
     if not found:
         return []
     exact = [(d, o, a + r.find(index.texts[o]), 0, len(index.texts[o])) for d, o, a, r in found if index.texts[o] in r]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cohortlab.llm import decontaminate as D
@@ -52,3 +53,24 @@ def test_every_segment_has_a_bound_that_filters():
     index = D.GramIndex([(n, prose(n, n)) for n in (12, 15, 20, 33, 50, 51, 81, 100, 101, 394)], D.LeakParams())
     assert index.bound.min() >= 1
     assert all(len(t) - 7 - 8 * k == b for t, k, b in zip(index.texts, index.budget, index.bound, strict=True))
+
+
+def test_regions_with_a_copy_within_its_budget_are_never_dropped_before_the_alignment():
+    rng = random.Random(11)
+    items = [prose(n, n) for n in (12, 33, 50, 100, 233)]
+    index = D.GramIndex(list(enumerate(items)), D.LeakParams())
+    segments, regions = [], []
+    for o, text in enumerate(index.texts):
+        copy = list(text)
+        for _ in range(int(index.budget[o])):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = rng.choice(["", "#", "\U0001f600"])
+        segments.append(o)
+        regions.append(prose(o, 15) + "".join(copy) + prose(o + 1, 15))
+    cells = D._cells(D._units("".join(regions)))
+    high = np.cumsum([len(r) for r in regions])
+    low = high - [len(r) for r in regions]
+    assert D._hold(index, np.array(segments), cells, low, high).all()
+    other = np.roll(np.array(segments), 1)
+    apart = index.cell_at[other] - index.cell_at
+    assert not D._hold(index, other, cells, low, high)[np.abs(apart) > 120].any()
