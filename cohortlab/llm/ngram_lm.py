@@ -6,13 +6,15 @@ taken out (leave-one-out), so that it doesn't vouch for itself.  For each word w
     S = c(u v w) / c(u v) if c(u v w) > 0, else 0.4 * c(v w) / c(v) if c(v w) > 0,
         else 0.16 * c(w) / N, with 1/2 for an unseen word.
 
-N-grams of all orders are 64-bit hashes.  Documents are dealt into blocks of about
+N-grams of all orders are hashes of 24 bits more than the number of n-grams needs (at most 64), so that at any size
+one in some 17 million shares its hash with another.  Documents are dealt into blocks of about
 ``block_chars`` characters; a block's distinct n-grams with their counts are rows of the count table,
 packed by hash range (sorted hashes as differences, byte plane by byte plane, compressed).  Every
 range is summed over all blocks in one group whose size is set by ``range_grams``; the totals go
 back to the blocks, joined to the n-grams in order, and are summed per document.  An n-gram
 reaches a range at most once per block, and rows are dealt by their place in the table, so a frequent n-gram,
-source, text or row makes no group large.  The dealt rows are written once: both passes and any retry see the same blocks.
+source, text or row makes no group large.  The place is the file and row number that the Parquet scan gives, so both
+passes and any retry see the same blocks without a copy of the texts; rows from elsewhere are written once first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ SCHEMA = "doc_id long, n_tokens long, log_score double, mean_log_score double, n
 @dataclass(frozen=True)
 class LmParams:
     backoff: float = 0.4
-    block_chars: int = 8_000_000
+    block_chars: int = 16_000_000
     range_grams: int = 2_000_000
 
 
@@ -53,8 +56,13 @@ def _differences(sorted_hashes: np.ndarray) -> np.ndarray:
     return np.diff(sorted_hashes, prepend=np.uint64(0))
 
 
-def block_grams(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, bigrams and trigrams that end at each word: (3, words); 0 where a document begins.  And words per text."""
+def hash_bits(words: int) -> int:
+    """24 bits more than the number of all n-grams takes, 64 at most."""
+    return min(64, max(1, 3 * words).bit_length() + 24)
+
+
+def block_grams(texts: list[str | None], cache: WordHashes, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (the top ``bits``) of the words, bigrams and trigrams that end at each word: (3, words); 0 where a document begins.  And words per text."""
     words = [word_hashes(ascii_words(t), cache) for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     one = mix64(np.concatenate(words)) | np.uint64(1) if len(words) else np.zeros(0, np.uint64)
@@ -64,15 +72,18 @@ def block_grams(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray,
     three[2:] = mix64(two[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[2:]) | np.uint64(1)
     two[place < 1] = 0
     three[place < 2] = 0
-    return np.stack([one, two, three]), sizes
+    grams = np.stack([one, two, three])
+    kept = np.maximum(grams >> np.uint64(64 - bits), np.uint64(1))
+    kept[grams == 0] = 0
+    return kept, sizes
 
 
-def _counter(ranges: int):
+def _counter(ranges: int, bits: int):
     cache = WordHashes()
-    shift = np.uint64(64 - int(np.log2(ranges))) if ranges > 1 else None
+    shift = np.uint64(bits - int(np.log2(ranges))) if ranges > 1 else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, _ = block_grams(pdf["text"].tolist(), cache)
+        grams, _ = block_grams(pdf["text"].tolist(), cache, bits)
         found, counts = np.unique(grams[grams != 0], return_counts=True)
         home = (found >> shift).astype(np.int64) if shift is not None else np.zeros(len(found), np.int64)
         homes, first = np.unique(home, return_index=True)
@@ -95,11 +106,11 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "totals": [packed(t, 8) for t in np.split(totals, ends)]})
 
 
-def _scorer(params: LmParams, corpus_words: int):
+def _scorer(params: LmParams, corpus_words: int, bits: int):
     cache = WordHashes()
 
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        grams, sizes = block_grams(pdf["text"].tolist(), cache)
+        grams, sizes = block_grams(pdf["text"].tolist(), cache, bits)
         owner = np.repeat(np.arange(len(pdf)), sizes)
         known, mine = np.unique(grams[grams != 0], return_counts=True)
         replies = replies.sort_values("part")
@@ -137,10 +148,26 @@ def _scorer(params: LmParams, corpus_words: int):
     return run
 
 
-def deal(narrow: DataFrame, blocks: int) -> DataFrame:
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the row's place: a hash of the file and row number in a Parquet table.
+
+    Rows that don't come straight from one are written to the shared folder and read back.
+    """
+    narrow = [column("doc_id").cast("long").alias("doc_id"), column("text").alias("text")]
+
+    def located(df: DataFrame, cols: list) -> DataFrame:
+        where = df.metadataColumn("_metadata")
+        return df.select(*cols, F.xxhash64(where["file_path"], where["row_index"]).alias("place"))
+
+    try:
+        return located(docs, narrow)
+    except AnalysisException:
+        return located(materialize(docs.select(*narrow), "placed"), ["doc_id", "text"])
+
+
+def deal(docs: DataFrame, blocks: int) -> DataFrame:
     """A block for each row; repeated rows go to different ones."""
-    salted = F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id())
-    return narrow.withColumn("block", F.pmod(salted, F.lit(blocks)).cast("int"))
+    return placed(docs).withColumn("block", F.pmod("place", F.lit(blocks)).cast("int")).drop("place")
 
 
 def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
@@ -150,11 +177,13 @@ def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     and empty texts have 0 words, the score 0 and a null mean.  Every row is a document of its own: repeated
     rows count twice and vouch for each other.  An empty table gives an empty result; other columns are ignored.
     """
-    narrow = docs.select(column("doc_id").cast("long").alias("doc_id"), column("text").alias("text"))
-    sums = narrow.agg(F.sum(F.length("text")).alias("chars"), F.sum(token_count(F.col("text"))).alias("words")).first()
+    text = column("text")
+    sums = docs.agg(F.sum(F.length(text)).alias("chars"), F.sum(token_count(text)).alias("words")).first()
+    words = sums["words"] or 0
     blocks = max(1, -(-(sums["chars"] or 0) // params.block_chars))
-    ranges = 1 << max(0, int(np.ceil(np.log2(max(1, 2.5 * (sums["words"] or 0) / params.range_grams)))))
-    dealt = materialize(deal(narrow, blocks), "dealt")
-    table = dealt.groupBy("block").applyInPandas(_counter(ranges), "part long, block int, grams binary, counts binary")
+    ranges = 1 << max(0, int(np.ceil(np.log2(max(1, 2.5 * words / params.range_grams)))))
+    bits = hash_bits(words)
+    dealt = deal(docs, blocks)
+    table = dealt.groupBy("block").applyInPandas(_counter(ranges, bits), "part long, block int, grams binary, counts binary")
     replies = table.groupBy("part").applyInPandas(_summed, "block int, part long, totals binary")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scorer(params, sums["words"] or 0), SCHEMA)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scorer(params, words, bits), SCHEMA)
