@@ -5,12 +5,13 @@ as strings of character classes.  For each kind a prefix tree with counts is bui
 its states are merged as long as the Hoeffding bound finds their futures
 (stopping and next-symbol frequencies, recursively) compatible - red/blue state
 merging as in ALERGIA.  The result is a deterministic probabilistic automaton
-per kind.  Long tokens outside the base spans are scored by their format
-likelihood (bits per symbol); a token is reported if an automaton generates it
-with a likelihood inside the range of its training strings.
+per kind.  All tokens outside the base spans that are as long as the shortest training string
+or longer are scored by their format likelihood (bits per symbol); a token is reported if an
+automaton generates it with a likelihood inside the range of its training strings, and ``odds`` bits likelier
+in all than ordinary text does (character classes, each given the two before it), so words, dates and numbers stay.
 
 The automata are fitted on a bounded sample of the labelled values
-(``train_per_kind`` distinct values of a kind, smallest hashes first); every whole
+(``train_per_kind`` distinct values of a kind, smallest hashes first), ordinary text on all texts; every whole
 text is scanned and every candidate scored.
 """
 
@@ -21,12 +22,13 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlab.llm.common import column, fresh_name, map_frames, small_batches
+from cohortlab.llm.common import column, fresh_name, map_frames, materialize, small_batches
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(
@@ -41,8 +43,11 @@ LEARNT = {k: f"format_{k}" for k in KINDS}
 ORDER = {k: i for i, k in enumerate((*KINDS, *LEARNT.values()))}
 
 LONG_TOKEN = re.compile(r"(?<!\S)\S{20,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=@-]|\.[A-Za-z0-9])")
+#: Tokens of the signs that values may hold; dots at the ends are punctuation.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=-])?(?![A-Za-z0-9+/_=@-]|\.[A-Za-z0-9])")
 MASK = "[SECRET]"
+CLASSES = "0agAG+/_=.-"
+FORMAT_CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +57,8 @@ class SecretParams:
     alpha: float = 0.05
     #: Deviations under the mean training likelihood that are still accepted.
     slack: float = 3.0
+    #: Bits by which a token must be likelier as a credential than as ordinary text: log2 of the prior odds.
+    odds: float = 13.0
 
 
 def _symbol(c: str) -> str:
@@ -68,14 +75,75 @@ def _symbol(c: str) -> str:
     return c
 
 
+SYMBOLS = {i: _symbol(chr(i)) for i in range(128)}
+
+
 def as_format(value: str) -> str:
-    return "".join(map(_symbol, value))
+    return value.translate(SYMBOLS)
+
+
+#: Class of each byte; what no value holds is a boundary.
+OTHER = len(CLASSES)
+WIDTH = OTHER + 1
+BYTE_CLASS = np.array([CLASSES.find(_symbol(chr(i))) % WIDTH if i < 128 else OTHER for i in range(256)], dtype=np.int64)
+
+
+def class_counts(texts: list[str]) -> np.ndarray:
+    """How often each three character classes follow each other; texts are set apart by boundaries."""
+    data = np.frombuffer(f"\n\n{chr(10).join(texts)}\n".encode("utf-8", "surrogatepass"), np.uint8)
+    c = BYTE_CLASS[data]
+    return np.bincount((c[:-2] * WIDTH + c[1:-1]) * WIDTH + c[2:], minlength=WIDTH**3)
+
+
+class Ordinary:
+    """Log2 likelihood of a token's format in ordinary text, from counts of three classes in a row (smoothed by one half)."""
+
+    def __init__(self, counts: np.ndarray | None = None):
+        n = (np.zeros(WIDTH**3) if counts is None else np.asarray(counts, float)).reshape(WIDTH, WIDTH, WIDTH) + 0.5
+        first = n[:, OTHER, :OTHER].sum(axis=0)
+        self.first = np.log2(first / first.sum()).tolist()
+        self.next = np.log2(n / n.sum(axis=2, keepdims=True)).tolist()
+
+    def bits(self, form: str) -> float:
+        codes = [CLASSES.find(c) % WIDTH for c in form]
+        before, here, total = OTHER, codes[0], self.first[codes[0]]
+        for c in (*codes[1:], OTHER):
+            total += self.next[before][here][c]
+            before, here = here, c
+        return total
+
+
+class Scorer:
+    """The likeliest kind of a format (None: ordinary text), remembered by format."""
+
+    def __init__(self, automata: dict[str, Automaton], ordinary: Ordinary, odds: float):
+        self.automata, self.ordinary, self.odds = automata, ordinary, odds
+        self.least = min((x.shortest for x in automata.values()), default=0)
+        self.known: dict[str, str | None] = {}
+
+    def kind(self, form: str) -> str | None:
+        if form not in self.known:
+            if len(self.known) >= FORMAT_CACHE:
+                self.known.clear()
+            self.known[form] = self._kind(form)
+        return self.known[form]
+
+    def _kind(self, form: str) -> str | None:
+        scored = [(x.bits(form), k) for k, x in self.automata.items() if len(form) >= x.shortest and x.accepts(form)]
+        if not scored:
+            return None
+        best, kind = max(scored)
+        return kind if best * (len(form) + 1) >= self.ordinary.bits(form) + self.odds else None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
 
 
 class Automaton:
     """A probabilistic automaton from strings, by compatible merges of prefix-tree states."""
 
     def __init__(self, strings: list[str], alpha: float, slack: float):
+        self.shortest = min(map(len, strings))
         self.next: list[dict[str, int]] = [{}]
         self.taken: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]
@@ -181,56 +249,85 @@ def base_spans(text: str | None) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
-def learnt_spans(text: str | None, base: list[tuple[int, int, str, str]], automata: dict[str, Automaton]) -> list[tuple[int, int, str, str]]:
+def scorer(automata: dict[str, Automaton], ordinary: Ordinary | None = None, params: SecretParams = SecretParams()) -> Scorer:
+    return Scorer(automata, ordinary or Ordinary(), params.odds)
+
+
+def learnt_spans(text: str | None, base: list[tuple[int, int, str, str]], formats: Scorer) -> list[tuple[int, int, str, str]]:
     """Further tokens whose format one of the automata generates (the likeliest kind)."""
-    if not text or not automata:
+    if not text or not formats.automata:
         return []
     out = []
-    for t in LONG_TOKEN.finditer(text):
-        for m in CANDIDATE.finditer(text, *t.span()):
-            s = m[0]
-            if sum(c.isdigit() for c in s) < 2 or sum(c.isalpha() for c in s) < 2:
-                continue
-            if any(m.start() < b and a < m.end() for a, b, *_ in base):
-                continue
-            form = as_format(s)
-            scored = [(x.bits(form), k) for k, x in automata.items() if x.accepts(form)]
-            if scored:
-                out.append((m.start(), m.end(), LEARNT[max(scored)[1]], s))
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        if b - a < formats.least:
+            continue
+        kind = formats.kind(m[0].translate(SYMBOLS))
+        if kind is not None and not any(a < y and x < b for x, y, *_ in base):
+            out.append((a, b, LEARNT[kind], m[0]))
     return out
 
 
-def all_spans(text: str | None, automata: dict[str, Automaton]) -> tuple[list, list]:
+def all_spans(text: str | None, formats: Scorer | dict[str, Automaton]) -> tuple[list, list]:
     base = base_spans(text)
-    return base, sorted([*base, *learnt_spans(text, base, automata)], key=lambda x: (x[0], ORDER[x[2]]))
+    if isinstance(formats, dict):
+        formats = scorer(formats)
+    return base, sorted([*base, *learnt_spans(text, base, formats)], key=lambda x: (x[0], ORDER[x[2]]))
 
 
 def _joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans)
 
 
-def _labelled(pdf: pd.DataFrame) -> pd.DataFrame | None:
-    rows = [(k, v) for t in pdf["text"] for _, _, k, v in base_spans(t)]
-    return pd.DataFrame(rows, columns=["kind", "value"]).drop_duplicates() if rows else None
+def _without(text: str, spans: list) -> str:
+    """The text with a line break for every span (spans may overlap)."""
+    out, at = [], 0
+    for a, b, *_ in spans:
+        if a >= at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return "\n".join([*out, text[at:]])
 
 
-def fit_automata(docs: DataFrame, params: SecretParams = SecretParams()) -> dict[str, Automaton]:
-    """One automaton for each kind that has labelled values; none if the texts have no credential."""
+def _labelled(pdf: pd.DataFrame) -> pd.DataFrame | None:
+    """Labelled values by kind, and the class counts of what lies outside them (kind null)."""
+    rows, rest = set(), []
+    for t in pdf["text"]:
+        if t:
+            base = base_spans(t)
+            rows.update((k, v) for _, _, k, v in base)
+            rest.append(_without(t, base) if base else t)
+    if not rest:
+        return None
+    n = class_counts(rest)
+    some = np.flatnonzero(n)
+    found = pd.DataFrame(sorted(rows), columns=["kind", "value"]).assign(place=-1, n=1)
+    return pd.concat([found, pd.DataFrame({"kind": None, "value": None, "place": some, "n": n[some]})])
+
+
+def fit_formats(docs: DataFrame, params: SecretParams = SecretParams()) -> Scorer:
+    """One automaton for each kind that has labelled values (none if the texts have no credential), and ordinary text.
+
+    The texts are read once; what is collected is ``train_per_kind`` values a kind and a fixed number of class counts.
+    """
     small_batches(docs.sparkSession)
-    found = map_frames(docs.select(column("text").alias("text")), _labelled, "kind string, value string")
-    pick = F.array_sort(F.collect_set("value"))
-    distinct = found.distinct()
-    out: dict[str, Automaton] = {}
+    found = map_frames(docs.select(column("text").alias("text")), _labelled, "kind string, value string, place int, n long")
+    found = materialize(found.groupBy("kind", "value", "place").agg(F.sum("n").alias("n")), "formats")
     rows = None
     for kind in KINDS:
-        top = distinct.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(params.train_per_kind)
+        top = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(params.train_per_kind).select("kind", "value")
         rows = top if rows is None else rows.unionByName(top)
-    for r in rows.groupBy("kind").agg(pick.alias("values")).collect():
-        out[r["kind"]] = Automaton([as_format(v) for v in r["values"]], params.alpha, params.slack)
-    return {k: out[k] for k in KINDS if k in out}
+    values: dict[str, list[str]] = {}
+    for r in rows.collect():
+        values.setdefault(r["kind"], []).append(r["value"])
+    automata = {k: Automaton([as_format(v) for v in sorted(values[k])], params.alpha, params.slack) for k in KINDS if k in values}
+    counts = np.zeros(WIDTH**3)
+    for r in found.where("kind is null").collect():
+        counts[r["place"]] = r["n"]
+    return scorer(automata, Ordinary(counts), params)
 
 
-def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, params: SecretParams = SecretParams()) -> DataFrame:
+def scan(docs: DataFrame, formats: Scorer | None = None, params: SecretParams = SecretParams()) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_learnt, base_sha256, spans.
 
     Null texts count as empty; an empty text has no spans (the digest is that of the empty
@@ -238,13 +335,13 @@ def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, params:
     ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    if automata is None:
-        automata = fit_automata(docs, params)
+    if formats is None:
+        formats = fit_formats(docs, params)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-            base, spans = all_spans(t, automata)
+            base, spans = all_spans(t, formats)
             n = {k: sum(x[2] == k for x in base) for k in KINDS}
             rows.append((i, *n.values(), len(spans) - len(base), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
         return pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_learnt", "base_sha256", "spans"])
@@ -256,11 +353,11 @@ def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, params:
     )
 
 
-def masked(text: str | None, automata: dict[str, Automaton]) -> str | None:
+def masked(text: str | None, formats: Scorer | dict[str, Automaton]) -> str | None:
     """The text with every span (overlapping ones together) replaced by MASK."""
     if not text:
         return text
-    spans = all_spans(text, automata)[1]
+    spans = all_spans(text, formats)[1]
     if not spans:
         return text
     out, at = [], 0
@@ -273,11 +370,11 @@ def masked(text: str | None, automata: dict[str, Automaton]) -> str | None:
 
 def redact(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
     """The same rows and columns with secrets in ``text`` masked; an n_chars column is made to fit changed texts."""
-    automata = fit_automata(docs, params)
+    formats = fit_formats(docs, params)
 
     @F.pandas_udf(T.StringType())
     def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: masked(t, automata), na_action="ignore")
+        return texts.map(lambda t: masked(t, formats), na_action="ignore")
 
     new = fresh_name(docs, "masked")
     out = docs.withColumn(new, mask(column("text")))
