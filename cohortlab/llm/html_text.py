@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags.  First pass: blocks in menus, headers, footers,
 forms, adverts, notices, sidebars and reader comments (by element, role, class or id) are
 boilerplate; so are blocks that consist mostly of links.  Long blocks are content with a normal
-density of function words, and in an article (or main) element with any.  All others - headings,
+density of function words, and in an article (or main) element with any, as on pages without any such block
+(in a language whose words aren't listed).  All others - headings,
 short paragraphs, lists, text without function words - are ambiguous.  Second pass: an ambiguous block takes the label of the
 nearest decided block of its section (the article, or the rest of the page); ties go to content.
 In an article without any decided content its ambiguous blocks are
@@ -12,13 +13,15 @@ content; a page without such an element is judged as one section.
 A wrapper's name doesn't make an article boilerplate: main elements start anew whatever holds them, and
 articles do unless the page has others in fewer boilerplate elements (an article among reader comments,
 related or side matter also yields to long content elsewhere).  Forms that hold all of a page's long content
-are no boilerplate.  Body and html elements are never boilerplate or hidden.
+are no boilerplate.  Body and html elements are never boilerplate or hidden;
+others are hidden by attribute, class or style.
 """
 
 from __future__ import annotations
 
 import html as html_entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,8 +30,12 @@ from pyspark.sql import DataFrame
 from cohortlab.llm.common import column, map_frames, small_batches
 from cohortlab.llm.quality import STOP_WORDS
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: An attribute: quotes delimit only a value that they open (``x=it's`` ends at a space or ``>``).
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)({ATTRIBUTES})(?:>|\Z)", re.DOTALL)
+#: Styles that hide an element.
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 #: Classes that show an element at some screen widths ("hidden md:block").
 SHOWN = re.compile(r"[a-z0-9]+:(?:block|flex|grid|inline|table|contents|visible)")
 
@@ -61,6 +68,15 @@ BOILER_NAMES = frozenset(
     comments-area comments-section comments-list comment-body cookie-bar nav-bar nav-links side-bar search-form search-box login-form signup-form
     newsletter-form newsletter-signup contact-form ad-container ad-slot ad-unit ad-wrapper ad-block ad-box skip-link skip-links""".split()
 )
+#: Words that name boilerplate also in a compound with words of place and kind only (user-comments, inline-ad).
+COMPOUND_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo newsletter cookie cookies breadcrumb
+    breadcrumbs pagination comment comments commentlist""".split()
+)
+PLACE_WORDS = frozenset(
+    """user users reader readers visitor post article page site blog story inline box block wrap wrapper container section list item items area
+    unit slot inner outer holder panel thread body text content count top bottom left right center middle side desktop mobile""".split()
+)
 #: Elements and words of matter that may hold article elements of its own (one for each comment or teaser).
 COMPANION = frozenset("nav footer aside menu dialog".split())
 COMPANION_WORDS = frozenset("comment comments commentlist disqus replies reply discussion respond related recommended recommendations".split())
@@ -96,6 +112,8 @@ def _names(attributes: str) -> tuple[set[str], bool, bool]:
         key = m[1].lower()
         if key == "hidden":
             hidden = True
+        elif key == "style" and m[2]:
+            hidden = hidden or bool(UNSEEN.search(m[2].strip("\"'")))
         elif key in ("class", "id", "role") and m[2]:
             found = m[2].strip("\"'").split()
             if key == "class" and "hidden" in found and not any(map(SHOWN.fullmatch, found)):
@@ -108,7 +126,12 @@ def _names(attributes: str) -> tuple[set[str], bool, bool]:
 
 def _boiler_words(names: set[str]) -> set[str]:
     """The words of the names that name boilerplate as a whole."""
-    return {w for x in names for w in x.split("-") if x in BOILER_NAMES or all(y in BOILER_WORDS for y in x.split("-"))} - {""}
+    out: set[str] = set()
+    for name in names:
+        words = set(name.split("-"))
+        if name in BOILER_NAMES or words <= BOILER_WORDS or words & COMPOUND_WORDS and words <= COMPOUND_WORDS | PLACE_WORDS:
+            out |= words
+    return out - {""}
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -119,6 +142,7 @@ def blocks_of(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (name, kind): kind d dropped, b boilerplate, f form, m main, a link, or plain
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     counts = {"drop": 0, "boiler": 0, "companion": 0, "form": 0, "main": 0, "link": 0}
     links, sections = 0, 0
@@ -137,7 +161,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(index: int) -> None:
         while len(stack) > index:
-            kind = stack.pop()[1]
+            name, kind = stack.pop()
+            open_names[name] -= 1
             for c in kinds.get(kind, ()):
                 counts[c] -= 1
             if kind == "m":
@@ -166,16 +191,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:  # an end tag
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if index is None:
+            if not open_names[name]:
                 continue
             if name in BLOCK:
                 flush()
-            close(index)
+            close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in BLOCK:
             flush()
-            if name in ENDS_P and stack:  # inline elements opened in the paragraph end with it
+            if name in ENDS_P and open_names["p"]:  # inline elements opened in the paragraph end with it
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         close(i)
@@ -225,17 +249,21 @@ def blocks_of(page: str) -> list[Block]:
             around.append((counts["boiler"], counts["companion"], counts["form"], outer, companion))
             counts.update(boiler=0, companion=0, form=0)
         stack.append((name, kind))
+        open_names[name] += 1
     flush()
     return out
 
 
 def classify(blocks: list[Block], rules: BlockRules = BlockRules()) -> list[bool]:
     """True for content blocks, by the two passes."""
-    long_text = []
+    long_text, dense = [], []
     for b in blocks:
         words = b.text.lower().split()
         stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-        long_text.append(len(b.text) >= rules.long_chars and b.links <= rules.link_density * len(b.text) and (b.section > 0 or stop >= rules.stop_density))
+        long_text.append(len(b.text) >= rules.long_chars and b.links <= rules.link_density * len(b.text))
+        dense.append(b.section > 0 or stop >= rules.stop_density)
+    if any(x and y and not b.boiler for x, y, b in zip(long_text, dense, blocks, strict=True)):
+        long_text = [x and y for x, y in zip(long_text, dense, strict=True)]
     boiler = [b.boiler for b in blocks]
     inner = [(not x, b.outer) for x, b in zip(long_text, blocks, strict=True) if b.section and not b.boiler]
     least = min(inner, default=(False, 0))[1]
