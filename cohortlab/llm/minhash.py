@@ -11,7 +11,8 @@ t independent min-hashes, at a cost of O(n + t log t) instead of O(n t).
 Search.  Documents with equal shingle sets form one class.  Bands of
 ``rows`` coordinates put classes in buckets.  In a bucket, every class is
 compared with one pivot (linear in the bucket) - the class whose buckets are the fullest, as
-the original of a family of edited copies has - and verified links give components.
+the original of a family of edited copies has - and verified links give components.  A class meets the fullest of its
+pivots first; the others only where they are of another component by then.
 A pivot h whose members fall into several components leaves work.  For few members
 (``few``) that is their pairs.  Otherwise let x and y be linked, x not linked to h.  If the overlap that this
 link needs exceeds |x & h| or |y & h|, x and y share a shingle outside h, and as
@@ -243,6 +244,24 @@ def _mixed(placed: DataFrame, key: str) -> DataFrame:
     return groups.where("lo != hi").select(key, "size", "smallest")
 
 
+def _placed(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """``star`` with the label of each member and whether the pivot has another one (a class without a label is its own)."""
+    owner = labels.select(F.col("node").alias("b"), "label")
+    out = star.join(owner, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    out = out.join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
+    return out.withColumn("apart", F.coalesce("label_a", "a") != F.col("label")).drop("label_a")
+
+
+def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, seen: DataFrame, params: MinHashParams) -> tuple[DataFrame, DataFrame]:
+    """Verifies those of ``pairs`` (a, b, n_a, n) that haven't been seen: new labels, and the pairs seen so far."""
+    todo = pairs.where(_sizes_fit("n_a", "n", params.percent)).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+    todo = materialize(todo, "todo")
+    texts = _with_texts(docs, classes, todo).select("a", "b", "text_a", "text_b")
+    checked = materialize(map_frames(texts, _verifier(params), "a binary, b binary, linked boolean"), "checked")
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return connected_components(known.union(checked.where("linked").select("a", "b"))), seen.union(todo)
+
+
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept, text_key (a hash of the text).
 
@@ -260,6 +279,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         .groupBy("cls")
         .agg(
             F.min(F.struct("doc_id", "text_key")).alias("rep"),
+            F.min("doc_id").alias("least"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
         ),
@@ -273,25 +293,19 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     spark = docs.sparkSession
     labels = spark.createDataFrame([], "node binary, label binary")
     seen = spark.createDataFrame([], "a binary, b binary")
-    pairs = star.select("a", "b", "n_a", "n")
     few = params.few
+    ends = ["a", "b", "n_a", "n"]
+    # every member meets its home pivot first: what that links needs no further look
+    pairs = star.where("a = home").select(*ends)
     while True:
-        owner = labels.select(F.col("node").alias("b"), "label")
-        todo = pairs.join(owner, "b", "left").join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
-        todo = todo.where(_sizes_fit("n_a", "n", params.percent) & (F.coalesce("label_a", "a") != F.coalesce("label", "b"))).select("a", "b").distinct()
-        todo = materialize(todo.join(seen, ["a", "b"], "left_anti"), "todo")
-        texts = _with_texts(docs, classes, todo).select("a", "b", "text_a", "text_b")
-        checked = materialize(map_frames(texts, _verifier(params), "a binary, b binary, linked boolean"), "checked")
-        seen = materialize(seen.union(todo), "seen")
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = connected_components(known.union(checked.where("linked").select("a", "b")))
+        labels, seen = _link(docs, classes, pairs, labels, seen, params)
         if star is None:
             break
+        placed = _placed(star, labels)
+        live = materialize(placed.join(placed.where("apart").select("a").distinct(), "a", "left_semi"), "live")
+        labels, seen = _link(docs, classes, live.where("apart").select(*ends), labels, seen, params)
 
-        owner = labels.select(F.col("node").alias("b"), "label")
-        placed = star.join(owner, "b", "left").withColumn("label", F.coalesce("label", "b"))
-        placed = placed.join(owner.select(F.col("b").alias("a"), F.col("label").alias("label_a")), "a", "left")
-        placed = placed.withColumn("apart", F.coalesce("label_a", "a") != F.col("label")).drop("label_a")
+        placed = _placed(live.drop("label", "apart"), labels)
         homes = placed.groupBy("a").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo != hi or lo = a").select("a")
         left = materialize(placed.join(_mixed(placed, "a"), "a").join(homes, "a", "left_semi"), "left")
         small = left.where(F.col("size") <= few)
@@ -317,16 +331,17 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         )
         dealt = dealt.join(_mixed(dealt, "bucket").select("bucket"), "bucket").drop("label")
         star = materialize(_star(dealt), "star")
-        pairs = pairs.union(star.select("a", "b", "n_a", "n"))
+        pairs = pairs.union(_placed(star.where("a = home"), labels).where("apart").select(*ends))
         few *= 4
 
-    rows = feats.select("doc_id", "text_key", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "cls"))
-    first = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = rows.where("n > 0").join(first, "label")
-    alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key"]
-    return full.select(*cols).unionByName(alone.select(*cols))
+    # one row a class, so copies add nothing to a component's rows
+    owned = classes.select("cls", "least").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    first = materialize(owned.groupBy("label").agg(F.min("least").alias("component_id")), "first")
+    found = materialize(owned.join(first, "label").select("cls", "component_id"), "found")
+    rows = feats.select("doc_id", "text_key", "n", "cls").join(found, "cls", "left")
+    rows = rows.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept, "text_key")
 
 
 def one_per_group(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
