@@ -6,8 +6,8 @@ impurity; ties go to the first feature, then to the smallest threshold.  A node
 constant (or ``max_depth`` is reached).
 
 Growth has two phases with one result.  Nodes of more than ``local_rows`` training rows are split level by level in Spark: counts
-for each (node, feature, value), range-partitioned by that key, prefix sums within partitions plus the totals of the
-partitions before.  Smaller nodes are grown to their leaves in one task each, so a group is bounded by ``local_rows``.
+for each (node, feature, bin of values), then for each value in the bins that may hold the best split (see :func:`best_splits`), so a
+level shuffles counts and few values, not the table.  Smaller nodes are grown to their leaves in one task each, so a group is bounded by ``local_rows``.
 
 Nodes are named by their path from the root: one character a level, 0 (left, value <= threshold) or 1.  So a node's
 depth is its length and its ancestors are its prefixes; the node table is a DataFrame, and neither nodes nor leaves go to the driver.
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from cohortlab.session import scratch_path
 
 LOCAL_ROWS = 200_000
+BINS = 4096
+EDGE_ROWS = 400_000
+WIDE_ROWS = 300_000
 BLOCK = 8
 CHAIN = 4
 NODES = "node string, n long, s long, feature int, threshold double, decrease double"
@@ -58,24 +61,63 @@ def _vector(features: Sequence[str]) -> Column:
     return F.array(*map(value, features))
 
 
+def _binned(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (x, y, node) with ``b``, the bin of each feature's value.
+
+    The bins' bounds are quantiles of some rows, as in Spark's own range partitioning: they steer the search and don't change what it finds,
+    which holds for any bins that keep the order of the values.
+    """
+    some = rows.sample(min(1.0, EDGE_ROWS / n), seed=1) if n > EDGE_ROWS else rows
+    share = [k / BINS for k in range(1, BINS)]
+    found = some.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.percentile_approx("v", share, 4 * BINS).alias("e")).collect()
+    edges = {r["f"]: np.unique(np.array(r["e"], float)) for r in found}
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                X = np.stack(pdf["x"].to_list())
+                b = np.stack([np.searchsorted(edges.get(f, np.zeros(0)), X[:, f]) for f in range(X.shape[1])], axis=1).astype(np.int32)
+                yield pdf.assign(b=list(b))
+
+    return _cut(rows.select("x", "y", "node").mapInPandas(place, "x array<double>, y long, node string, b array<int>"), "tree-rows")
+
+
+def _gain(nl: Column, sl: Column, n: Column, s: Column) -> Column:
+    """sl²/nl + sr²/nr; an empty side adds nothing."""
+    sl, sr = sl.cast("double"), (s - sl).cast("double")
+    return F.coalesce(F.try_divide(sl * sl, nl), F.lit(0.0)) + F.coalesce(F.try_divide(sr * sr, n - nl), F.lit(0.0))
+
+
 def best_splits(rows: DataFrame) -> DataFrame:
-    """``(node, feature, threshold, nl, sl, n, s, gain)``: the best split of each node of ``rows`` (node, y, x) that has one."""
+    """``(node, feature, threshold, nl, sl, n, s, gain)``: the best split of each node of ``rows`` (node, y, x, b) that has one.
+
+    Cuts between bins are scored from counts for each (node, feature, bin).  The gain is convex in (nl, sl), and the cuts inside a bin lie
+    in the parallelogram between its ends, so none gains more than the best corner (all ones of the bin first, or all zeros).
+    Only bins whose bound reaches the best cut found so far are counted by value, so the result is that of all cuts.
+    """
     key = ["node", "f"]
-    counts = rows.select("node", "y", F.posexplode("x").alias("f", "v")).groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    ranged = _cut(counts.repartitionByRange(*key, "v").withColumn("part", F.spark_partition_id()), "tree-values")
-    by_part = Window.partitionBy(*key).orderBy("part")
-    before, all_ = by_part.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
-    parts = ranged.groupBy(*key, "part").agg(F.sum("n").alias("pn"), F.sum("s").alias("ps"), F.min("v").alias("first")).select(
-        *key, "part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("ps").over(before), F.lit(0)).alias("bs"),
-        F.lead("first").over(by_part).alias("then"), F.sum("pn").over(all_).alias("tn"), F.sum("ps").over(all_).alias("ts"))
-    within = Window.partitionBy(*key, "part").orderBy("v")
+    values = rows.select("node", "y", F.posexplode(F.arrays_zip(F.col("b").alias("b"), F.col("x").alias("v"))).alias("f", "z")).select("node", "y", "f", "z.b", "z.v")
+    bins = values.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.min("v").alias("low"), F.max("v").alias("high"))
+    by_bin, all_ = Window.partitionBy(*key).orderBy("b"), Window.partitionBy(*key)
+    before = by_bin.rowsBetween(Window.unboundedPreceding, -1)
+    bins = _cut(bins.select(
+        *key, "b", "n", "s", "low", "high", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("bs"),
+        F.lead("low").over(by_bin).alias("then"), F.sum("n").over(all_).alias("tn"), F.sum("s").over(all_).alias("ts")), "tree-bins")
+    n, s, bn, bs, tn, ts = (F.col(c) for c in ("n", "s", "bn", "bs", "tn", "ts"))
+    ends = bins.where("then IS NOT NULL").select(*key, F.col("high").alias("v"), F.col("then").alias("next"), "tn", "ts", (bn + n).alias("nl"), (bs + s).alias("sl"))
+    least = ends.groupBy("node").agg(F.max(_gain(F.col("nl"), F.col("sl"), tn, ts)).alias("least"))
+    bound = F.greatest(*(_gain(a, c, tn, ts) for a, c in ((bn, bs), (bn + s, bs + s), (bn + n - s, bs), (bn + n, bs + s))))
+    wide = bins.where("low < high").join(least, "node", "left").where(F.col("least").isNull() | (bound * (1 + 1e-9) >= F.col("least")))
+    wide = _cut(wide.select(*key, "b", "bn", "bs", "tn", "ts"), "tree-wide")
+    within = Window.partitionBy(*key, "b").orderBy("v")
     up_to = within.rowsBetween(Window.unboundedPreceding, 0)
-    cuts = ranged.join(parts, [*key, "part"]).select(
-        *key, "v", F.coalesce(F.lead("v").over(within), "then").alias("next"), "tn", "ts",
-        (F.col("bn") + F.sum("n").over(up_to)).alias("nl"), (F.col("bs") + F.sum("s").over(up_to)).alias("sl")).where("next IS NOT NULL")
-    sl, sr = F.col("sl").cast("double"), (F.col("ts") - F.col("sl")).cast("double")
+    few = wide.count() <= WIDE_ROWS  # then the values are filtered where they are
+    asked = wide.select(*key, "b")
+    counts = values.join(F.broadcast(asked) if few else asked, [*key, "b"], "left_semi").groupBy(*key, "b", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    inner = counts.join(wide, [*key, "b"]).select(
+        *key, "v", F.lead("v").over(within).alias("next"), "tn", "ts", (bn + F.sum("n").over(up_to)).alias("nl"), (bs + F.sum("s").over(up_to)).alias("sl")).where("next IS NOT NULL")
     middle = (F.col("v") + F.col("next")) / 2
-    scored = cuts.withColumn("gain", sl * sl / F.col("nl") + sr * sr / (F.col("tn") - F.col("nl"))).withColumn(
+    scored = ends.unionByName(inner).withColumn("gain", _gain(F.col("nl"), F.col("sl"), tn, ts)).withColumn(
         "threshold", F.when(middle < F.col("next"), middle).otherwise(F.col("v")))
     found = F.struct(F.col("f").alias("feature"), "threshold", "nl", "sl", F.col("tn").alias("n"), F.col("ts").alias("s"), "gain")
     return scored.groupBy("node").agg(F.max_by(found, F.struct("gain", -F.col("f"), -F.col("v"))).alias("b")).select("node", "b.*")
@@ -139,6 +181,8 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int
         local.append(level.where(open_ & ~large).select("node"))
         if level.where(large).isEmpty():
             break
+        if depth == 0:
+            rows = _binned(rows, level.agg(F.sum("n").alias("n")).collect()[0]["n"])
         splits = _cut(best_splits(rows.join(level.where(large).select("node"), "node", "left_semi")), "tree-splits")
         grown.append(level.where(large).select("node", "n", "s").join(
             splits.select("node", "feature", "threshold", _decrease(F.col("gain"), F.col("s"), F.col("n")).alias("decrease")), "node", "left"))
@@ -154,7 +198,7 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int
     below = local[0]
     for part in local[1:]:
         below = below.unionByName(part)
-    nodes = _grow_locally(rows.join(below, "node", "left_semi"), max_depth)
+    nodes = _grow_locally(rows.select("node", "y", "x").join(below, "node", "left_semi"), max_depth)
     for part in grown:
         nodes = nodes.unionByName(part)
     nodes = _cut(nodes.withColumn("depth", F.length("node")).withColumn("is_leaf", F.col("feature").isNull()).withColumn("p", F.col("s") / F.col("n")), "tree")
@@ -173,13 +217,16 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     return _cut(found.select("root", F.transform(F.sequence(F.lit(0), F.col("top")), lambda i: F.try_element_at(F.col("map"), i)).alias("steps")), "tree-blocks")
 
 
-def with_leaf(fit: TreeFit, df: DataFrame) -> DataFrame:
-    """Adds ``leaf`` (the leaf's path) and ``p`` (P(class 1)); a row walks BLOCK levels for each join.
+def with_leaf(fit: TreeFit, df: DataFrame, keep: Sequence[str | Column] = ("*",), max_depth: int | None = None) -> DataFrame:
+    """Adds ``leaf`` (the leaf's path) and ``p`` (P(class 1)) to the columns ``keep`` of ``df``; a row walks BLOCK levels for each join.
 
-    A block table that Spark finds small is broadcast; others are joined by shuffling, with skewed blocks split.
+    A block table that Spark finds small is broadcast; others are joined by shuffling, with skewed blocks split; so ``keep`` should
+    name few columns.  With ``max_depth`` the walk may end below that depth: then ``leaf`` is a prefix of the leaf's path that is at
+    least as long as the path's first max_depth steps.
     """
-    rows = df.withColumns({"_x": _vector(fit.features), "leaf": F.lit(""), "p": F.lit(None).cast("double")})
-    for k in range(fit.depth // BLOCK + 1):
+    rows = df.select(*keep, _vector(fit.features).alias("_x")).withColumns({"leaf": F.lit(""), "p": F.lit(None).cast("double")})
+    depth = fit.depth if max_depth is None else min(fit.depth, max(max_depth - 1, 0))
+    for k in range(depth // BLOCK + 1):
         block = fit.blocks.where(F.length("root") == k * BLOCK).select(F.col("root").alias("_root"), F.col("steps").alias("_steps"))
 
         def walk(h: Column, _: Column) -> Column:
@@ -249,10 +296,12 @@ def trace_paths(fit: TreeFit, df: DataFrame, id_col: str, max_depth: int | None
 
     The steps are the prefixes of the row's leaf, joined with the node table.
     """
-    scored = with_leaf(fit, df).select(F.col(id_col).alias("id"), "leaf", _vector(fit.features).alias("_x"))
+    scored = with_leaf(fit, df, [F.col(id_col).alias("id"), _vector(fit.features).alias("_v")], max_depth).select("id", "leaf", F.col("_v").alias("_x"))
     end = F.length("leaf") if max_depth is None else F.least(F.length("leaf"), F.lit(max_depth))
     steps = scored.withColumn("_end", end).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_end")))).withColumn("node", F.col("leaf").substr(F.lit(1), F.col("step")))
     nodes = fit.nodes if max_depth is None else fit.nodes.where(F.col("depth") <= max_depth)
+    if max_depth is not None and max_depth <= BLOCK:
+        nodes = F.broadcast(nodes)  # fewer than 2^(BLOCK + 1)
     last = F.col("step") == F.col("_end")
     inner = steps.join(nodes.select("node", "feature", F.col("threshold").alias("_t"), "p"), "node")
 

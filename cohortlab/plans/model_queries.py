@@ -437,7 +437,7 @@ def q_fe_tree(spark, sf):
     out = []
     for name, feats in (("baseline", p.tree_features), ("engineered", p.tree_features + list(ENGINEERED))):
         fit = p.tree if name == "baseline" else tree.fit_tree(data.where(~F.col("is_test")), feats, R.target)
-        pred = tree.with_leaf(fit, data.where(F.col("is_test"))).withColumn("predicted", (F.col("p") > 0.5).cast("int"))
+        pred = tree.with_leaf(fit, data.where(F.col("is_test")), [R.target]).withColumn("predicted", (F.col("p") > 0.5).cast("int"))
         rep = {r["label"]: r for r in rates.classification_report(pred, R.target, "predicted").collect()}
         out.append((name, rep["accuracy"]["precision"], rep["1"]["f1"]))
     (_, ab, fb), (_, ae, fe) = out
@@ -559,11 +559,10 @@ def risk_ids(p) -> DataFrame:
 def master(p) -> DataFrame:
     """One projection over the clean rows: P(leave), class, predicted salary, gap."""
     lasso = p.lasso_cv[1]
-    scored = tree.with_leaf(p.tree, p.encoded)
+    scored = tree.with_leaf(p.tree, p.encoded, [
+        F.col(R.id).cast("string").alias("id"), F.col(Y).alias("actual"), F.col(R.target).alias("target"), lasso.predict_column().alias("predicted")])
     return scored.select(
-        F.col(R.id).cast("string").alias("id"), F.col(Y).alias("actual"), F.col(R.target).alias("target"),
-        F.col("p").alias("attrition_probability"), (F.col("p") >= 0.5).cast("int").alias("predicted_attrition"),
-        lasso.predict_column().alias("predicted"),
+        "id", "actual", "target", F.col("p").alias("attrition_probability"), (F.col("p") >= 0.5).cast("int").alias("predicted_attrition"), "predicted",
     ).withColumn("gap", F.col("actual") - F.col("predicted"))
 
 

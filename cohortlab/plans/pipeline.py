@@ -123,8 +123,8 @@ class Pipeline:
 
     @cached_property
     def tree_scored(self) -> DataFrame:
-        """The split rows with their leaf and P(class 1), written once."""
-        return materialize(tree.with_leaf(self.tree, self.tree_data), "tree-scored")
+        """The split rows (id, target, is_test) with their leaf and P(class 1), written once."""
+        return materialize(tree.with_leaf(self.tree, self.tree_data, [self.roles.id, self.roles.target, "is_test"]), "tree-scored")
 
     @cached_property
     def curve(self) -> DataFrame:
