@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import column, map_frames, mix64, small_batches
+from cohortlab.llm.common import column, map_frames, materialize, maybe_broadcast, small_batches
 
 SCHEMA = "doc_id long, item_id long, segments long, matched long, edits long, start long, end long"
 FOUND = "id long, absent boolean, text_key long, item_id long, segments long, matched long, edits long, start long, end long"
@@ -36,6 +36,8 @@ FOUND = "id long, absent boolean, text_key long, item_id long, segments long, ma
 
 #: Cells that 3-grams are folded into when regions are checked.
 CELLS = 4096
+#: Characters of texts that a task scans at once (a longer text is one scan): the scan's arrays take some 40 bytes for each.
+SCAN_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -299,9 +301,14 @@ def _scanner(parts):
             index = GramIndex.__new__(GramIndex)
             index.__dict__.update(parts.value, params=LeakParams(**parts.value["params"]))
             state.extend((index, index.lookup_table()))
-        texts = [normalized(t) for t in pdf["text"]]
         keys = list(zip(pdf["id"].tolist(), pdf["absent"].tolist(), pdf["text_key"].tolist()))
-        rows = [(*keys[d], *rest) for d, *rest in _find(*state, range(len(texts)), texts)]
+        rows, first, texts, held = [], 0, [], 0
+        for at, t in enumerate(pdf["text"], 1):
+            texts.append(normalized(t))
+            held += len(texts[-1])
+            if held >= SCAN_CHARS or at == len(keys):
+                rows += [(*keys[d], *rest) for d, *rest in _find(*state, range(first, at), texts)]
+                first, texts, held = at, [], 0
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]) if rows else None
 
     return run
@@ -349,7 +356,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
 
     A row goes by its id (or its lack of one) and its text, so null ids are cleaned like others.
     """
-    found = _found(docs, benchmark, params).select("id", "absent", "text_key").distinct()
+    found = materialize(_found(docs, benchmark, params).select("id", "absent", "text_key").distinct(), "leaks")
     key = column("doc_id").cast("long")
     on = (F.coalesce(key, F.lit(0)) == F.col("id")) & (key.isNull() == F.col("absent")) & (F.xxhash64(column("text")) == F.col("text_key"))
-    return docs.join(found, on, "left_anti")
+    return docs.join(maybe_broadcast(found, found.count()), on, "left_anti")  # few rows hold a leak: the texts stay where they are
