@@ -147,9 +147,10 @@ def histograms(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     st = df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("mn"), F.max(F.col(c).cast("double")).alias("mx")).alias(c) for c in cols]).collect()[0]
     ranges = [(c, st[c]["mn"], (st[c]["mx"] - st[c]["mn"]) / bins if st[c]["mx"] > st[c]["mn"] else 1.0) for c in cols if st[c]["mn"] is not None]
     every = F.broadcast(spark.createDataFrame(ranges, "column string, mn double, width double"))  # one row a column
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
-    b = F.least(F.floor((F.col("value") - F.col("mn")) / F.col("width")), F.lit(bins - 1)).cast("int")
-    counted = long.join(every, "column").groupBy("column", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    x = {c: F.col(c).cast("double") for c in cols}
+    at = {c: F.when(x[c].isNotNull(), F.least(F.floor((x[c] - F.lit(mn)) / F.lit(width)), F.lit(bins - 1))).cast("int") for c, mn, width in ranges}
+    placed = df.select(*[at.get(c, F.lit(None).cast("int")).alias(c) for c in cols])  # a value's bin is known where it is read: no join
+    counted = placed.unpivot([], cols, "column", "bin").where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return grid.join(counted, ["column", "bin"], "left").select(
         "column", "bin", (F.col("mn") + F.col("width") * F.col("bin")).alias("lo"), (F.col("mn") + F.col("width") * (F.col("bin") + 1)).alias("hi"),
