@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ LOCAL_ROWS = 200_000
 BINS = 4096
 EDGE_ROWS = 400_000
 WIDE_ROWS = 300_000
+SLOTS = 16  # nodes whose bins a task holds at once
 BLOCK = 8
 CHAIN = 4
 NODES = "node string, n long, s long, feature int, threshold double, decrease double"
@@ -72,14 +74,67 @@ def _binned(rows: DataFrame, n: int) -> DataFrame:
     found = some.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.percentile_approx("v", share, 4 * BINS).alias("e")).collect()
     edges = {r["f"]: np.unique(np.array(r["e"], float)) for r in found}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                X = np.stack(pdf["x"].to_list())
-                b = np.stack([np.searchsorted(edges.get(f, np.zeros(0)), X[:, f]) for f in range(X.shape[1])], axis=1).astype(np.int32)
-                yield pdf.assign(b=list(b))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch, "x")
+                b = np.stack([np.searchsorted(edges.get(f, np.zeros(0)), x[:, f]) for f in range(x.shape[1])], axis=1).astype(np.int32)
+                starts = pa.array(np.arange(0, b.size + 1, b.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(starts, pa.array(b.ravel()))], names=[*batch.schema.names, "b"])
 
-    return _cut(rows.select("x", "y", "node").mapInPandas(place, "x array<double>, y long, node string, b array<int>"), "tree-rows")
+    return _cut(rows.select("x", "y", "node").mapInArrow(place, "x array<double>, y long, node string, b array<int>"), "tree-rows")
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of equally long arrays without nulls as a matrix."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _bin_counts(rows: DataFrame) -> DataFrame:
+    """``(node, f, b, n, s, low, high)`` of ``rows`` (node, y, x, b): a task adds its rows to the bins of up to SLOTS nodes."""
+    bins, slots = BINS, SLOTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        n = s = low = high = width = None
+
+        def found() -> pa.RecordBatch:
+            at = np.flatnonzero(n)
+            node, rest = np.divmod(at, width * bins)
+            f, b = np.divmod(rest, bins)
+            columns = [np.array(list(held), dtype=object)[node], f.astype(np.int32), b.astype(np.int32), n[at], s[at], low[at], high[at]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "f", "b", "n", "s", "low", "high"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, b, y = _matrix(batch, "x"), _matrix(batch, "b"), batch.column("y").to_numpy()
+            width = x.shape[1]
+            nodes = batch.column("node").dictionary_encode()
+            names, code = nodes.dictionary.to_pylist(), nodes.indices.to_numpy()
+            for k in range(0, len(names), slots):
+                some = names[k : k + slots]
+                if held and len(held.keys() | set(some)) > slots:
+                    yield found()
+                    held.clear()
+                if not held:
+                    n, s = np.zeros((2, slots * width * bins), np.int64)
+                    low, high = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
+                place = np.full(len(names), -1)
+                place[k : k + slots] = [held.setdefault(name, len(held)) for name in some]
+                slot = place[code]
+                mine = slot >= 0
+                at = ((slot[mine, None] * width + np.arange(width)) * bins + b[mine]).ravel()
+                v = x[mine].ravel()
+                np.add.at(n, at, 1)
+                np.add.at(s, at, np.repeat(y[mine], width))
+                np.minimum.at(low, at, v)
+                np.maximum.at(high, at, v)
+        if held:
+            yield found()
+
+    parts = rows.select("node", "y", "x", "b").mapInArrow(count, "node string, f int, b int, n long, s long, low double, high double")
+    return parts.groupBy("node", "f", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _gain(nl: Column, sl: Column, n: Column, s: Column) -> Column:
@@ -97,7 +152,7 @@ def best_splits(rows: DataFrame) -> DataFrame:
     """
     key = ["node", "f"]
     values = rows.select("node", "y", F.posexplode(F.arrays_zip(F.col("b").alias("b"), F.col("x").alias("v"))).alias("f", "z")).select("node", "y", "f", "z.b", "z.v")
-    bins = values.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.min("v").alias("low"), F.max("v").alias("high"))
+    bins = _bin_counts(rows)
     by_bin, all_ = Window.partitionBy(*key).orderBy("b"), Window.partitionBy(*key)
     before = by_bin.rowsBetween(Window.unboundedPreceding, -1)
     bins = _cut(bins.select(
@@ -235,7 +290,8 @@ def with_leaf(fit: TreeFit, df: DataFrame, keep: Sequence[str | Column] = ("*",)
             return F.when(step["feature"].isNull(), h).otherwise(2 * h + 1 + side)
 
         rows = rows.join(block, F.col("leaf") == F.col("_root"), "left")
-        rows = rows.withColumn("_h", F.aggregate(F.sequence(F.lit(1), F.lit(BLOCK)), F.lit(0), walk))
+        # rows that have their leaf don't walk on
+        rows = rows.withColumn("_h", F.when(F.col("_root").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(BLOCK)), F.lit(0), walk)))
         rows = rows.withColumns({
             "leaf": F.when(F.col("_root").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.bin(F.col("_h") + 1).substr(F.lit(2), F.lit(BLOCK)))),
             "p": F.coalesce("p", F.when(F.get("_steps", "_h")["feature"].isNull(), F.get("_steps", "_h")["p"])),

@@ -73,3 +73,32 @@ def test_paths_of_the_pruned_tree_walk_one_block(spark):
     got = short.collect()
     assert {(r.id, r.step, r.node, r.feature, r.threshold) for r in got if r.step < 4 and r.type == "split"} == {x for x in whole if x[3]}
     assert tree.with_leaf(fit, df, ["id"]).columns == ["id", "leaf", "p"]
+
+
+def test_bins_are_counted_in_arrays(spark, monkeypatch):
+    monkeypatch.setattr(tree, "BINS", 3)
+    monkeypatch.setattr(tree, "SLOTS", 2)  # five nodes: a task gives up its bins several times
+    rng = np.random.default_rng(14)
+    x, b, y, node = rng.normal(size=(300, 2)), rng.integers(0, 3, (300, 2)), rng.integers(0, 2, 300), rng.integers(0, 5, 300)
+    x[:9, 0] = np.inf
+    rows = [(format(int(k), "03b"), int(c), v.tolist(), w.tolist()) for k, c, v, w in zip(node, y, x, b)]
+    found = tree._bin_counts(spark.createDataFrame(rows, "node string, y long, x array<double>, b array<int>").repartition(3))
+    got = {(r.node, r.f, r.b): (r.n, r.s, r.low, r.high) for r in found.collect()}
+    want = {}
+    for k, c, v, w in rows:
+        for f in range(2):
+            want.setdefault((k, f, w[f]), []).append((v[f], c))
+    assert got == {key: (len(z), sum(c for _, c in z), min(v for v, _ in z), max(v for v, _ in z)) for key, z in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # no row a value
+
+
+def test_histograms_place_values_without_a_join(spark):
+    from cohortlab.operators import profile
+
+    df = spark.createDataFrame([(0.0, 1.0, None), (1.0, 1.0, None), (None, 1.0, None), (3.0, None, None), (2.9, 1.0, None)], "a double, b double, c double")
+    found = profile.histograms(df, ["a", "b", "c"], 3)
+    assert [(r.bin, r.lo, r.hi, r.n) for r in found.where("column = 'a'").orderBy("bin").collect()] == [(0, 0.0, 1.0, 1), (1, 1.0, 2.0, 1), (2, 2.0, 3.0, 2)]
+    assert [r.n for r in found.where("column = 'b'").orderBy("bin").collect()] == [4, 0, 0]
+    assert found.where("column = 'c'").count() == 0
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the grid with its counts
