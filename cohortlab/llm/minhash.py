@@ -147,7 +147,7 @@ class _Sets(dict):
         super().__init__()
         self.k, self.words, self.held = k, WordHashes(), 0
 
-    def of(self, key: bytes, text: str) -> np.ndarray:
+    def of(self, key: int, text: str) -> np.ndarray:
         found = self.get(key)
         if found is None:
             while self and self.held > SET_CACHE:
@@ -163,7 +163,7 @@ def _verifier(params: MinHashParams):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         linked = []
         for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-            x, y = sets.of(bytes(a), ta), sets.of(bytes(b), tb)
+            x, y = sets.of(a, ta), sets.of(b, tb)
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= params.percent * (len(x) + len(y) - both))
         return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": linked})
@@ -190,9 +190,9 @@ def _dealer(params: MinHashParams):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, again = [], []
         loose = pdf["apart"] | (pdf["n"] < pdf["n_a"])
-        for a, b, ta, tb, low, free in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], pdf["smallest"], loose, strict=True):
-            extra, inside = outside(sets.of(bytes(b), tb), sets.of(bytes(a), ta), low, params.percent)
-            group = np.uint64(int.from_bytes(bytes(a)[:8], "little"))
+        groups = mix64(pdf["a"].to_numpy(np.int64).view(np.uint64))
+        for a, b, ta, tb, low, free, group in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], pdf["smallest"], loose, groups, strict=True):
+            extra, inside = outside(sets.of(b, tb), sets.of(a, ta), low, params.percent)
             found.append(mix64(extra ^ group).view(np.int64))
             again.append(int(group.view(np.int64)) if inside and free else None)
         keep = pdf[["b", "n", "n_a", "score", "label"]]
@@ -203,18 +203,18 @@ def _dealer(params: MinHashParams):
 
 def _with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with the texts of one document of class a and of class b.  The pivot's side ``a`` is joined last."""
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    reps = classes.join(involved, "cls", "left_semi")
-    reps = materialize(reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")), "reps")
+    involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    reps = classes.join(involved, "class", "left_semi")
+    reps = materialize(reps.select("class", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")), "reps")
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     side = maybe_broadcast(reps, reps.count())
     texts = (
         d.join(side, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_text")))
-        .select("cls", "text")
-        .dropDuplicates(["cls"])
+        .select("class", "text")
+        .dropDuplicates(["class"])
     )
-    return pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a"
+    return pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a"
     )
 
 
@@ -257,7 +257,7 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFra
     todo = pairs.where(_sizes_fit("n_a", "n", params.percent)).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
     todo = materialize(todo, "todo")
     texts = _with_texts(docs, classes, todo).select("a", "b", "text_a", "text_b")
-    checked = materialize(map_frames(texts, _verifier(params), "a binary, b binary, linked boolean"), "checked")
+    checked = materialize(map_frames(texts, _verifier(params), "a long, b long, linked boolean"), "checked")
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     return connected_components(known.union(checked.where("linked").select("a", "b"))), seen.union(todo)
 
@@ -282,17 +282,19 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
             F.min("doc_id").alias("least"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
-        ),
+        )
+        # from here on a class is a number: numbers are grouped by hashing, digests need a sort for every minimum
+        .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    members = classes.select(F.col("cls").alias("b"), "n", F.explode("bands").alias("bucket"))
+    members = classes.select(F.col("class").alias("b"), "n", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(members.join(full, "bucket"), "members")
     score = members.groupBy("b").agg(F.sum("size").alias("score"))
     star = materialize(_star(members.join(score, "b").withColumn("fit", F.lit(True))), "star")
     spark = docs.sparkSession
-    labels = spark.createDataFrame([], "node binary, label binary")
-    seen = spark.createDataFrame([], "a binary, b binary")
+    labels = spark.createDataFrame([], "node long, label long")
+    seen = spark.createDataFrame([], "a long, b long")
     few = params.few
     ends = ["a", "b", "n_a", "n"]
     # every member meets its home pivot first: what that links needs no further look
@@ -322,7 +324,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         dealt = map_frames(
             _with_texts(docs, classes, large).select("a", "n_a", "b", "n", "score", "label", "apart", "smallest", "text_a", "text_b"),
             _dealer(params),
-            "b binary, n long, n_a long, score long, label binary, buckets array<long>, again long",
+            "b long, n long, n_a long, score long, label long, buckets array<long>, again long",
         )
         dealt = materialize(dealt, "dealt")
         cols = ["b", "n", "score", "label"]
@@ -335,7 +337,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         few *= 4
 
     # one row a class, so copies add nothing to a component's rows
-    owned = classes.select("cls", "least").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    owned = classes.select("cls", "class", "least").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     first = materialize(owned.groupBy("label").agg(F.min("least").alias("component_id")), "first")
     found = materialize(owned.join(first, "label").select("cls", "component_id"), "found")
     rows = feats.select("doc_id", "text_key", "n", "cls").join(found, "cls", "left")
