@@ -15,7 +15,7 @@ from cohortlab.session import scratch_path
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2_000
 BROADCAST_ROWS = 200_000
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,16 +11,14 @@ from cohortlab.llm.common import materialize
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(a, b)`` edges -> ``(node, label)``, label = smallest node of the component.
 
-    Every round takes the smallest label among a node's neighbours, then the
+    ``edges`` are read in every round, so they should be a written table.  Every round takes the smallest label among a node's neighbours, then the
     label of that label; each round is written to the shared folder.  The
     rounds needed grow with the logarithm of the longest path for star-like
     edge sets.  Isolated nodes don't appear.  An empty edge table gives an
     empty result.
     """
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(),
-        "edges",
-    )
+    # repeated edges change no minimum, so they needn't be found
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     for _ in range(max_rounds):
         near = (

@@ -13,8 +13,9 @@ Search.  Documents with equal shingle sets form one class.  Bands of
 compared with one pivot (linear in the bucket) - the class whose buckets are the fullest, as
 the original of a family of edited copies has - and verified links give components.  A class meets the fullest of its
 pivots first; the others only where they are of another component by then.
-A pivot h whose members fall into several components leaves work.  For few members
-(``few``) that is their pairs.  Otherwise let x and y be linked, x not linked to h.  If the overlap that this
+A pivot h whose members fall into several components leaves work.  Two members with the same other pivot as their
+home are looked at there, so if few members (``few``) lack the most frequent home, that work is the pairs of these with
+all members.  Otherwise let x and y be linked, x not linked to h.  If the overlap that this
 link needs exceeds |x & h| or |y & h|, x and y share a shingle outside h, and as
 many of them as the excess, which bounds the prefix of x - h that has to be looked at:
 the members are dealt anew by (pivot, shingle outside it).  The excess can be missing only if one of the
@@ -59,7 +60,7 @@ class MinHashParams:
     percent: int = 75
     bands: int = 40
     rows: int = 4
-    #: A pivot's members up to this number are compared with each other directly; the number grows fourfold with every step.
+    #: Members that are compared directly with all members of their pivot, up to this number; it grows fourfold with every step.
     few: int = 64
 
     @property
@@ -137,7 +138,7 @@ def features(docs: DataFrame, params: MinHashParams) -> DataFrame:
     )
 
 
-SET_CACHE = 4_000_000
+SET_CACHE = 1_000_000
 
 
 class _Sets(dict):
@@ -252,6 +253,26 @@ def _placed(star: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("apart", F.coalesce("label_a", "a") != F.col("label")).drop("label_a")
 
 
+def _usual(left: DataFrame) -> DataFrame:
+    """``left`` with ``usual``, whether a member has its group's most frequent home other than the pivot, and ``rare``, how many members of the group haven't."""
+    homes = left.groupBy("a", "home").agg(F.count(F.lit(1)).alias("together"))
+    top = homes.where("home != a").groupBy("a").agg(F.max(F.struct("together", "home")).alias("top"))
+    out = left.join(top, "a", "left").withColumn("usual", F.coalesce(F.col("home") == F.col("top.home"), F.lit(False)))
+    return out.withColumn("rare", F.col("size") - F.coalesce("top.together", F.lit(0))).drop("top")
+
+
+def _direct(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n): the pairs of groups with few rare members, at most ``rare`` for each member, as two usual ones are looked at in their home."""
+    rare = left.where("not usual").select(F.col("a").alias("group"), F.col("b").alias("b_2"), F.col("n").alias("n_2"), F.col("label").alias("label_2"), F.col("home").alias("home_2"))
+    once = F.col("usual") | (F.col("b") < F.col("b_2"))
+    here = (F.col("home") != F.col("home_2")) | (F.col("home") == F.col("a"))
+    on = (F.col("a") == F.col("group")) & once & (F.col("label") != F.col("label_2")) & here & _sizes_fit("n", "n_2", percent)
+    # the smaller number first, so that a pair found in two groups is one pair
+    one, two = (F.struct(F.col("b" + k).alias("b"), F.col("n" + k).alias("n")) for k in ("", "_2"))
+    found = left.join(maybe_broadcast(rare, rare.count()), on).select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+    return found.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n"))
+
+
 def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, seen: DataFrame, params: MinHashParams) -> tuple[DataFrame, DataFrame]:
     """Verifies those of ``pairs`` (a, b, n_a, n) that haven't been seen: new labels, and the pairs seen so far."""
     todo = pairs.where(_sizes_fit("n_a", "n", params.percent)).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
@@ -309,13 +330,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
 
         placed = _placed(live.drop("label", "apart"), labels)
         homes = placed.groupBy("a").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo != hi or lo = a").select("a")
-        left = materialize(placed.join(_mixed(placed, "a"), "a").join(homes, "a", "left_semi"), "left")
-        small = left.where(F.col("size") <= few)
-        other = small.select(F.col("a").alias("group"), F.col("b").alias("b_2"), F.col("n").alias("n_2"), F.col("label").alias("label_2"), F.col("home").alias("home_2"))
-        here = (F.col("home") != F.col("home_2")) | (F.col("home") == F.col("a"))
-        direct = small.join(other, (F.col("a") == F.col("group")) & (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")) & here & _sizes_fit("n", "n_2", params.percent))
-        pairs = direct.select(F.col("b").alias("a"), F.col("b_2").alias("b"), F.col("n").alias("n_a"), F.col("n_2").alias("n"))
-        large = left.where(F.col("size") > few)
+        left = materialize(_usual(placed.join(_mixed(placed, "a"), "a").join(homes, "a", "left_semi")), "left")
+        pairs = _direct(left.where(F.col("rare") <= few), params.percent)
+        large = left.where(F.col("rare") > few)
         if large.isEmpty():
             star = None
             if left.isEmpty():
