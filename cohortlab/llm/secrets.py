@@ -47,7 +47,7 @@ LONG_TOKEN = re.compile(r"(?<!\S)\S{20,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=-])?(?![A-Za-z0-9+/_=@-]|\.[A-Za-z0-9])")
 MASK = "[SECRET]"
 CLASSES = "0agAG+/_=.-"
-FORMAT_CACHE = 200_000
+FORMAT_CACHE = 50_000
 
 
 @dataclass(frozen=True)
@@ -85,14 +85,21 @@ def as_format(value: str) -> str:
 #: Class of each byte; what no value holds is a boundary.
 OTHER = len(CLASSES)
 WIDTH = OTHER + 1
-BYTE_CLASS = np.array([CLASSES.find(_symbol(chr(i))) % WIDTH if i < 128 else OTHER for i in range(256)], dtype=np.int64)
+BYTE_CLASS = np.array([CLASSES.find(_symbol(chr(i))) % WIDTH if i < 128 else OTHER for i in range(256)], dtype=np.int16)
+
+
+#: Bytes whose classes are held at once.
+PIECE = 1 << 18
 
 
 def class_counts(texts: list[str]) -> np.ndarray:
     """How often each three character classes follow each other; texts are set apart by boundaries."""
-    data = np.frombuffer(f"\n\n{chr(10).join(texts)}\n".encode("utf-8", "surrogatepass"), np.uint8)
-    c = BYTE_CLASS[data]
-    return np.bincount((c[:-2] * WIDTH + c[1:-1]) * WIDTH + c[2:], minlength=WIDTH**3)
+    data = f"\n\n{chr(10).join(texts)}\n".encode("utf-8", "surrogatepass")
+    out = np.zeros(WIDTH**3, np.int64)
+    for at in range(0, len(data) - 2, PIECE):
+        c = BYTE_CLASS[np.frombuffer(data, np.uint8, min(PIECE + 2, len(data) - at), at)]
+        out += np.bincount((c[:-2] * WIDTH + c[1:-1]) * WIDTH + c[2:], minlength=WIDTH**3)
+    return out
 
 
 class Ordinary:
