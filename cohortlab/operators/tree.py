@@ -33,7 +33,9 @@ LOCAL_ROWS = 200_000
 BINS = 4096
 EDGE_ROWS = 400_000
 WIDE_ROWS = 300_000
-SLOTS = 16  # nodes whose bins a task holds at once
+COARSE_ROWS = 500_000  # nodes of fewer rows, of which there are many, have BINS >> COARSE_BITS bins
+COARSE_BITS = 2
+SLOTS = 16  # nodes whose bins a task holds at once; those below one node after CHAIN levels
 BLOCK = 8
 CHAIN = 4
 NODES = "node string, n long, s long, feature int, threshold double, decrease double"
@@ -238,7 +240,9 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int
             break
         if depth == 0:
             rows = _binned(rows, level.agg(F.sum("n").alias("n")).collect()[0]["n"])
-        splits = _cut(best_splits(rows.join(level.where(large).select("node"), "node", "left_semi")), "tree-splits")
+        wide = level.where(large).select("node", (F.col("n") < COARSE_ROWS).alias("_coarse"))
+        asked = rows.join(wide, "node").withColumn("b", F.when(F.col("_coarse"), F.transform("b", lambda k: F.shiftright(k, COARSE_BITS))).otherwise(F.col("b"))).drop("_coarse")
+        splits = _cut(best_splits(asked), "tree-splits")
         grown.append(level.where(large).select("node", "n", "s").join(
             splits.select("node", "feature", "threshold", _decrease(F.col("gain"), F.col("s"), F.col("n")).alias("decrease")), "node", "left"))
         cut = splits.select("node", "feature", "threshold")
@@ -248,8 +252,9 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int
                            F.struct(F.concat("node", F.lit("1")).alias("node"), (F.col("n") - F.col("nl")).alias("n"), (F.col("s") - F.col("sl")).alias("s")))
         level = _cut(splits.select(F.inline(children)), "tree-level")
         depth += 1
-        if depth % CHAIN == 0:
-            rows = _cut(rows, "tree-rows")
+        if depth % CHAIN == 0 and depth != max_depth:
+            # by node, so a task meets the nodes below one of these together and holds few bins at once
+            rows = _cut(rows.sortWithinPartitions("node"), "tree-rows")
     below = local[0]
     for part in local[1:]:
         below = below.unionByName(part)

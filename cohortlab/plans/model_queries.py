@@ -333,7 +333,7 @@ def q_tree_struct(spark, sf):
 
 def q_tree_nodes(spark, sf):
     """Node table of the pruned tree (depth ≤ 4 of the deep greedy tree)."""
-    fit = pipeline(spark, sf).tree
+    fit = pipeline(spark, sf).pruned_tree
     nodes = fit.nodes.where(F.col("depth") <= PRUNED_DEPTH).withColumn("is_leaf", F.col("is_leaf") | (F.col("depth") == PRUNED_DEPTH))
     return nodes.select(
         tree.heap_number(F.col("node")).alias("node"), "depth", F.when(~F.col("is_leaf"), tree.feature_name(fit, F.col("feature"))).alias("feature"),
@@ -388,14 +388,14 @@ def _rounded_paths(paths):
 
 def q_paths(spark, sf):
     p = pipeline(spark, sf)
-    return _rounded_paths(tree.trace_paths(p.tree, p.tree_data, R.id, max_depth=PRUNED_DEPTH))
+    return _rounded_paths(tree.trace_paths(p.pruned_tree, p.tree_data, R.id, max_depth=PRUNED_DEPTH))
 
 
 def q_probe_path(spark, sf):
     """The decision path of one hypothetical entity through the pruned tree."""
     p = pipeline(spark, sf)
     probe = spark.createDataFrame([(-1, *(float(ENTITY_PROBE[f]) for f in p.tree_features))], ", ".join(["id long", *(f"{f} double" for f in p.tree_features)]))
-    return _rounded_paths(tree.trace_paths(p.tree, probe, "id", max_depth=PRUNED_DEPTH))
+    return _rounded_paths(tree.trace_paths(p.pruned_tree, probe, "id", max_depth=PRUNED_DEPTH))
 
 
 def q_importance(spark, sf):

@@ -25,6 +25,7 @@ from cohortlab.roles import (
     LINKAGE_METHODS,
     NUM_CELLS,
     NUM_CLUSTERS,
+    PRUNED_DEPTH,
     SAMPLE_SIZE,
     SPLIT_SEED,
     TEST_FRACTION,
@@ -121,6 +122,14 @@ class Pipeline:
         train = self.tree_data.where(~F.col("is_test"))
         return tree.fit_tree(train, self.tree_features, self.roles.target)
 
+    @cached_property
+    def pruned_tree(self) -> tree.TreeFit:
+        """The tree of PRUNED_DEPTH levels: the unpruned one cut there (greedy trees are nested), which is used if it is known already."""
+        if "tree" in self.__dict__:
+            return self.tree
+        train = self.tree_data.where(~F.col("is_test"))
+        return tree.fit_tree(train, self.tree_features, self.roles.target, max_depth=PRUNED_DEPTH)
+
     @cached_property
     def tree_scored(self) -> DataFrame:
         """The split rows (id, target, is_test) with their leaf and P(class 1), written once."""
