@@ -77,8 +77,22 @@ def _round(x: np.ndarray, i: int) -> np.ndarray:
     return mix64(x + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
 
 
+#: Elements whose rounds are held at once (one set at least).
+PIECE = 1 << 17
+
+
 def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     """Fast similarity sketches of non-empty sets of 64-bit hashes: (len(sets), t) uint64."""
+    out, first, held = np.empty((len(sets), t), dtype=np.uint64), 0, 0
+    for at, s in enumerate(sets, 1):
+        held += len(s)
+        if held >= PIECE or at == len(sets):
+            out[first:at] = _sketches(sets[first:at], t)
+            first, held = at, 0
+    return out
+
+
+def _sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     n = len(sets)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full(n * t, empty, dtype=np.uint64)

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 
@@ -131,6 +132,15 @@ class Evidence:
         return pd.DataFrame({"quality": self.quality(x), "toxic": self.toxic(x)})
 
 
+def _term_counts(pdf: pd.DataFrame) -> pd.DataFrame | None:
+    """How many texts of each toxic label and half hold a term; the term '' counts the texts.  Held is one number a term, not one row a text and term."""
+    counts: dict[tuple[int, int], Counter] = {}
+    for x, y, h in zip(pdf["text"], pdf["toxic"], pdf["half"], strict=True):
+        counts.setdefault((y, h), Counter()).update(("", *_terms(x.split())))
+    rows = [(t, y, h, n) for (y, h), found in counts.items() for t, n in found.items()]
+    return pd.DataFrame(rows, columns=["term", "toxic", "half", "size"]) if rows else None
+
+
 def _lexicon(counts: DataFrame, bad: str, good: str, params: QualityParams) -> dict[str, float]:
     """Terms of at least a share of the toxic texts, with a high log odds ratio; at most ``lexicon`` of them."""
     both = counts.select("term", F.expr(bad).alias("bad"), F.expr(good).alias("good"))
@@ -165,14 +175,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, params: QualityParams = Qua
     labelled = texts.join(F.broadcast(some), "label_id").where("text is not null")
     sample = labelled.groupBy("label_id", "quality", "toxic").agg(F.min("text").alias("text")).withColumn("half", F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(2)))
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        rows = [
-            (t, y, h) for x, y, h in zip(pdf["text"], pdf["toxic"], pdf["half"], strict=True) for t in ("", *_terms(x.split()))
-        ]
-        return pd.DataFrame(rows, columns=["term", "toxic", "half"]).groupby(["term", "toxic", "half"], as_index=False).size() if rows else None
-
     once = sample.withColumn("same", F.xxhash64("text")).groupBy("same", "toxic").agg(F.min("text").alias("text"), F.min("half").alias("half")).select("text", "toxic", "half")
-    counts = map_frames(once, count, "term string, toxic int, half int, size long").groupBy("term").agg(*(
+    counts = map_frames(once, _term_counts, "term string, toxic int, half int, size long").groupBy("term").agg(*(
         F.sum(F.when((F.col("toxic") == y) & (F.col("half") == h), F.col("size")).otherwise(0)).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)
     ))
     counts = materialize(counts.where(f"n10 + n11 >= {params.least_docs} or term = ''"), "terms")
